@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
 from .packing import op6_best_fit_packing
+from .secrets import op5_secret_scan
 from .token_files import op2_token_files
+from .transport import op9_transport_streams
+from .warc import op1_warc_bundles
 
-ALL = (op2_token_files, op6_best_fit_packing)
+ALL = (op1_warc_bundles, op2_token_files, op5_secret_scan, op6_best_fit_packing, op9_transport_streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_bundles": warc.ORACLE_SQL}
