@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import warc
+from .digest import op4_improbable_features
 from .jaccard import op10_ngram_jaccard
 from .packing import op6_best_fit_packing
 from .secrets import op5_secret_scan
@@ -15,7 +16,7 @@ from .token_files import op2_token_files
 from .transport import op9_transport_streams
 from .warc import op1_warc_bundles
 
-ALL = (op1_warc_bundles, op2_token_files, op5_secret_scan, op6_best_fit_packing, op8_substring_dedup, op9_transport_streams, op10_ngram_jaccard)
+ALL = (op1_warc_bundles, op2_token_files, op4_improbable_features, op5_secret_scan, op6_best_fit_packing, op8_substring_dedup, op9_transport_streams, op10_ngram_jaccard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
