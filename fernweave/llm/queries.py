@@ -13,10 +13,11 @@ from .packing import op6_best_fit_packing
 from .secrets import op5_secret_scan
 from .substring import op8_substring_dedup
 from .token_files import op2_token_files
+from .toxicity import op3_toxicity
 from .transport import op9_transport_streams
 from .warc import op1_warc_bundles
 
-ALL = (op1_warc_bundles, op2_token_files, op4_improbable_features, op5_secret_scan, op6_best_fit_packing, op8_substring_dedup, op9_transport_streams, op10_ngram_jaccard)
+ALL = (op1_warc_bundles, op2_token_files, op3_toxicity, op4_improbable_features, op5_secret_scan, op6_best_fit_packing, op8_substring_dedup, op9_transport_streams, op10_ngram_jaccard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
