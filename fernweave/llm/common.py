@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -113,3 +114,9 @@ def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 2048) -> It
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are no longer used, now instead of at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()

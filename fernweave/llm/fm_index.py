@@ -8,18 +8,24 @@ import numpy as np
 ONE = np.uint64(1)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a text; where one is a prefix of another, the shorter comes first."""
+def suffix_array(text: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """Order of the suffixes of a text; where one is a prefix of another, the shorter comes first. At the marked
+    `ends`, which must be of the least symbol, earlier places come first, so no comparison goes past an end."""
     n = len(text)
     _, rank = np.unique(text, return_inverse=True)
     rank, k = rank.reshape(-1).astype(np.int64) + 1, 1
+    if ends is not None and ends.any():
+        rank += int(ends.sum())
+        rank[ends] = np.arange(1, int(ends.sum()) + 1)
     order = np.argsort(rank, kind="stable")
-    while n and rank.max() < n:
-        key = rank * (n + 1)
-        key[: n - k if k < n else 0] += rank[k:]
+    distinct = len(np.unique(rank))
+    while distinct < n:
+        key = rank * (2 * n + 2)
+        key[: max(n - k, 0)] += rank[k:]
         order = np.argsort(key, kind="stable")
         s = key[order]
         new = np.cumsum(np.concatenate(([1], s[1:] != s[:-1])))
+        distinct = int(new[-1])
         rank = np.empty(n, np.int64)
         rank[order] = new
         k *= 2
@@ -43,12 +49,12 @@ class RankBits:
 
 
 class FMIndex:
-    """text: integers from 1; 0 ends the text."""
+    """text: integers from 2, and 1 wherever a part ends; patterns don't contain 1. Parts are ordered by place."""
 
     def __init__(self, text: np.ndarray):
-        text = np.concatenate([np.asarray(text, np.int64), [0]])
-        self.order = suffix_array(text)
-        counts = np.bincount(text)
+        text = np.asarray(text, np.int64)
+        self.order = suffix_array(text, text == 1)
+        counts = np.bincount(text, minlength=2)
         self.first = np.concatenate(([0], np.cumsum(counts)))
         bwt = text[self.order - 1]
         self.levels = []
@@ -56,15 +62,22 @@ class FMIndex:
             bits = (bwt >> bit) & 1
             self.levels.append((bit, RankBits(bits), int(len(bits) - bits.sum())))
             bwt = np.concatenate([bwt[bits == 0], bwt[bits == 1]])
+        symbols = np.arange(len(counts))
+        self.base = self.down(symbols, [np.zeros(len(counts), np.int64)])[0]
 
-    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The intervals of suffixes that start with a symbol and go on as those of [low, high)."""
-        a, b, base = low, high, np.zeros(len(symbol), np.int64)
+    def down(self, symbol: np.ndarray, places: list[np.ndarray]) -> list[np.ndarray]:
+        """Places of the transform followed to the symbols' places in the last level."""
         for bit, ranks, zeros in self.levels:
             one = (symbol >> bit & 1).astype(bool)
-            ra, rb, r0 = ranks.ones(a), ranks.ones(b), ranks.ones(base)
-            a, b, base = np.where(one, zeros + ra, a - ra), np.where(one, zeros + rb, b - rb), np.where(one, zeros + r0, base - r0)
-        return self.first[symbol] + a - base, self.first[symbol] + b - base
+            ones = [ranks.ones(p) for p in places]
+            places = [np.where(one, zeros + r, p - r) for p, r in zip(places, ones, strict=True)]
+        return places
+
+    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of suffixes that start with a symbol and go on as those of [low, high)."""
+        a, b = self.down(symbol, [low, high])
+        start = self.first[symbol] - self.base[symbol]
+        return start + a, start + b
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix-array intervals of the rows of a matrix of patterns; a pattern whose interval gets down to one

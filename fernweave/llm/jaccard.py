@@ -7,7 +7,7 @@ Method, with threshold t:
 2. Equal sets are one row of the matrix from here on, represented by their smallest id.
 3. Two sets that link share one of the size - ceil(t * size) + 1 n-grams that come first in a common order, the
    rarest first. Stars over those n-grams give the blocks of documents that must be compared.
-4. In each block, products of the sparse rows give exact overlaps; pairs outside the size bounds are discarded
+4. In each block, products of the sparse rows give exact overlaps; parts outside the size bounds are discarded
    unseen. A block keeps the links of a spanning forest, so a group of copies never becomes all its pairs. A block
    that holds more n-grams than a task should is split and all pairs of its parts are compared.
 5. Components of the links are found over the cluster.
@@ -23,37 +23,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
+from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, split, unzip_array, zip_array
 from .words import U, Texts, gram_hashes, mix
 
 #: Bytes of text hashed at once, and bytes of text whose n-grams are sent together.
 TEXT_BYTES, SEND_BYTES = 1 << 20, 1 << 23
 #: n-grams that one task compares; larger blocks of documents are split.
-BLOCK_GRAMS = 4_000_000
+BLOCK_GRAMS = 2_000_000
+COLUMNS = 4096  # n-grams multiplied at once
 CELLS = 1 << 20  # of the frequency sketch
-NUMBERS, COUNTS = 0, 1
-MESSAGE = pa.schema([("dest", pa.int32()), ("src", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("data", pa.binary())])
-MESSAGE_DDL = "dest int, src long, kind int, docs binary, data binary"
 SUMMARY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.int64())])
 SUMMARY_DDL = "doc_id long, n long, s1 long, s2 long, shared long"
 ROWS_DDL = "doc_id long, n long, grams binary"
 ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
 
 
-def zip_array(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
-
-
-def unzip_array(x: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), dtype)
-
-
 def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text, ASCII letters in lower case."""
     out: list[np.ndarray] = []
@@ -89,84 +79,47 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
     parts = common.shuffle_partitions(spark)
     blocks = 3 * parts
 
+    def pack(held: list[tuple], own: int) -> pa.RecordBatch:
+        sets = gram_sets([t for _, t in held], n)
+        sigs = np.array([(len(s), *signature(s)) for s in sets], np.int64).reshape(-1, 3)
+        _, first, same = np.unique(sigs, axis=0, return_index=True, return_inverse=True)
+        once = set(first.tolist())
+        alone = [s if k in once else s[:0] for k, s in enumerate(sets)]
+        grams = np.concatenate(alone)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in alone])
+        twice, rows = split(grams, owner, len(sets), own, blocks)
+        local = np.bincount(owner[twice], minlength=len(sets))
+        ids = np.array([(d or 0, d is None) for d, _ in held], np.int64)
+        return common.to_batch([*rows, (own % blocks, own, NUMBERS, zip_array(np.column_stack([ids, sigs, first[same.reshape(-1)], local]).astype(np.int64)), b"", b"")], MESSAGE)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
-
-        def flush() -> pa.RecordBatch:
-            ids = np.array([-1 if d is None else d for d, _ in held], np.int64)
-            null = np.array([d is None for d, _ in held])
-            sets = gram_sets([t for _, t in held], n)
-            sigs = np.array([(len(s), *signature(s)) for s in sets], np.int64).reshape(-1, 3)
-            _, first, same = np.unique(sigs, axis=0, return_index=True, return_inverse=True)
-            own = part + number
-            rows = [(own % blocks, own, NUMBERS, zip_array(np.column_stack([ids, null, sigs, first[same.reshape(-1)]]).astype(np.int64)), b"")]
-            lone = np.zeros(len(sets), bool)
-            lone[first] = True
-            grams = np.concatenate([s for s, k in zip(sets, lone, strict=True) if k] or [np.zeros(0, np.uint64)])
-            owner = np.repeat(np.flatnonzero(lone), [len(s) for s, k in zip(sets, lone, strict=True) if k])
-            dest = ((grams >> U(40)) % U(blocks)).astype(np.int32)
-            order = np.argsort(dest, kind="stable")
-            low = grams[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            owner, bounds = owner[order], np.searchsorted(dest[order], np.arange(blocks + 1))
-            for b in range(blocks):
-                a, e = bounds[b], bounds[b + 1]
-                if a < e:
-                    counts = np.bincount(owner[a:e], minlength=len(sets)).astype("<u4")
-                    rows.append((b, own, COUNTS, zip_array(counts), low[a:e].tobytes()))
-            return common.to_batch(rows, MESSAGE)
-
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((doc, text))
                 size += len(text)
                 if size >= SEND_BYTES:
-                    yield flush()
+                    yield pack(held, part + number)
                     number, held, size = number + 1, [], 0
         if held:
-            yield flush()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {}
-        for batch in batches:
-            for dest, src, kind, docs_, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == NUMBERS:
-                    yield common.to_batch([(0, src, kind, docs_, b"")], MESSAGE)
-                else:
-                    kept.setdefault(dest, []).append((src, docs_, data))
-        for dest in list(kept):
-            messages = kept.pop(dest)
-            wide = np.zeros((sum(len(d) for _, _, d in messages) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(b"".join(d for _, _, d in messages), np.uint8).reshape(-1, 5)
-            grams = wide.view("<u8").reshape(-1)
-            order = np.argsort(grams, kind="stable")
-            s = grams[order]
-            same = s[1:] == s[:-1]
-            again = np.zeros(len(s), np.int64)
-            again[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            sums, at, rows = np.concatenate(([0], np.cumsum(again))), 0, []
-            for src, docs_, _ in messages:
-                ends = at + np.concatenate(([0], np.cumsum(unzip_array(docs_, "<u4").astype(np.int64))))
-                got = sums[ends]
-                rows.append((0, src, COUNTS, b"", zip_array((got[1:] - got[:-1]).astype("<u4"))))
-                at = ends[-1]
-            yield common.to_batch(rows, MESSAGE)
+            yield pack(held, part + number)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: dict[int, np.ndarray] = {}
         shared: dict[int, np.ndarray] = {}
         for batch in batches:
-            for _, src, kind, docs_, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for src, kind, docs_ in zip(*(batch.column(c).to_pylist() for c in ("src", "kind", "docs")), strict=True):
                 if kind == NUMBERS:
-                    numbers[src] = unzip_array(docs_, np.int64).reshape(-1, 6)
+                    numbers[src] = unzip_array(docs_, np.int64).reshape(-1, 7)
                 else:
-                    got = unzip_array(data, "<u4").astype(np.int64)
+                    got = unzip_array(docs_, "<u4").astype(np.int64)
                     shared[src] = shared[src] + got if src in shared else got
         for src, x in numbers.items():
-            count_ = shared.get(src, np.zeros(len(x), np.int64))[x[:, 5]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0], pa.int64(), mask=x[:, 1] == 1), *(pa.array(x[:, k], pa.int64()) for k in (2, 3, 4)), pa.array(count_, pa.int64())], schema=SUMMARY)
+            count = (shared.get(src, 0) + x[:, 6])[x[:, 5]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0], pa.int64(), mask=x[:, 1] == 1), *(pa.array(x[:, k], pa.int64()) for k in (2, 3, 4)), pa.array(count, pa.int64())], schema=SUMMARY)
 
     sent = common.whole_text(docs).mapInArrow(send, MESSAGE_DDL).repartition(parts, "dest")
-    counted = sent.mapInArrow(count, MESSAGE_DDL).repartition(parts, "src")
+    counted = sent.mapInArrow(answer(None), MESSAGE_DDL).repartition(parts, "src")
     return common.materialize(counted.mapInArrow(gather, SUMMARY_DDL), "summaries")
 
 
@@ -221,47 +174,74 @@ def stars(rows: DataFrame, order: np.ndarray, num: int, den: int) -> DataFrame:
     return posts.join(least, "gram").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (root, document) of a spanning forest of the rows with den * overlap >= num * union.
+def overlaps(rows: tuple[np.ndarray, np.ndarray], cols: tuple[np.ndarray, np.ndarray], a: int, b: int) -> np.ndarray:
+    """Products of two blocks of sparse rows, each given as (row numbers, n-gram numbers): an a x b matrix of
+    overlap counts. Only n-grams that both blocks have are multiplied, some thousand at a time."""
+    out = np.zeros((a, b), np.float32)
+    shared = np.intersect1d(rows[1], cols[1])
+    for at in range(0, len(shared), COLUMNS):
+        grams = shared[at : at + COLUMNS]
+        dense = []
+        for (row, gram), n in ((rows, a), (cols, b)):
+            place = np.searchsorted(grams, gram)
+            hit = grams[np.minimum(place, len(grams) - 1)] == gram
+            block = np.zeros((n, len(grams)), np.float32)
+            block[row[hit], place[hit]] = 1
+            dense.append(block)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+class Union:
+    """Sets of numbered rows; labels are smallest members."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.label[i], self.label[j]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            keep = low < high
+            i, j, low, high = i[keep], j[keep], low[keep], high[keep]
+            np.minimum.at(self.label, high, low)
+            while True:
+                up = self.label[self.label]
+                if (up == self.label).all():
+                    break
+                self.label = up
+
+
+def forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, block: int = 512) -> list[tuple[int, int]]:
+    """(root, document) for the components of rows with den * overlap >= num * union.
 
-    Components are searched one by one: the rows reached are multiplied with those not reached yet.
+    The matrix of rows by n-grams is multiplied with itself block by block. n-grams of a single row are left out;
+    rows lie next to those with the same least n-gram, so most blocks share few columns; blocks whose rows are all
+    outside each other's size bounds, or all in one component already, are passed over.
     """
-    order = np.argsort(ids, kind="stable")
-    sizes = np.array([len(sets[k]) for k in order], np.int64)
-    _, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
-    flat = flat.reshape(-1)
-    mark = np.zeros(flat.max() + 1 if len(flat) else 1, np.int32)
-    begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-    left, links = np.arange(len(order)), []
-    left_flat, left_begin = flat, begin
-    while len(left):
-        root, todo, gone = left[0], [left[0]], np.zeros(len(left), bool)
-        gone[0] = True
-        while todo:
-            if gone.any():
-                stay = ~gone
-                left_flat, left = left_flat[np.repeat(stay, sizes[left])], left[stay]
-                left_begin = np.concatenate(([0], np.cumsum(sizes[left])))[:-1]
-                gone = np.zeros(len(left), bool)
-            if not len(left):
-                break
-            x = todo.pop()
-            own = flat[begin[x] : begin[x] + sizes[x]]
-            near = (den * np.minimum(sizes[left], sizes[x]) >= num * np.maximum(sizes[left], sizes[x]))
-            if not near.any():
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.lexsort((ids, [int(s[0]) for s in sets]))
+    _, flat, count = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
+    flat, n = flat.reshape(-1), len(order)
+    row = np.repeat(np.arange(n), sizes[order])
+    keep = count[flat] > 1
+    flat, row, size, union = flat[keep], row[keep], sizes[order], Union(n)
+    cuts = [*range(0, n, block), n]
+    part = [(row[a:e] - k, flat[a:e]) for k, a, e in zip(cuts, np.searchsorted(row, cuts[:-1]), np.searchsorted(row, cuts[1:]), strict=False)]
+    for gap in range(len(part)):
+        for x in range(len(part) - gap):
+            y = x + gap
+            i, j = slice(cuts[x], cuts[x + 1]), slice(cuts[y], cuts[y + 1])
+            a, b = size[i], size[j]
+            if den * min(a.max(), b.max()) < num * max(a.min(), b.min()) or (union.label[i].min() == union.label[i].max() == union.label[j].min() == union.label[j].max()):
                 continue
-            mark[own] = 1
-            overlap = np.add.reduceat(mark[left_flat], left_begin)
-            mark[own] = 0
-            gone = near & (den * overlap.astype(np.int64) >= num * (sizes[left] + sizes[x] - overlap))
-            for y in left[gone]:
-                links.append((int(ids[order[root]]), int(ids[order[y]])))
-                todo.append(y)
-        if gone.any():
-            stay = ~gone
-            left_flat, left = left_flat[np.repeat(stay, sizes[left])], left[stay]
-            left_begin = np.concatenate(([0], np.cumsum(sizes[left])))[:-1]
-    return links
+            both = overlaps(part[x], part[y], len(a), len(b))
+            p, q = np.nonzero(den * both >= num * (a[:, None] + b[None, :] - both))
+            union.link(p + cuts[x], q + cuts[y])
+    found = ids[order]
+    root = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(root, union.label, found)
+    return [(int(a), int(b)) for a, b in zip(root[union.label], found, strict=True) if a != b]
 
 
 def block_links(rows: DataFrame, clusters: DataFrame, num: int, den: int, most: int = BLOCK_GRAMS) -> DataFrame:

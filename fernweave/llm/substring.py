@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_low, split, un
 from .fm_index import FMIndex
 from .words import U, Texts, gram_hashes
 
-WINDOW, ANCHOR, SYMBOL = 20, 6, 5
+WINDOW, ANCHOR, SYMBOL = 20, 6, 10
 SEND_BYTES = 1 << 22
 HOT = 4096  # places from which an anchor's windows are dealt singly
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -165,18 +166,12 @@ def runs(texts: DataFrame, window: int, q: int, shards: int) -> DataFrame:
         items = ((d, h, a, w, t) for d, h, t, a, w in rows_of(batches))
         for held in grouped(items, SEND_BYTES):
             held.sort(key=lambda x: x[:2])
-            part = Texts([t.encode() for *_, t in held])
+            part = Texts([b" ".join(t.encode().split()) for *_, t in held])  # one space between words
             data = part.data.tobytes()
             values, doc, start, count = anchors(part, window, q)
-            low, keep = values & U((1 << 40) - 1), np.zeros(len(values), bool)
-            warm = np.zeros(len(values), bool)
-            edges = np.searchsorted(doc, np.arange(len(held) + 1))
-            for k, (_, _, known, hot, _) in enumerate(held):
-                a, e = edges[k], edges[k + 1]
-                if known:
-                    keep[a:e] = np.isin(low[a:e], np.frombuffer(known, "<u8"))
-                if hot:
-                    warm[a:e] = np.isin(low[a:e], np.frombuffer(hot, "<u8"))
+            of_doc = (doc.astype(np.uint64) << U(40)) | values & U((1 << 40) - 1)
+            keep, warm = (np.isin(of_doc, marked([x[k] for x in held])) for k in (2, 3))
+            keep |= warm
             single = np.flatnonzero(keep & warm)
             keep &= ~warm
             shard = (values[keep] % U(shards)).astype(np.int64)
@@ -188,22 +183,25 @@ def runs(texts: DataFrame, window: int, q: int, shards: int) -> DataFrame:
                 doc_, start_ = np.concatenate([doc_, np.repeat(doc[single], count[single])]), np.concatenate([start_, each])
                 count_ = np.concatenate([count_, np.ones(len(each), np.int64)])
             order = np.argsort(start_, kind="stable")
-            seen: dict[bytes, int] = {}
+            seen: set[bytes] = set()
             rows: dict[tuple[int, int], list] = {}
             first, starts, ends = part.first, part.starts, part.ends
             for s, d, a, n in zip(shard[order].tolist(), doc_[order].tolist(), start_[order].tolist(), count_[order].tolist(), strict=True):
                 words = data[starts[a] : ends[a + n + window - 2]]
-                if any(c in words for c in OTHER_SPACES) or b"  " in words:
-                    words = b" ".join(words.split())
-                s = -1 if words in seen else s
-                seen[words] = 1
+                if words in seen:
+                    s = -1
+                else:
+                    seen.add(words)
                 rows.setdefault((s, d), []).append((a - int(first[d]), n, words))
-            yield common.to_batch([(s, held[d][0], held[d][1], np.array([(a, n) for a, n, _ in x], "<i8").tobytes(), b"" if s < 0 else b"\n".join(w for *_, w in x)) for (s, d), x in rows.items()], RUNS)
+            yield common.to_batch([(s, held[d][0], held[d][1], np.array([(a, n) for a, n, _ in x], "<i8").tobytes(), b"" if s < 0 else zstandard.compress(b"\n".join(w for *_, w in x), 1)) for (s, d), x in rows.items()], RUNS)
 
     return texts.select("doc_id", "h", "text", "anchors", "hot").mapInArrow(send, RUNS_DDL)
 
 
-OTHER_SPACES = (b"\n", b"\t", b"\r", b"\v", b"\f")
+def marked(known: list[bytes]) -> np.ndarray:
+    """The documents' hashes, each with its document's number in the upper bits."""
+    values = [np.frombuffer(x, "<u8") for x in known]
+    return np.concatenate(values) | np.repeat(np.arange(len(values), dtype=np.uint64), [len(v) for v in values]) << U(40)
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:
@@ -220,7 +218,7 @@ def shard_repeats(words: np.ndarray, first: np.ndarray, window: int, symbol: int
     n_grams = lengths - symbol + 1
     where = np.repeat(first[:-1], n_grams) + ranges(n_grams)
     _, ids = np.unique(grams[where], return_inverse=True)
-    ids = ids.reshape(-1).astype(np.int64) + 2  # 0 ends the text, 1 the phases
+    ids = ids.reshape(-1).astype(np.int64) + 2  # 1 ends a phase
     run, offset = np.repeat(np.arange(len(lengths)), n_grams), ranges(n_grams)
     # the text: for each run and phase its symbols and an end mark
     order = np.lexsort((offset // symbol, offset % symbol, run))
@@ -237,7 +235,7 @@ def shard_repeats(words: np.ndarray, first: np.ndarray, window: int, symbol: int
     begin = np.repeat(base, n_windows) + ranges(n_windows)
     low, high = index.search(np.column_stack([ids[begin + k * symbol] for k in range(steps)]))
     # the first window at each place of the text; other places are later than all
-    number = np.full(len(text) + 1, np.iinfo(np.int64).max)
+    number = np.full(len(text), np.iinfo(np.int64).max)
     place = np.empty(len(order), np.int64)
     place[order] = at
     number[place[begin]] = np.arange(len(begin))
@@ -271,7 +269,7 @@ def repeats(dealt: DataFrame, window: int, symbol: int) -> DataFrame:
             rows = shards.pop(shard)
             rows.sort(key=lambda r: r[:2])
             spans = [np.frombuffer(r[2], "<i8").reshape(-1, 2) for r in rows]
-            texts = Texts([w for r in rows for w in r[3].split(b"\n")])
+            texts = Texts([w for r in rows for w in zstandard.decompress(r[3]).split(b"\n")])
             flat = np.concatenate(spans)
             repeat = shard_repeats(texts.hashes, texts.first, window, symbol)
             start = np.repeat(flat[:, 0], flat[:, 1]) + ranges(flat[:, 1])
