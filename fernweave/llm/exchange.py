@@ -43,6 +43,12 @@ def from_low(x: bytes | np.ndarray) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
+def from_answer(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """40-bit values and the bit lengths of their counts."""
+    packed = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return from_low(packed[:, :5]), packed[:, 5]
+
+
 def repeated(values: np.ndarray) -> np.ndarray:
     """Whether each value stands more than once."""
     order = np.argsort(values, kind="stable")
@@ -77,10 +83,15 @@ def split(values: np.ndarray, owner: np.ndarray, docs: int, own: int, blocks: in
     return twice, rows
 
 
-def answer(hot: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def bits(x: np.ndarray) -> np.ndarray:
+    """Bit lengths of counts, as bytes."""
+    return np.ceil(np.log2(x + 1.0)).astype(np.uint8)
+
+
+def answer(values_too: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over messages dealt by `dest`: for each source the number of repeated values by document
-    and, with `hot`, those values (5 bytes and whether they stand at least `hot` times), and which of its often
-    found ones are hot. NUMBERS messages pass."""
+    and, with `values_too`, those values and the ones it had sent with a count, six bytes each: 40 bits and the bit length
+    of the value's count in the corpus. NUMBERS messages pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
@@ -104,11 +115,11 @@ def answer(hot: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 ends = at + np.concatenate(([0], np.cumsum(unzip_array(docs, "<u4").astype(np.int64))))
                 got, end, end2 = sums[ends], at + len(data) // 5, at2 + len(more) // OFTEN.itemsize
                 out = np.zeros((0, 6), np.uint8)
-                if hot is not None:
+                if values_too:
                     take = np.flatnonzero(flag[at:end])
-                    out = np.column_stack([np.frombuffer(data, np.uint8).reshape(-1, 5)[take], (total[at:end][take] >= hot).astype(np.uint8)])
-                    more = low_bytes(values[at2:end2][total[at2:end2] >= hot]).tobytes()
-                rows.append((0, src, COUNTS, zip_array((got[1:] - got[:-1]).astype("<u4")), out.tobytes(), more if hot is not None else b""))
+                    out = np.column_stack([np.frombuffer(data, np.uint8).reshape(-1, 5)[take], bits(total[at:end][take])])
+                    more = np.column_stack([low_bytes(values[at2:end2]), bits(total[at2:end2])]).tobytes()
+                rows.append((0, src, COUNTS, zip_array((got[1:] - got[:-1]).astype("<u4")), out.tobytes(), more if values_too else b""))
                 at, at2 = end, end2
             yield common.to_batch(rows, MESSAGE)
 

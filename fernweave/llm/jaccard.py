@@ -6,7 +6,8 @@ Method, with threshold t:
    another one too. Only those can overlap, so a document with fewer than t * size of them has no link.
 2. Equal sets are one row of the matrix from here on, represented by their smallest id.
 3. Two sets that link share one of the size - ceil(t * size) + 1 n-grams that come first in a common order, the
-   rarest first. Stars over those n-grams give the blocks of documents that must be compared.
+   rarest among those rows first; the counts come from a second exchange of the same kind. Stars over those n-grams
+   give the blocks of documents that must be compared.
 4. In each block, products of the sparse rows give exact overlaps; parts outside the size bounds are discarded
    unseen. A block keeps the links of a spanning forest, so a group of copies never becomes all its pairs. A block
    that holds more n-grams than a task should is split and all pairs of its parts are compared.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
-from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, split, unzip_array, zip_array
+from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_answer, split, unzip_array, zip_array
 from .words import U, Texts, gram_hashes, mix
 
 #: Bytes of text hashed at once, and bytes of text whose n-grams are sent together.
@@ -37,10 +38,12 @@ TEXT_BYTES, SEND_BYTES = 1 << 20, 1 << 23
 #: n-grams that one task compares; larger blocks of documents are split.
 BLOCK_GRAMS = 2_000_000
 COLUMNS = 4096  # n-grams multiplied at once
-CELLS = 1 << 20  # of the frequency sketch
+SOURCE_GRAMS = 1_000_000  # n-grams of candidate rows that are sent together
 SUMMARY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.int64())])
 SUMMARY_DDL = "doc_id long, n long, s1 long, s2 long, shared long"
 ROWS_DDL = "doc_id long, n long, grams binary"
+RANKED_DDL = "doc_id long, n long, first long, grams binary"
+RANKED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("grams", pa.binary())])
 ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
 
 
@@ -119,70 +122,98 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0], pa.int64(), mask=x[:, 1] == 1), *(pa.array(x[:, k], pa.int64()) for k in (2, 3, 4)), pa.array(count, pa.int64())], schema=SUMMARY)
 
     sent = common.whole_text(docs).mapInArrow(send, MESSAGE_DDL).repartition(parts, "dest")
-    counted = sent.mapInArrow(answer(None), MESSAGE_DDL).repartition(parts, "src")
+    counted = sent.mapInArrow(answer(False), MESSAGE_DDL).repartition(parts, "src")
     return common.materialize(counted.mapInArrow(gather, SUMMARY_DDL), "summaries")
 
 
-def sketch(rows: DataFrame) -> np.ndarray:
-    """For each cell of the hash range, the bit length of the number of n-grams in it, over all rows. The array is
-    of fixed size; tasks add up theirs, blocks of cells are summed over the cluster."""
-    slices, width = 16, CELLS // 16
+def ranked(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each row the n-grams that another row has too, the rarest first, and how many of them are among its first
+    size - ceil(t * size) + 1 n-grams (those of no other row stand before them). Rows with too few to link go."""
+    spark = rows.sparkSession
+    parts = common.shuffle_partitions(spark)
+    blocks = 3 * parts
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+    def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+        part, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
-            for g in batch.column("grams").to_pylist():
-                np.add.at(cells, (np.frombuffer(g, "<u8") % U(CELLS)).astype(np.int64), 1)
-        if cells.any():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "cells": [zip_array(cells[k * width : (k + 1) * width]) for k in range(slices)]})
+            for row in zip(*(batch.column(f.name).to_pylist() for f in ROWS), strict=True):
+                held.append(row)
+                size += row[1]
+                if size >= SOURCE_GRAMS:
+                    yield part + number, held
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield part + number, held
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = unzip_array(x, np.int64)
-                total[k] = total[k] + got if k in total else got
-        if total:
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(list(total), pa.int32()), "cells": [zip_array(x) for x in total.values()]})
+    def flat(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(g for *_, g in held), "<u8"), np.repeat(np.arange(len(held)), [n for _, n, _ in held])
 
-    ddl = "slice int, cells binary"
-    summed = rows.select("grams").mapInArrow(tally, ddl).repartition(slices, "slice").mapInArrow(add, ddl)
-    out = np.zeros(CELLS, np.int64)
-    for r in summed.collect():
-        out[r.slice * width : (r.slice + 1) * width] += unzip_array(r.cells, np.int64)
-    return np.ceil(np.log2(out + 1)).astype(np.uint8)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, held in sources(batches):
+            yield common.to_batch(split(*flat(held), len(held), own, blocks)[1], MESSAGE)
 
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, held in sources(batches):
+            head = np.array([(d, n) for d, n, _ in held], np.int64)
+            yield common.to_batch([(0, own, NUMBERS, zip_array(head), b"".join(g for *_, g in held), b"")], MESSAGE)
 
-def stars(rows: DataFrame, order: np.ndarray, num: int, den: int) -> DataFrame:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, found = {}, {}
+        for batch in batches:
+            for src, kind, docs_, data, often in zip(*(batch.column(c).to_pylist() for c in ("src", "kind", "docs", "data", "often")), strict=True):
+                if kind == NUMBERS:
+                    carried[src] = docs_, data
+                else:
+                    found.setdefault(src, []).append((data, often))
+        for src in list(carried):
+            head, data = carried.pop(src)
+            ids = unzip_array(head, np.int64).reshape(-1, 2)
+            value, rank = from_answer(b"".join(x for pair in found.pop(src, ()) for x in pair))
+            order = np.argsort(value, kind="stable")
+            value, rank = value[order], rank[order]
+            grams, at, out = np.frombuffer(data, "<u8"), 0, []
+            for doc, n in ids.tolist():
+                own = grams[at : at + n]
+                at += n
+                low = own & U((1 << 40) - 1)
+                place = np.minimum(np.searchsorted(value, low), len(value) - 1) if len(value) else np.zeros(n, np.int64)
+                hit = value[place] == low if len(value) else np.zeros(n, bool)
+                more = own[hit]
+                least = -(-num * n // den)
+                if len(more) >= least:
+                    order = np.lexsort((more, rank[place[hit]]))
+                    out.append((doc, n, len(more) - least + 1, more[order].astype("<u8").tobytes()))
+            yield common.to_batch(out, RANKED)
+
+    asked = rows.mapInArrow(send, MESSAGE_DDL).repartition(parts, "dest").mapInArrow(answer(True), MESSAGE_DDL)
+    both = rows.mapInArrow(carry, MESSAGE_DDL).union(asked)
+    return common.materialize(both.repartition(parts, "src").mapInArrow(gather, RANKED_DDL), "ranked")
+
+
+def stars(rows: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all rows which share one of their first n-grams."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, ids = [], []
-            for doc, n, raw in zip(*(batch.column(f.name).to_pylist() for f in ROWS), strict=True):
-                g = np.frombuffer(raw, "<u8")
-                m = n - -(-num * n // den) + 1
-                rank = order[(g % U(CELLS)).astype(np.int64)].astype(np.uint64) << U(56) | g >> U(8)
-                grams.append(g[np.argpartition(rank, m - 1)[:m]] if m < n else g)
-                ids.append(np.full(len(grams[-1]), doc, np.int64))
-            yield pa.RecordBatch.from_pydict({"gram": np.concatenate(grams).view(np.int64), "doc": np.concatenate(ids)}) if grams else pa.RecordBatch.from_pydict({"gram": pa.array([], pa.int64()), "doc": pa.array([], pa.int64())})
-
-    posts = rows.mapInArrow(first, "gram long, doc long")
+            grams = [np.frombuffer(g, "<u8")[:m] for m, g in zip(batch.column("first").to_pylist(), batch.column("grams").to_pylist(), strict=True)]
+            ids = np.repeat(np.array(batch.column("doc_id").to_pylist(), np.int64), [len(g) for g in grams])
+            yield pa.RecordBatch.from_pydict({"gram": np.concatenate([*grams, np.zeros(0, np.uint64)]).view(np.int64), "doc": ids})
+
     # the least document of each n-gram is summed before the shuffle; a frequent n-gram is a skewed join side
-    posts = common.materialize(posts, "postings")
+    posts = common.materialize(rows.mapInArrow(first, "gram long, doc long"), "postings")
     least = posts.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("gram", "a")
     return posts.join(least, "gram").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
 
 
-def overlaps(rows: tuple[np.ndarray, np.ndarray], cols: tuple[np.ndarray, np.ndarray], a: int, b: int) -> np.ndarray:
-    """Products of two blocks of sparse rows, each given as (row numbers, n-gram numbers): an a x b matrix of
+def overlaps(rows: tuple[np.ndarray, ...], cols: tuple[np.ndarray, ...], a: int, b: int) -> np.ndarray:
+    """Products of two blocks of sparse rows, each (row numbers, n-gram numbers, distinct ones): an a x b matrix of
     overlap counts. Only n-grams that both blocks have are multiplied, some thousand at a time."""
     out = np.zeros((a, b), np.float32)
-    shared = np.intersect1d(rows[1], cols[1])
+    shared = np.intersect1d(rows[2], cols[2], assume_unique=True)
     for at in range(0, len(shared), COLUMNS):
         grams = shared[at : at + COLUMNS]
         dense = []
-        for (row, gram), n in ((rows, a), (cols, b)):
+        for (row, gram, _), n in ((rows, a), (cols, b)):
             place = np.searchsorted(grams, gram)
             hit = grams[np.minimum(place, len(grams) - 1)] == gram
             block = np.zeros((n, len(grams)), np.float32)
@@ -212,22 +243,23 @@ class Union:
                 self.label = up
 
 
-def forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, block: int = 512) -> list[tuple[int, int]]:
-    """(root, document) for the components of rows with den * overlap >= num * union.
+def forest(ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], num: int, den: int, block: int = 512) -> list[tuple[int, int]]:
+    """(root, document) for the components of rows with den * overlap >= num * union. sizes count all n-grams of a
+    row, sets may leave out those of no other row.
 
     The matrix of rows by n-grams is multiplied with itself block by block. n-grams of a single row are left out;
     rows lie next to those with the same least n-gram, so most blocks share few columns; blocks whose rows are all
     outside each other's size bounds, or all in one component already, are passed over.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((ids, [int(s[0]) for s in sets]))
+    held = np.array([len(s) for s in sets], np.int64)
+    order = np.lexsort((ids, [int(s.min()) for s in sets]))
     _, flat, count = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
     flat, n = flat.reshape(-1), len(order)
-    row = np.repeat(np.arange(n), sizes[order])
+    row = np.repeat(np.arange(n), held[order])
     keep = count[flat] > 1
     flat, row, size, union = flat[keep], row[keep], sizes[order], Union(n)
     cuts = [*range(0, n, block), n]
-    part = [(row[a:e] - k, flat[a:e]) for k, a, e in zip(cuts, np.searchsorted(row, cuts[:-1]), np.searchsorted(row, cuts[1:]), strict=False)]
+    part = [(row[a:e] - k, flat[a:e], np.unique(flat[a:e])) for k, a, e in zip(cuts, np.searchsorted(row, cuts[:-1]), np.searchsorted(row, cuts[1:]), strict=False)]
     for gap in range(len(part)):
         for x in range(len(part) - gap):
             y = x + gap
@@ -247,17 +279,17 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, block: i
 def block_links(rows: DataFrame, clusters: DataFrame, num: int, den: int, most: int = BLOCK_GRAMS) -> DataFrame:
     """Links (a, b) within each cluster of rows."""
     placed = rows.join(clusters.select(F.col("node").alias("doc_id"), "component"), "doc_id")
-    sizes = placed.groupBy("component").agg(F.sum("n").alias("all")).select("component", F.ceil(2 * F.col("all") / most).cast("int").alias("parts"))
+    sizes = placed.groupBy("component").agg(F.sum(F.octet_length("grams") / 8).alias("all")).select("component", F.ceil(2 * F.col("all") / most).cast("int").alias("parts"))
     placed = placed.join(sizes, "component")
     one = F.col("parts") <= 2
     mine = F.when(one, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     other = F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = placed.withColumn("mine", mine).withColumn("other", F.explode(other))
-    keyed = pairs.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "grams")
+    keyed = pairs.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "n", "grams").repartition(common.shuffle_partitions(rows.sparkSession), "component", "i", "j")
 
     def run(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("doc_id").to_pylist(), np.int64)
-        found = forest(ids, [np.frombuffer(g, "<u8") for g in group.column("grams").to_pylist()], num, den)
+        found = forest(ids, np.array(group.column("n").to_pylist()), [np.frombuffer(g, "<u8") for g in group.column("grams").to_pylist()], num, den)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return keyed.groupBy("component", "i", "j").applyInArrow(run, "a long, b long")
@@ -272,7 +304,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     equal = copies.join(least.where("a < z"), ["n", "s1", "s2"]).select("a", F.col("doc_id").alias("b"))
     wanted = copies.where(F.col("shared") * den >= F.col("n") * num).join(least, ["n", "s1", "s2"]).where("doc_id = a").select("doc_id", "n", "s1", "s2").distinct()
     rows = common.materialize(sets_of(docs, wanted, n), "rows")
-    edges = stars(rows, sketch(rows), num, den)
+    rows = ranked(rows, num, den)
+    edges = stars(rows)
     links = block_links(rows, connected_components(edges), num, den)
     found = connected_components(links.union(equal))
     return known.join(found, known.doc_id == found.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
