@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_low, split, unzip_array, zip_array
+from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_answer, split, unzip_array, zip_array
 from .fm_index import FMIndex
 from .words import U, Texts, gram_hashes
 
 WINDOW, ANCHOR, SYMBOL = 20, 6, 10
 SEND_BYTES = 1 << 22
-HOT = 4096  # places from which an anchor's windows are dealt singly
+HOT = 4096  # places, rounded up to a power of two, from which an anchor's windows are dealt singly
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()), ("anchors", pa.binary()), ("hot", pa.binary())])
 BASE_DDL = "doc_id long, h long, n_words long, sha binary, anchors binary, hot binary"
@@ -105,7 +105,7 @@ def repeated_anchors(docs: DataFrame, window: int, q: int, hot: int) -> DataFram
     40 bits) and those of them that are hot."""
     spark = docs.sparkSession
     common.short_batches(spark)
-    parts = common.shuffle_partitions(spark)
+    parts, hot_bits = common.shuffle_partitions(spark), hot.bit_length()
     blocks = 3 * parts
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,14 +134,15 @@ def repeated_anchors(docs: DataFrame, window: int, q: int, hot: int) -> DataFram
             head = unzip_array(head, np.int64).reshape(-1, 3)
             n, size = len(head), int(np.frombuffer(local, "<i8", 1)[0])
             values = np.frombuffer(local, "<u8", offset=8 + size) & U((1 << 40) - 1)
-            hot_often = from_low(b"".join(x[2] for x in found.get(src, ())))
+            often, often_bits = from_answer(b"".join(x[2] for x in found.get(src, ())))
+            hot_often = often[often_bits >= hot_bits]
             owners = [np.repeat(np.arange(n), unzip_array(local[8 : 8 + size], "<u4"))]
             all_values, is_hot = [values], [np.isin(values, hot_often)]
             for docs_, data, _ in found.get(src, ()):
-                packed = np.frombuffer(data, np.uint8).reshape(-1, 6)
                 owners.append(np.repeat(np.arange(n), unzip_array(docs_, "<u4")))
-                all_values.append(from_low(packed[:, :5]))
-                is_hot.append(packed[:, 5] == 1)
+                value, value_bits = from_answer(data)
+                all_values.append(value)
+                is_hot.append(value_bits >= hot_bits)
             owner, value, warm = np.concatenate(owners), np.concatenate(all_values), np.concatenate(is_hot)
             order = np.argsort(owner, kind="stable")
             value, warm = value[order], warm[order]
@@ -153,7 +154,7 @@ def repeated_anchors(docs: DataFrame, window: int, q: int, hot: int) -> DataFram
             yield common.to_batch(rows, BASE)
 
     sent = with_hash(docs).select("doc_id", "h", "text").mapInArrow(send, MESSAGE_DDL).repartition(parts, "dest")
-    counted = sent.mapInArrow(answer(hot), MESSAGE_DDL).repartition(parts, "src")
+    counted = sent.mapInArrow(answer(True), MESSAGE_DDL).repartition(parts, "src")
     return common.materialize(counted.mapInArrow(gather, BASE_DDL), "anchors")
 
 
