@@ -29,9 +29,19 @@ def keywords(c: Column) -> Column:
     return ordered_unique(F.transform(c, strip))
 
 
+def once(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it: an array from an array of one element."""
+    return F.flatten(F.transform(F.array(c), f))
+
+
 def ngrams(segment: Column, n: int) -> Column:
     """All substrings of n code points in order; none of a shorter segment."""
-    return F.when(F.length(segment) >= n, F.transform(F.sequence(F.lit(1), F.length(segment) - (n - 1)), lambda k: F.substring(segment, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def cut(s: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda k: F.substring(s, k, F.lit(n)))
+        return F.when(F.length(s) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return once(segment, cut)
 
 
 def segments(c: Column) -> Column:
@@ -64,9 +74,14 @@ def whitespace_tokens(c: Column) -> Column:
 
 def bag_entries(tokens: Column) -> Column:
     """(key, weight) of each token and of each two neighbours joined; equal keys are to be added up."""
-    ones = F.transform(tokens, lambda t: F.struct(t.alias("key"), F.lit(UNIGRAM_WEIGHT).alias("weight")))
-    pairs = F.when(F.size(tokens) > 1, F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda k: F.struct(F.concat(F.element_at(tokens, k), F.element_at(tokens, k + 1)).alias("key"), F.lit(PAIR_WEIGHT).alias("weight")))).otherwise(F.slice(ones, 1, 0))
-    return F.concat(ones, pairs)
+
+    def entries(t: Column) -> Column:
+        ones = F.transform(t, lambda x: F.struct(x.alias("key"), F.lit(UNIGRAM_WEIGHT).alias("weight")))
+        joined = F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), lambda x, y: F.concat(x, y))
+        pairs = F.transform(F.filter(joined, lambda x: x.isNotNull()), lambda x: F.struct(x.alias("key"), F.lit(PAIR_WEIGHT).alias("weight")))
+        return F.concat(ones, pairs)
+
+    return once(tokens, entries)
 
 
 def literal_bonus(words: Column, text: Column) -> Column:
@@ -92,7 +107,8 @@ def sentence_pieces(c: Column) -> Column:
 
 
 def hard_wrap(c: Column, most: int) -> Column:
-    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c), F.lit(most)), lambda k: F.substring(c, k, F.lit(most)))).otherwise(F.array().cast("array<string>"))
+    cut = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s), F.lit(most)), lambda k: F.substring(s, k, F.lit(most)))).otherwise(F.array().cast("array<string>"))
+    return once(c, cut)
 
 
 def intent(c: Column) -> Column:
