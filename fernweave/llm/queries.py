@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import jaccard, substring, warc
 from .digest import op4_improbable_features
 from .jaccard import op10_ngram_jaccard
 from .packing import op6_best_fit_packing
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": warc.ORACLE_SQL}
+    return {"op1_warc_bundles": warc.ORACLE_SQL, "op8_substring_dedup": substring.ORACLE_SQL, "op10_ngram_jaccard": jaccard.ORACLE_SQL}

@@ -338,3 +338,14 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> D
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents`: windows of 20 words."""
     return deduplicate(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM starts) WHERE k > 1),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+last AS (SELECT words.*, max(later.i) OVER (PARTITION BY words.doc_id ORDER BY pos) AS i FROM words LEFT JOIN later ON later.doc_id = words.doc_id AND later.i = words.pos),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE i >= pos - 19) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE i IS NULL OR i < pos - 19) AS left_over FROM last GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
