@@ -6,7 +6,8 @@ and the ids go back to the blocks that asked. A block puts the ids back by posit
 table of ids and pieces, which is as long as the vocabulary.
 
 The vocabulary must drop white space and cut at it (Encoder.kind "word"). Both passes over the texts form the same
-blocks; a checksum of a block's words goes with the answers, and a difference is an error, not a wrong result.
+blocks, so docs should be a stored table (Parquet keeps the order of rows, a shuffle need not); a checksum of a block's
+words goes with the answers, and a difference is an error, not a wrong result.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; rows that repeat an id stay; an empty
 table gives no rows; further columns are ignored.
