@@ -34,11 +34,11 @@ from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_answer, split,
 from .words import U, Texts, gram_hashes, mix
 
 #: Bytes of text hashed at once, and bytes of text whose n-grams are sent together.
-TEXT_BYTES, SEND_BYTES = 1 << 20, 1 << 23
+TEXT_BYTES, SEND_BYTES = 1 << 20, 1 << 22
 #: n-grams that one task compares; larger blocks of documents are split.
 BLOCK_GRAMS = 2_000_000
 COLUMNS = 4096  # n-grams multiplied at once
-SOURCE_GRAMS = 1_000_000  # n-grams of candidate rows that are sent together
+SOURCE_GRAMS = 500_000  # n-grams of candidate rows that are sent together
 SUMMARY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shared", pa.int64())])
 SUMMARY_DDL = "doc_id long, n long, s1 long, s2 long, shared long"
 ROWS_DDL = "doc_id long, n long, grams binary"

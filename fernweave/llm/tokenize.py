@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -131,7 +131,7 @@ class Encoder:
         return b"".join(out)
 
 
-@cache
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker, kept between tasks."""
+    """One encoder per Python worker, kept between tasks, of the vocabulary last used."""
     return Encoder(path)

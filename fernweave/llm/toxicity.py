@@ -24,7 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +89,7 @@ class Distance:
     """Bytes that the toxic dictionary saves on a window, from 0 to MOST - 1; known words are looked up."""
 
     def __init__(self, toxic: bytes, plain: bytes):
-        self.memo = Memo(500_000)
+        self.memo = Memo(300_000)
         self.toxic, self.plain = map(self.compressor, (toxic, plain))
 
     @staticmethod
@@ -186,9 +186,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     return [(r.text, r.toxic) for r in rows]
 
 
-@cache
+@lru_cache(maxsize=1)
 def distance_of(model: Model) -> Distance:
-    """One per Python worker and model."""
+    """One per Python worker, of the model last used."""
     return Distance(model.toxic, model.plain)
 
 
