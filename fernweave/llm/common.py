@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -120,3 +120,22 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of frames that are no longer used, now instead of at some later time."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+_held: dict = {}
+
+
+def hold(key: object, make: Callable[[], object]):
+    """What a Python worker keeps between tasks, such as an encoder with its memo: only the last thing asked for, so that
+    workers that serve one operator after the other don't add up their memories."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drop what hold() keeps; tasks that need memory of their own begin with it."""
+    if _held:
+        _held.clear()
+        gc.collect()

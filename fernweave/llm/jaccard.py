@@ -96,6 +96,7 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
         return common.to_batch([*rows, (own % blocks, own, NUMBERS, zip_array(np.column_stack([ids, sigs, first[same.reshape(-1)], local]).astype(np.int64)), b"", b"")], MESSAGE)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         part, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -318,6 +319,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     texts = common.whole_text(docs).join(key, F.col("doc_id") == F.col("id")).select("doc_id", "text", "s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         for batch in batches:
             out = []
             for doc, s1, s2, g in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "s1", "s2")), gram_sets(batch.column("text").to_pylist(), n), strict=True):

@@ -109,6 +109,7 @@ def repeated_anchors(docs: DataFrame, window: int, q: int, hot: int) -> DataFram
     blocks = 3 * parts
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         part = TaskContext.get().partitionId() << 32
         for number, held in enumerate(grouped(rows_of(batches), SEND_BYTES)):
             own = part + number
@@ -164,6 +165,7 @@ def runs(texts: DataFrame, window: int, q: int, shards: int) -> DataFrame:
     common.short_batches(texts.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         items = ((d, h, a, w, t) for d, h, t, a, w in rows_of(batches))
         for held in grouped(items, SEND_BYTES):
             held.sort(key=lambda x: x[:2])

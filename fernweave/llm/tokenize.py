@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import hold
+
 MEMO_WORDS = 500_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Letters and then ASCII punctuation other than the apostrophe, which starts pieces of its own.
@@ -131,7 +132,6 @@ class Encoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder per Python worker, kept between tasks, of the vocabulary last used."""
-    return Encoder(path)
+    """The encoder of a Python worker, kept between tasks."""
+    return hold(("encoder", path), lambda: Encoder(path))

@@ -24,7 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -186,10 +186,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     return [(r.text, r.toxic) for r in rows]
 
 
-@lru_cache(maxsize=1)
 def distance_of(model: Model) -> Distance:
-    """One per Python worker, of the model last used."""
-    return Distance(model.toxic, model.plain)
+    """The distance of a Python worker, kept between tasks."""
+    return common.hold(("toxicity", model), lambda: Distance(model.toxic, model.plain))
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
