@@ -1,17 +1,17 @@
 """Operator 4: improbable-feature digests of documents.
 
 Method: every window of 64 bytes has an entropy; how rare its entropy is among all windows of the corpus ranks it.
-Each run of 64 windows votes for its leftmost rarest one and windows with enough votes are features; in texts below 4
-KB runs have 16 windows and one vote is enough, so that they too have a score of features. Features go into a chain of 2048-bit Bloom filters of at most 160 features each, five bits a feature. Two chains are as like as
-their filters' bits overlap beyond chance.
+In each run of 16 windows the leftmost rarest one is a feature, and in each run of 16 pieces of 8 bytes the leftmost one
+of least hash; texts of every size have both, by the same runs, so a text and its cut or edited copy meet however long
+they are. Features go in text order into a chain of 2048-bit Bloom filters of at most 160 features each, five bits a
+feature. Two chains are as like as their filters' bits overlap beyond chance.
 
 The rank table is counted over all windows of all documents and has a fixed size. Documents are compared with
 their neighbours in id order: they are dealt by ranges of ids, and each range also gets the first document of
 the next.
 
-Defined results: a null or empty text has an empty fingerprint; a text shorter than four windows has its 8-byte pieces (or
-itself) as features. Two
-equal fingerprints have likeness 1, an empty one and another 0. A null id sorts first, rows that repeat an id are
+Defined results: a null or empty text has an empty fingerprint; a text shorter than a window has pieces only, one shorter
+than a piece has itself as its feature. Two equal fingerprints have likeness 1, an empty one and another 0. A null id sorts first, rows that repeat an id are
 ordered by text. A single row is its own next. An empty table gives no rows; further columns are ignored.
 """
 
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 from .words import U, mix
 
-WIDTH, RUN, VOTES, PER_FILTER, BITS, HASHES = 64, 64, 16, 160, 2048, 5
-FEW, FEW_RUN, TINY, PIECE = 4096, 16, 4 * WIDTH, 8
+WIDTH, PIECE, RUN, PER_FILTER, BITS, HASHES = 64, 8, 16, 160, 2048, 5
 BINS = 1001
 CHUNK = 1 << 17
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -98,41 +97,45 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return np.argsort(np.argsort(counts, kind="stable"), kind="stable").astype(np.uint64)
 
 
+def least_of_runs(order: np.ndarray, begin: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Places below n that are the leftmost least of a run of RUN places of their text; order has the places' own."""
+    at_bits = U(n.bit_length())
+    valid = window_starts(begin, count)
+    key = np.full(n + RUN, np.iinfo(np.uint64).max, np.uint64)
+    key[valid] = order << at_bits | valid.astype(np.uint64)
+    have = 1
+    while have < RUN:
+        key = np.minimum(key[:-have], key[have:])
+        have *= 2
+    runs = window_starts(begin, np.where(count > 0, np.maximum(count - RUN + 1, 1), 0))
+    least = (key[runs] & ((U(1) << at_bits) - U(1))).astype(np.int64)
+    return least[np.diff(least, prepend=-1) > 0]
+
+
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """Hashes of each text's features in text order."""
     out: list[np.ndarray] = []
     for a, e in chunks(texts):
         part = texts[a:e]
         begin, size = starts_of(part)
-        data = np.frombuffer(b"".join(part) + b"\0" * (2 * WIDTH), np.uint8)
+        begin = begin + RUN * np.arange(len(part))  # a gap after each text, so that no run reaches the next one
+        data = np.frombuffer(b"".join(t + b"\0" * RUN for t in part) + b"\0" * WIDTH, np.uint8)
         windows = np.maximum(size - WIDTH + 1, 0)
-        bins, valid = entropy_bins(data), window_starts(begin, windows)
-        at_bits = U(max(1, int(len(data)).bit_length()))
-        key = np.full(len(data) + RUN, np.iinfo(np.uint64).max, np.uint64)
-        key[valid] = rank[bins[valid]] << at_bits | valid.astype(np.uint64)
-        have, votes = 1, np.zeros(len(data), np.int64)
-        while have < RUN:
-            key = np.minimum(key[:-have], key[have:])
-            have *= 2
-            if have in (FEW_RUN, RUN):
-                own = (windows > 0) & ((size < FEW) == (have == FEW_RUN))
-                runs = window_starts(begin, np.where(own, np.maximum(windows - have + 1, 1), 0))
-                votes += np.bincount((key[runs] & ((U(1) << at_bits) - U(1))).astype(np.int64), minlength=len(data))
-        owner_votes = np.repeat(np.where(size < FEW, 1, VOTES), windows)
-        picked = valid[votes[valid] >= owner_votes]
-        rows = np.lib.stride_tricks.sliding_window_view(data, WIDTH)[picked]
-        eight = np.ascontiguousarray(rows).view("<u8")
-        h = np.zeros(len(picked), np.uint64)
+        wide = least_of_runs(rank[entropy_bins(data)[window_starts(begin, windows)]], begin, windows, len(data))
+        eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, WIDTH)[wide]).view("<u8")
+        h = np.zeros(len(wide), np.uint64)
         for k in range(8):
             h = mix(h + eight[:, k] + U(0x9E3779B97F4A7C15))
-        edges = np.searchsorted(picked, np.append(begin, len(data)))
-        for k, t in enumerate(part):
-            if 0 < len(t) < TINY:
-                short = np.frombuffer(t + b"\0" * max(0, PIECE - len(t)), np.uint8)
-                pieces = np.lib.stride_tricks.sliding_window_view(short, PIECE)
-                out.append(mix(np.ascontiguousarray(pieces).view("<u8").reshape(-1) + U(len(t) < PIECE)))
-            else:
-                out.append(h[edges[k] : edges[k + 1]])
+        pieces = np.where(size > 0, np.maximum(size - PIECE + 1, 1), 0)
+        at = window_starts(begin, pieces)
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, PIECE)).view("<u8").reshape(-1)
+        mixed = np.zeros(len(data), np.uint64)
+        mixed[at] = mix(words[at] + np.repeat(size < PIECE, pieces).astype(np.uint64))
+        narrow = least_of_runs(mixed[at] >> U(len(data).bit_length()), begin, pieces, len(data))
+        places, marks = np.concatenate([wide, narrow]), np.concatenate([h, mixed[narrow]])
+        order = np.argsort(places, kind="stable")
+        edges = np.searchsorted(places[order], np.append(begin, len(data)))
+        out += np.split(marks[order], edges[1:-1])
     return out
 
 

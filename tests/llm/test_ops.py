@@ -305,6 +305,15 @@ def test_op4(spark, docs, rows, empty):
     assert digest.likeness(digest.filters(np.arange(5, dtype=np.uint64)), digest.filters(np.zeros(0, np.uint64))) == 0
 
 
+@pytest.mark.parametrize("long, short", [(4300, 3900), (280, 230), (70, 60)])
+def test_likeness_across_sizes(long, short):
+    rng = np.random.default_rng(4)
+    text = " ".join("".join(rng.choice(list("aeinorst"), rng.integers(2, 8))) for _ in range(2000)).encode()
+    rank = digest.rarity(digest.histogram([text]))
+    chains = [digest.filters(m) for m in digest.features([text[:long], text[:short], text[-short:]], rank)]
+    assert digest.likeness(chains[0], chains[1]) > 0.8 > 0.3 > digest.likeness(chains[0], chains[2])
+
+
 def test_entropy_is_exact():
     data = np.random.default_rng(0).integers(97, 110, 300).astype(np.uint8)
     for k, bin_ in enumerate(digest.entropy_bins(data)):
