@@ -7,8 +7,8 @@ is the same and a match at the window's end is found. A text's counts of windows
 share of the text, go through a logistic curve; its weights and the window thresholds are calibrated on labelled texts
 that the dictionaries have not seen.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE), chosen by a hash of the id, of which at most
-FIT_CHARS code points each are read; scoring reads whole texts. Only the text is an input of a score.
+The model is fitted on the whole texts of a bounded sample of labelled rows (SAMPLE), chosen by a hash of the id, so
+that counts are calibrated on texts as long as those scored. Only the text is an input of a score.
 
 Defined results: a null or empty text has no window and gets the score of zero counts. If the labels lack one class
 there is nothing to tell apart, and all scores are the share of toxic labels (0 without labels). Rows that repeat
@@ -36,7 +36,6 @@ from . import common
 from .tokenize import Memo
 
 SAMPLE = {1: 3000, 0: 5000}
-FIT_CHARS = 8000
 TOXIC_BYTES, PLAIN_BYTES = 8192, 24_000
 CROSS = 400  # toxic texts from which half of them make the dictionaries
 FEW, SHARE, ODDS = 4, 0.015, 4.0  # a typical n-gram: so many toxic texts, such a share of them, such log odds
@@ -180,8 +179,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     mixed = F.xxhash64("doc_id")
     some = [known.where(F.col("toxic") == y).orderBy(mixed, "doc_id").limit(n) for y, n in SAMPLE.items()]
-    texts = common.whole_text(docs).select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(some[0].union(some[1])), "doc_id").collect()  # SAMPLE bounds both
+    rows = common.whole_text(docs).join(F.broadcast(some[0].union(some[1])), "doc_id").collect()  # SAMPLE bounds both
     rows.sort(key=lambda r: (hashlib.md5(str(r.doc_id).encode()).digest(), r.text))
     return [(r.text, r.toxic) for r in rows]
 

@@ -334,3 +334,10 @@ def test_op3(spark, docs, empty):
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.keep_ordinary(docs, model).columns == docs.columns
     assert toxicity.score(empty, model).count() == 0
+
+
+def test_op3_fits_on_whole_texts(spark):
+    texts = [(k, "word " * 4000 + f"end{k}") for k in range(12)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
+    got = toxicity.sample(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    assert got and set(got) <= {(t, k % 2) for k, t in texts}
