@@ -1,7 +1,8 @@
 """Operator 3: toxicity by compression distance.
 
-Method: one zstandard dictionary is trained on words typical of toxic texts and one on words of ordinary texts.
-Each window of a text, a word between spaces, is compressed with either; how many bytes the toxic dictionary
+Method: one zstandard dictionary is trained on words typical of toxic texts, which are those with an n-gram of a
+log-odds lexicon (typical()), and one on all words of ordinary texts. Each window of a text, a run of letters in lower
+case, is compressed with either; how many bytes the toxic dictionary
 saves is the window's distance. A filler that both dictionaries end with follows each window, so that block overhead
 is the same and a match at the window's end is found. A text's counts of windows beyond each distance, and their
 share of the text, go through a logistic curve; its weights and the window thresholds are calibrated on labelled texts
@@ -139,7 +140,7 @@ def train(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
     windows = [f" {w} ".encode() for t in toxic for w in words(t) if not good.isdisjoint(grams(w))]
     others = [f" {w} ".encode() for t in plain for w in words(t)]
     random.Random(7).shuffle(others)
-    return trained(windows, TOXIC_BYTES), trained(others[:200_000], PLAIN_BYTES)
+    return trained(windows, TOXIC_BYTES), trained(others, PLAIN_BYTES)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model | float:

@@ -341,3 +341,10 @@ def test_op3_fits_on_whole_texts(spark):
     labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
     got = toxicity.sample(spark.createDataFrame(texts, "doc_id long, text string"), labels)
     assert got and set(got) <= {(t, k % 2) for k, t in texts}
+
+
+def test_op3_trains_on_all_ordinary_words(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "trained", lambda samples, size: seen.append(len(samples)) or b"")
+    toxicity.train(["bad"] * 4, ["one two three four five " * 10_000] * 5)
+    assert seen[1] == 250_000
