@@ -20,15 +20,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 #: Base kinds in the order that breaks ties, then the added ones.
 BASE = ("assign", "access", "hex")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: A private key to its END line; without one before the next marker, its header fields, base64 lines and a last shorter one.
+PEM = re.compile(
+    r"""-----BEGIN\x20([A-Z ]{0,40}PRIVATE\x20KEY)-----
+    (?:(?:(?!-----(?:BEGIN|END)\x20).)*-----END\x20\1-----
+    |(?:(?:\s|\\[nr])+(?:Proc-Type|DEK-Info):\s?\S+)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*
+    (?:(?:\s|\\[nr])+(?:[A-Za-z0-9+/]+={1,2}|(?=[A-Za-z]*[0-9+/])[A-Za-z0-9+/]+|[A-Za-z]+(?=[^\S\n]*(?:\n|\Z)))(?![A-Za-z0-9+/=]))?)""",
+    re.VERBOSE | re.DOTALL,
+)
 ADDED = (
-    ("pem", "-----BEGIN", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
+    ("pem", "-----BEGIN", PEM),
     ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
 )
 KINDS = (*BASE, *(name for name, _, _ in ADDED))

@@ -52,6 +52,20 @@ def test_secrets(spark, docs):
         assert not found or "hunter22x" not in r.text
 
 
+def test_private_keys(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + c * 48 for c in "uvwx"] + ["Qz9+short"]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    body = "\n".join(lines)
+    keys = [f"{begin}\n{body}\n{end}", f"{begin}\n{fields}{body}\n{end}", f"{begin}\n{body}\n", f"{begin}\n{fields}{body}\n", " ".join([begin, *lines, end]), " ".join([begin, *lines]), "\\n".join([begin, *lines, end]), f"{begin}\n{body}\n{begin}\n{body}\n{end}"]
+    rows = [(k, f"before {key} after it") for k, key in enumerate(keys)]
+    got = stages.without_secrets(spark.createDataFrame(rows, "doc_id long, text string"), secrets.BlobLedger(spark, common.new_dir(spark, "ledger"))).collect()
+    assert len(got) == len(keys)
+    for r in got:
+        assert r.text.startswith("before [secret]") and r.text.endswith("after it")
+        assert not any(x in r.text for x in (*lines, "MIIE", "short", "PRIVATE", "DEK-Info"))
+
+
 def test_whole_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
