@@ -225,15 +225,16 @@ def resolved_aliases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def name_pairs(nodes: DataFrame, kind: str, name: str) -> DataFrame:
-    """Pairs of names of one kind that may mean the same: blocked by shared signs, so only names with something in
-    common meet, and then judged exactly."""
+    """Pairs of names of one kind that may mean the same, judged exactly. Names meet by their least shared sign: near
+    names have one, as a distance of at most half the shorter name leaves a sign as it is."""
     grams = lambda c: F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda k: F.substring(c, k, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     signs = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
     names = nodes.select(kind, F.col(name).alias("n")).where("n <> ''").distinct()
-    words = names.select(kind, "n", F.explode(F.array_distinct(F.split("n", " "))).alias("key"))
-    left, right = words.withColumnRenamed("n", "a"), words.withColumnRenamed("n", "b")
-    pairs = left.join(right, [kind, "key"]).where("a < b").select(kind, "a", "b").distinct()
+    keyed = names.select(kind, "n", F.explode(signs(F.col("n"))).alias("key"))
+    left, right = keyed.withColumnRenamed("n", "a"), keyed.withColumnRenamed("n", "b")
     a, b = F.col("a"), F.col("b")
+    first = F.array_min(F.array_intersect(signs(a), signs(b)))
+    pairs = left.join(right, [kind, "key"]).where((a < b) & (F.col("key") == first)).select(kind, "a", "b")
     differ = F.concat(F.array_except(grams(a), grams(b)), F.array_except(grams(b), grams(a)))
     ascii_ = a.rlike(r"^[\x00-\x7F]*$") & b.rlike(r"^[\x00-\x7F]*$") & a.rlike("[A-Za-z]") & b.rlike("[A-Za-z]")
     overlap, most = F.size(F.array_intersect(signs(a), signs(b))), F.greatest(F.size(signs(a)), F.size(signs(b)))

@@ -91,3 +91,8 @@ def test_upsert_and_balanced(spark):
 def test_greedy_batches(spark):
     rows = spark.createDataFrame([("s", k, c) for k, c in enumerate([5, 5, 6, 20, 1])], "source string, doc_id long, n_chars long")
     assert [r.batch for r in C.greedy_batches(rows, "source", "doc_id", "n_chars", 10).orderBy("doc_id").collect()] == [0, 0, 1, 2, 3]
+
+
+def test_names_without_a_shared_word_meet(spark):
+    names = spark.createDataFrame([("k", n) for n in ("cold rod", "old bolt", "当归片", "当归丸", "zzz")], "kind string, name string")
+    assert {(r.a, r.b) for r in G.name_pairs(names, "kind", "name").collect()} == {("cold rod", "old bolt"), ("当归丸", "当归片")}
