@@ -8,6 +8,7 @@ from fernweave.operators import chunking as C
 from fernweave.operators import graph as G
 from fernweave.operators import relational as R
 from fernweave.operators import retrieval as V
+from fernweave.plans import relational as plans
 
 
 def value(spark, column):
@@ -96,3 +97,9 @@ def test_greedy_batches(spark):
 def test_names_without_a_shared_word_meet(spark):
     names = spark.createDataFrame([("k", n) for n in ("cold rod", "old bolt", "当归片", "当归丸", "zzz")], "kind string, name string")
     assert {(r.a, r.b) for r in G.name_pairs(names, "kind", "name").collect()} == {("cold rod", "old bolt"), ("当归丸", "当归片")}
+
+
+def test_token_ngrams_keeps_long_items(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(300))
+    spark.createDataFrame([(1, "one two"), (2, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.item_id: r.tokens for r in plans.token_ngrams(spark, str(tmp_path)).collect()} == {1: 2, 2: 300}
