@@ -120,7 +120,7 @@ def ordered_id_fetch(spark, sf_dir):
 def records(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.lit("chunk").alias("content_type"), F.col("doc_id").cast("string").alias("id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("rank"))
     parts = table(spark, sf_dir, "part").select(F.lit("entity").alias("content_type"), F.col("p_partkey").cast("string").alias("id"), F.concat("p_name", F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("rank"))
-    sup = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select(F.lit("relation").alias("content_type"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("rank"))
+    sup = table(spark, sf_dir, "supplier").select(F.lit("relation").alias("content_type"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("rank"))
     return docs.unionByName(parts).unionByName(sup)
 
 

@@ -103,3 +103,9 @@ def test_token_ngrams_keeps_long_items(spark, tmp_path):
     text = " ".join(f"w{k}" for k in range(300))
     spark.createDataFrame([(1, "one two"), (2, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.item_id: r.tokens for r in plans.token_ngrams(spark, str(tmp_path)).collect()} == {1: 2, 2: 300}
+
+
+def test_balanced_records_of_all_suppliers(spark, sf_dir):
+    types = [r.content_type for r in plans.missing_records_balanced(spark, sf_dir).collect()]
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    assert len(types) == 64 and types.count("relation") == min(21, suppliers) > 6
