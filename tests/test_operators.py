@@ -8,6 +8,7 @@ from fernweave.operators import chunking as C
 from fernweave.operators import graph as G
 from fernweave.operators import relational as R
 from fernweave.operators import retrieval as V
+from fernweave.plans import graph as graphs
 from fernweave.plans import relational as plans
 
 
@@ -109,3 +110,25 @@ def test_balanced_records_of_all_suppliers(spark, sf_dir):
     types = [r.content_type for r in plans.missing_records_balanced(spark, sf_dir).collect()]
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     assert len(types) == 64 and types.count("relation") == min(21, suppliers) > 6
+
+
+def test_graph_queries_have_parts(spark, sf_dir):
+    parts = {f"part:{r.l_partkey}" for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey = 1").collect()}
+    near = {r.id for r in graphs.bfs_neighborhood(spark, sf_dir).where("depth = 1").collect()}
+    assert parts and parts <= near
+    nodes, edges = graphs.star(spark, sf_dir)
+    ids, arcs = [r.id for r in nodes.collect()], {}
+    for r in G.both_ways(G.undirected(G.edge_weights(edges, nodes))).collect():
+        arcs.setdefault(r[0], []).append((r[1], r[2]))
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(graphs.ROUNDS):
+        lost = sum(rank[i] for i in ids if i not in arcs)
+        new = dict.fromkeys(ids, (0.15 + 0.85 * lost) / len(ids))
+        for a, out in arcs.items():
+            total = sum(w for _, w in out)
+            for b, w in out:
+                new[b] += 0.85 * rank[a] * w / total
+        rank = new
+    got = {r.id: r.pagerank for r in graphs.pagerank_k(spark, sf_dir).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-7 for i in ids)
+    assert {r.id for r in graphs.node_analytics(spark, sf_dir).collect()} == set(ids)
