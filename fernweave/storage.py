@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, a temporary one is made and set."""
+    """The folder in spark.checkpoint.dir. Where it is unset and all tasks run in this process, as in tests, a temporary one
+    is made and set; on a cluster that would scatter the data over local disks, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fernweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -27,3 +31,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of a loop: put() writes the next one and deletes the one before the last, which nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = new_dir(self.spark, self.label)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            delete_dir(self.spark, self.paths.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def delete_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, with what is in it."""
+    if not path.startswith(shared_root(spark) + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
