@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Rounds, materialize, new_dir, shared_root  # noqa: F401
+
 #: Rows of an Arrow batch; texts may be long, so batches stay short.
 BATCH_ROWS = 256
 
@@ -21,21 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors share; where it is unset
-    (a single machine, as in tests) a temporary one is made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="fernweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    """A path for a new folder below the shared one."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches hold at most `rows` rows, which bounds a Python worker's memory by the longest texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -43,13 +29,6 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
-    path = new_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def whole_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with a null text as the empty one; further columns go."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -85,13 +64,16 @@ class AtomicFile:
         self.size += len(data)
         return len(data)
 
-    def commit(self) -> None:
-        self.out.close()
-        self.fs.move(self.temp, self.path)
+    def __enter__(self) -> AtomicFile:
+        return self
 
-    def abort(self) -> None:
+    def __exit__(self, error: object, *_: object) -> None:
+        """Put the file in place, or delete what was written of it when the task failed."""
         self.out.close()
-        self.fs.delete_file(self.temp)
+        if error is None:
+            self.fs.move(self.temp, self.path)
+        else:
+            self.fs.delete_file(self.temp)
 
 
 def open_input(uri: str) -> pa.NativeFile:

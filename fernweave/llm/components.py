@@ -1,7 +1,8 @@
 """Connected components of a graph given by edges, by alternating large-star and small-star steps.
 
 Each step takes a minimum per node, which is summed up before the shuffle, and joins it back, so a node with
-very many edges is split like any skewed join side. Edges are written to the shared folder after each round.
+very many edges is split like any skewed join side. Edges are written to the shared folder after each round, and those
+of rounds before the last are deleted.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """edges: (a, b) of long, in any direction, loops and repeats allowed. (node, component) of every node that
     has an edge to another one; the component is its smallest node."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, state = common.materialize(now, "edges"), None
+    kept, state = common.Rounds(edges.sparkSession, "edges"), None
+    now = kept.put(now)
     for _ in range(rounds):
-        now = common.materialize(small_star(large_star(now)).where("u <> v").distinct(), "edges")
+        now = kept.put(small_star(large_star(now)).where("u <> v").distinct())
         seen = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(u % 1000003)")).first())
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,8 +5,10 @@ pieces in one pass. A packer keeps a fixed number of open bins; a bitset keyed b
 bin that still takes a piece. When no open bin takes it, a new bin opens, and if there are then too many, the
 fullest closes first. Memory is bounded by the number of open bins, so any task takes any number of pieces.
 
-Defined results: a null text is the empty one (one end id); rows that repeat an id are packed each; an empty
-table gives no rows; further columns are ignored. Among equals the lowest bin number is taken.
+Defined results: a null text is the empty one (one end id); a text longer than a sequence is cut into pieces of the
+sequence length, whole; rows that repeat an id, null ids included, are packed each; an empty table gives no rows;
+further columns are ignored. Among bins of equal free space the one that got to it last is taken, so ties are settled
+by the order of the pieces.
 """
 
 from __future__ import annotations

@@ -4,14 +4,16 @@ Method: documents are range-partitioned by id, each task encodes its documents i
 independent frames (frames.py) whose index maps a document to frame and offset, so that a reader decompresses
 only the frames of the documents asked for.
 
-Defined results: a null text is the empty one (one end id); a null id sorts first; rows that repeat an id all
-stay, ordered by text; an empty table gives no file and no rows; further columns are ignored.
+Defined results: a null text is the empty one (one end id); a text longer than a frame's size is a frame of its own with
+what came before it; a null id sorts first; rows that repeat an id all stay, ordered by text, so ties are between equal
+rows; an empty table gives no file and no rows; further columns are ignored. Ids that don't fit id_bytes are an error.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,41 +37,42 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     Files are numbered in id order. id_bytes: 2 where the vocabulary has at most 65,536 ids, else 4. The write
     runs now; the manifest is as long as the number of files.
     """
+    if max(encoder(tokenizer).tok.get_vocab_size() - 1, end_id) >= 1 << 8 * id_bytes:
+        raise ValueError(f"ids of {tokenizer} don't fit {id_bytes} bytes")
     spark = docs.sparkSession
     common.short_batches(spark)
     n = partitions or common.shuffle_partitions(spark)
     texts = common.whole_text(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dtype = encoder(tokenizer), f"<u{id_bytes}"
-        part, out, index = TaskContext.get().partitionId(), None, []
-        end, held, size, frame = np.array([end_id], dtype).tobytes(), [], 0, 0
-        tokens = 0
-        for batch in batches:
-            if out is None and batch.num_rows:
-                out = common.AtomicFile(f"{path}/{part:08d}.tokens.zst")
-                writer = FrameWriter(out)
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.ids(text)
-                if id_bytes != 4:
-                    ids = np.frombuffer(ids, "<u4").astype(dtype).tobytes()
-                ids += end
-                index.append((doc, len(ids) // id_bytes, frame, size))
-                tokens += len(ids) // id_bytes
-                held.append(ids)
-                size += len(ids)
-                if size >= FRAME_BYTES:
-                    frame = writer.add(b"".join(held)) + 1
-                    held, size = [], 0
-        if out is None:
+        full = (b for b in batches if b.num_rows)
+        first = next(full, None)
+        if first is None:
             return
-        if held:
-            writer.add(b"".join(held))
-        columns = [pa.array(c, type=f.type) for c, f in zip(zip(*index, strict=True), INDEX, strict=True)]
-        meta = {"id_bytes": str(id_bytes), "end_id": str(end_id)}
-        writer.finish(pa.Table.from_arrays(columns, schema=INDEX.with_metadata(meta)))
-        out.commit()
-        yield pa.RecordBatch.from_pydict({"file": [f"{path}/{part:08d}.tokens.zst"], "part": [part], "docs": [len(index)], "tokens": [tokens]})
+        enc, dtype, part = encoder(tokenizer), f"<u{id_bytes}", TaskContext.get().partitionId()
+        end, held, size, frame, index, tokens = np.array([end_id], dtype).tobytes(), [], 0, 0, [], 0
+        name = f"{path}/{part:08d}.tokens.zst"
+        with common.AtomicFile(name) as out:
+            writer = FrameWriter(out)
+            for batch in chain([first], full):
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids = enc.ids(text)
+                    if id_bytes != 4:
+                        ids = np.frombuffer(ids, "<u4").astype(dtype).tobytes()
+                    ids += end
+                    index.append((doc, len(ids) // id_bytes, frame, size))
+                    tokens += len(ids) // id_bytes
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= FRAME_BYTES:
+                        frame = writer.add(b"".join(held)) + 1
+                        held, size = [], 0
+            if held:
+                writer.add(b"".join(held))
+            columns = [pa.array(c, type=f.type) for c, f in zip(zip(*index, strict=True), INDEX, strict=True)]
+            meta = {"id_bytes": str(id_bytes), "end_id": str(end_id)}
+            writer.finish(pa.Table.from_arrays(columns, schema=INDEX.with_metadata(meta)))
+        yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "docs": [len(index)], "tokens": [tokens]})
 
     return spark.createDataFrame(texts.mapInArrow(write, MANIFEST).collect(), MANIFEST)
 

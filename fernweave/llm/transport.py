@@ -5,8 +5,10 @@ Method: a payload is cut into access units, each in one PES packet with a presen
 that is marked as random-access point. Reading parses both tables, checks sync bytes, table checksums and the
 continuity counters, reassembles the elementary packets and returns their timestamps and random-access points.
 
-Defined results: a null text is the empty one and gives one padded block; equal texts give equal values; rows
-that repeat an id stay; an empty table gives no rows; further columns are ignored.
+Defined results: a null text is the empty one and gives one padded block; a text of any length is one stream in
+memory, about 1.1 times its bytes, whose timestamps wrap at 2^33 ticks as the format has it; equal texts give equal
+values, so there are no ties; rows that repeat an id, null ids included, stay; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ Method: records are grouped into independent frames, a seek table ends the file,
 identifier to its frame and the offset inside it (frames.py). Records with equal payloads of at least 1000
 bytes keep one response, the record with the largest id; the others are revisit records that refer to it.
 
-Defined results: a null html is the empty payload; a null id is lower than any other; rows that repeat id and
-payload are all written alike; an empty table gives no rows; further columns are ignored.
+Defined results: a null html is the empty payload; a payload longer than a frame's size is a frame of its own with what
+came before it; a null id is lower than any other and never the one referred to unless all are null; rows that repeat id
+and payload are all written alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -72,25 +74,25 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     rows = plain.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, index, held, size, frame = f"{path}/{TaskContext.get().partitionId():08d}.warc.zst", None, [], [], 0, 0
-        for batch in batches:
-            if out is None and batch.num_rows:
-                out = common.AtomicFile(name)
-                writer = FrameWriter(out)
-            for page, url, html, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = record(page, url, html.encode(), other)
-                index.append((f"{URN}{'' if page is None else page}", frame, size, len(raw)))
-                held.append(raw)
-                size += len(raw)
-                if size >= FRAME_BYTES:
-                    frame = writer.add(b"".join(held)) + 1
-                    held, size = [], 0
-        if out is None:
+        full = (b for b in batches if b.num_rows)
+        first = next(full, None)
+        if first is None:
             return
-        if held:
-            writer.add(b"".join(held))
-        writer.finish(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*index, strict=True), INDEX, strict=True)], schema=INDEX))
-        out.commit()
+        name, index, held, size, frame = f"{path}/{TaskContext.get().partitionId():08d}.warc.zst", [], [], 0, 0
+        with common.AtomicFile(name) as out:
+            writer = FrameWriter(out)
+            for batch in chain([first], full):
+                for page, url, html, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    raw = record(page, url, html.encode(), other)
+                    index.append((f"{URN}{'' if page is None else page}", frame, size, len(raw)))
+                    held.append(raw)
+                    size += len(raw)
+                    if size >= FRAME_BYTES:
+                        frame = writer.add(b"".join(held)) + 1
+                        held, size = [], 0
+            if held:
+                writer.add(b"".join(held))
+            writer.finish(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*index, strict=True), INDEX, strict=True)], schema=INDEX))
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [len(index)]})
 
     return spark.createDataFrame(rows.mapInArrow(write, "file string, records long").collect(), "file string, records long")
