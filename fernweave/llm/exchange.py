@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
 from . import common
 
@@ -43,10 +44,21 @@ def from_low(x: bytes | np.ndarray) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def from_answer(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """40-bit values and the bit lengths of their counts."""
+def keys_of(values: np.ndarray, blocks: int) -> np.ndarray:
+    """What an exchange knows of 64-bit values: the block, and the bits that were sent. Equal for all sources."""
+    return ((values >> U(LOW)) % U(blocks)) << U(LOW) | values & U(MASK)
+
+
+def from_answer(x: bytes, dest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the values of a block and the bit lengths of their counts."""
     packed = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return from_low(packed[:, :5]), packed[:, 5]
+    return from_low(packed[:, :5]) | U(dest) << U(LOW), packed[:, 5]
+
+
+def from_answers(parts: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """from_answer() of several blocks, one after the other."""
+    both = [from_answer(x, dest) for x, dest in parts]
+    return np.concatenate([v for v, _ in both] or [np.zeros(0, np.uint64)]), np.concatenate([b for _, b in both] or [np.zeros(0, np.uint8)])
 
 
 def repeated(values: np.ndarray) -> np.ndarray:
@@ -88,39 +100,61 @@ def bits(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x + 1.0)).astype(np.uint8)
 
 
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(value, rows) of rows that come sorted by a column; one value's rows are held at a time."""
+    now, held = None, []
+    for batch in batches:
+        for value, row in zip(batch.column(key).to_pylist(), zip(*(c.to_pylist() for c in batch.columns), strict=True), strict=True):
+            if held and value != now:
+                yield now, held
+                held = []
+            now = value
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def to_blocks(sent: DataFrame, parts: int) -> DataFrame:
+    """Messages at the task of their block, one block after the other."""
+    return sent.repartition(parts, "dest").sortWithinPartitions("dest")
+
+
+def to_sources(answered: DataFrame, parts: int) -> DataFrame:
+    """Messages at the task of their source, one source after the other, its NUMBERS first."""
+    return answered.repartition(parts, "src").sortWithinPartitions("src", "kind")
+
+
 def answer(values_too: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over messages dealt by `dest`: for each source the number of repeated values by document
+    """For mapInArrow over to_blocks(): for each source the number of repeated values by document
     and, with `values_too`, those values and the ones it had sent with a count, six bytes each: 40 bits and the bit length
-    of the value's count in the corpus. NUMBERS messages pass."""
+    of the value's count in the corpus; `dest` is the block. NUMBERS messages pass."""
+
+    def reply(messages: list[tuple]) -> pa.RecordBatch:
+        lone = from_low(b"".join(m[4] for m in messages))
+        often = np.frombuffer(b"".join(m[5] for m in messages), OFTEN)
+        values = np.concatenate([lone, from_low(often["low"])])
+        weight = np.concatenate([np.ones(len(lone), np.int64), often["count"].astype(np.int64)])
+        _, which = np.unique(values, return_inverse=True)
+        total = np.bincount(which.reshape(-1), weights=weight).astype(np.int64)[which.reshape(-1)] if len(values) else weight
+        flag, rows, at, at2 = (total[: len(lone)] > 1).astype(np.int64), [], 0, len(lone)
+        sums = np.concatenate(([0], np.cumsum(flag)))
+        for _, src, _, docs, data, more in messages:
+            ends = at + np.concatenate(([0], np.cumsum(unzip_array(docs, "<u4").astype(np.int64))))
+            got, end, end2 = sums[ends], at + len(data) // 5, at2 + len(more) // OFTEN.itemsize
+            out = np.zeros((0, 6), np.uint8)
+            if values_too:
+                take = np.flatnonzero(flag[at:end])
+                out = np.column_stack([np.frombuffer(data, np.uint8).reshape(-1, 5)[take], bits(total[at:end][take])])
+                more = np.column_stack([low_bytes(values[at2:end2]), bits(total[at2:end2])]).tobytes()
+            rows.append((messages[0][0], src, COUNTS, zip_array((got[1:] - got[:-1]).astype("<u4")), out.tobytes(), more if values_too else b""))
+            at, at2 = end, end2
+        return common.to_batch(rows, MESSAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] == NUMBERS:
-                    yield common.to_batch([row], MESSAGE)
-                else:
-                    kept.setdefault(row[0], []).append(row)
-        for dest in list(kept):
-            messages = kept.pop(dest)
-            lone = from_low(b"".join(m[4] for m in messages))
-            often = np.frombuffer(b"".join(m[5] for m in messages), OFTEN)
-            values = np.concatenate([lone, from_low(often["low"])])
-            weight = np.concatenate([np.ones(len(lone), np.int64), often["count"].astype(np.int64)])
-            _, which = np.unique(values, return_inverse=True)
-            total = np.bincount(which.reshape(-1), weights=weight).astype(np.int64)[which.reshape(-1)] if len(values) else weight
-            flag, rows, at, at2 = (total[: len(lone)] > 1).astype(np.int64), [], 0, len(lone)
-            sums = np.concatenate(([0], np.cumsum(flag)))
-            for _, src, _, docs, data, more in messages:
-                ends = at + np.concatenate(([0], np.cumsum(unzip_array(docs, "<u4").astype(np.int64))))
-                got, end, end2 = sums[ends], at + len(data) // 5, at2 + len(more) // OFTEN.itemsize
-                out = np.zeros((0, 6), np.uint8)
-                if values_too:
-                    take = np.flatnonzero(flag[at:end])
-                    out = np.column_stack([np.frombuffer(data, np.uint8).reshape(-1, 5)[take], bits(total[at:end][take])])
-                    more = np.column_stack([low_bytes(values[at2:end2]), bits(total[at2:end2])]).tobytes()
-                rows.append((0, src, COUNTS, zip_array((got[1:] - got[:-1]).astype("<u4")), out.tobytes(), more if values_too else b""))
-                at, at2 = end, end2
-            yield common.to_batch(rows, MESSAGE)
+        for _, rows in groups(batches, "dest"):
+            if numbers := [r for r in rows if r[2] == NUMBERS]:
+                yield common.to_batch(numbers, MESSAGE)
+            if messages := [r for r in rows if r[2] != NUMBERS]:
+                yield reply(messages)
 
     return run

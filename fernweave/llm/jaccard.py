@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
-from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_answer, split, unzip_array, zip_array
+from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_answers, groups, keys_of, split, to_blocks, to_sources, unzip_array, zip_array
 from .words import U, Texts, gram_hashes, mix
 
 #: Bytes of text hashed at once, and bytes of text whose n-grams are sent together.
@@ -109,22 +109,14 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
             yield pack(held, part + number)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[int, np.ndarray] = {}
-        shared: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for src, kind, docs_ in zip(*(batch.column(c).to_pylist() for c in ("src", "kind", "docs")), strict=True):
-                if kind == NUMBERS:
-                    numbers[src] = unzip_array(docs_, np.int64).reshape(-1, 7)
-                else:
-                    got = unzip_array(docs_, "<u4").astype(np.int64)
-                    shared[src] = shared[src] + got if src in shared else got
-        for src, x in numbers.items():
-            count = (shared.get(src, 0) + x[:, 6])[x[:, 5]]
+        for _, rows in groups(batches, "src"):
+            x, *more = (unzip_array(r[3], np.int64).reshape(-1, 7) if r[2] == NUMBERS else unzip_array(r[3], "<u4").astype(np.int64) for r in rows)
+            count = (sum(more, np.int64(0)) + x[:, 6])[x[:, 5]]
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0], pa.int64(), mask=x[:, 1] == 1), *(pa.array(x[:, k], pa.int64()) for k in (2, 3, 4)), pa.array(count, pa.int64())], schema=SUMMARY)
 
-    sent = common.whole_text(docs).mapInArrow(send, MESSAGE_DDL).repartition(parts, "dest")
-    counted = sent.mapInArrow(answer(False), MESSAGE_DDL).repartition(parts, "src")
-    return common.materialize(counted.mapInArrow(gather, SUMMARY_DDL), "summaries")
+    sent = common.whole_text(docs).mapInArrow(send, MESSAGE_DDL)
+    counted = to_blocks(sent, parts).mapInArrow(answer(False), MESSAGE_DDL)
+    return common.materialize(to_sources(counted, parts).mapInArrow(gather, SUMMARY_DDL), "summaries")
 
 
 def ranked(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -159,26 +151,19 @@ def ranked(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield common.to_batch([(0, own, NUMBERS, zip_array(head), b"".join(g for *_, g in held), b"")], MESSAGE)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried, found = {}, {}
-        for batch in batches:
-            for src, kind, docs_, data, often in zip(*(batch.column(c).to_pylist() for c in ("src", "kind", "docs", "data", "often")), strict=True):
-                if kind == NUMBERS:
-                    carried[src] = docs_, data
-                else:
-                    found.setdefault(src, []).append((data, often))
-        for src in list(carried):
-            head, data = carried.pop(src)
+        for _, found in groups(batches, "src"):
+            (_, _, _, head, data, _), *replies = found
             ids = unzip_array(head, np.int64).reshape(-1, 2)
-            value, rank = from_answer(b"".join(x for pair in found.pop(src, ()) for x in pair))
+            value, rank = from_answers([(x, r[0]) for r in replies for x in r[4:6]])
             order = np.argsort(value, kind="stable")
             value, rank = value[order], rank[order]
             grams, at, out = np.frombuffer(data, "<u8"), 0, []
             for doc, n in ids.tolist():
                 own = grams[at : at + n]
                 at += n
-                low = own & U((1 << 40) - 1)
-                place = np.minimum(np.searchsorted(value, low), len(value) - 1) if len(value) else np.zeros(n, np.int64)
-                hit = value[place] == low if len(value) else np.zeros(n, bool)
+                key = keys_of(own, blocks)
+                place = np.minimum(np.searchsorted(value, key), len(value) - 1) if len(value) else np.zeros(n, np.int64)
+                hit = value[place] == key if len(value) else np.zeros(n, bool)
                 more = own[hit]
                 least = -(-num * n // den)
                 if len(more) >= least:
@@ -186,9 +171,9 @@ def ranked(rows: DataFrame, num: int, den: int) -> DataFrame:
                     out.append((doc, n, len(more) - least + 1, more[order].astype("<u8").tobytes()))
             yield common.to_batch(out, RANKED)
 
-    asked = rows.mapInArrow(send, MESSAGE_DDL).repartition(parts, "dest").mapInArrow(answer(True), MESSAGE_DDL)
+    asked = to_blocks(rows.mapInArrow(send, MESSAGE_DDL), parts).mapInArrow(answer(True), MESSAGE_DDL)
     both = rows.mapInArrow(carry, MESSAGE_DDL).union(asked)
-    return common.materialize(both.repartition(parts, "src").mapInArrow(gather, RANKED_DDL), "ranked")
+    return common.materialize(to_sources(both, parts).mapInArrow(gather, RANKED_DDL), "ranked")
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -208,8 +193,9 @@ def stars(rows: DataFrame) -> DataFrame:
 
 def overlaps(rows: tuple[np.ndarray, ...], cols: tuple[np.ndarray, ...], a: int, b: int) -> np.ndarray:
     """Products of two blocks of sparse rows, each (row numbers, n-gram numbers, distinct ones): an a x b matrix of
-    overlap counts. Only n-grams that both blocks have are multiplied, some thousand at a time."""
-    out = np.zeros((a, b), np.float32)
+    overlap counts. Only n-grams that both blocks have are multiplied, some thousand at a time: each product is exact in
+    single precision, and their sum is of integers."""
+    out = np.zeros((a, b), np.int64)
     shared = np.intersect1d(rows[2], cols[2], assume_unique=True)
     for at in range(0, len(shared), COLUMNS):
         grams = shared[at : at + COLUMNS]
@@ -220,7 +206,7 @@ def overlaps(rows: tuple[np.ndarray, ...], cols: tuple[np.ndarray, ...], a: int,
             block = np.zeros((n, len(grams)), np.float32)
             block[row[hit], place[hit]] = 1
             dense.append(block)
-        out += dense[0] @ dense[1].T
+        out += (dense[0] @ dense[1].T).astype(np.int64)
     return out
 
 

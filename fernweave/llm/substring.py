@@ -1,19 +1,21 @@
-"""Operator 8: removal of repeated word windows by FM-indexes over shards.
+"""Operator 8: removal of repeated word windows by compressed FM-indexes over shards.
 
 Method, for windows of `window` words:
-1. Each window has an anchor, the least hash among its word q-grams. Equal windows have equal anchors, so anchors
-   that stand only once in the corpus settle their windows; which ones repeat is counted in packed messages
-   (exchange.py).
-2. Runs of windows with a repeated anchor go, as text, to the shard of that anchor. All equal windows meet there.
-   Where an anchor is very frequent its windows go singly, by their own hash. Runs that repeat inside a task are
-   settled there and sent once.
-3. Each shard builds an FM-index of its text over symbols of several words, with the Burrows-Wheeler transform in a
-   wavelet matrix, and looks up every window by backward search; the suffix-array interval of a window gives
-   its first place. Windows that also start earlier are reported, and their words removed.
-
-Order is (doc_id, text hash, position). Defined results: a null or empty text has no words; a null id counts as the
-smallest; rows that repeat id and text are one document and get the same result; rows that repeat an id with
-other texts are ordered by the texts' hashes. An empty table gives no rows; further columns are ignored.
+1. Shards. A document can't be searched in an index of the whole corpus by every other one, so windows are dealt to shards
+   by their anchor, the least hash among their word q-grams: equal windows have equal anchors and meet in one shard. Which
+   anchors stand more than once is counted in packed messages (exchange.py); the others settle their windows, as a window
+   that stands twice has an anchor that does. Windows of a very frequent anchor are dealt singly, by their own hash, which
+   splits a hot shard. Of equal runs of windows in one block of documents only the first travels, as a map-side combine.
+2. Index. A shard numbers its words, one symbol a word, compared as bytes and not by hash, and builds an FM-index with a
+   wavelet matrix (fm_index.py).
+3. Search. The shard's documents are streamed against the index in order: backward search gives the matching statistics of
+   each position up to `window` words, and a window whose interval holds two places or more is reported with it. Of the
+   windows of one interval all but the first in order are repeats, and the words that they cover go.
+
+Order is (doc_id, text hash, position). Defined results: a null or empty text has no words; a text of any length is
+searched whole, in runs of at most RUN windows; a null id counts as the smallest; rows that repeat id and text are one
+document and get the same result; rows that repeat an id with other texts are ordered by the texts' hashes, which settles
+ties. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_answer, split, unzip_array, zip_array
-from .fm_index import FMIndex
-from .words import U, Texts, gram_hashes
+from .exchange import MESSAGE, MESSAGE_DDL, NUMBERS, answer, from_answer, from_answers, groups, keys_of, split, to_blocks, to_sources, unzip_array, zip_array
+from .fm_index import END, FMIndex
+from .words import U, Texts, gram_hashes, word_bounds
 
-WINDOW, ANCHOR, SYMBOL = 20, 6, 10
+WINDOW, ANCHOR = 20, 6
+RUN = 64  # windows of a run at most
+LANES = 1 << 14  # runs that are searched at once
 SEND_BYTES = 1 << 22
 HOT = 4096  # places, rounded up to a power of two, from which an anchor's windows are dealt singly
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,8 +106,8 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def repeated_anchors(docs: DataFrame, window: int, q: int, hot: int) -> DataFrame:
-    """Per document: words, SHA-256 of its words joined by spaces, its anchors that stand elsewhere too (their low
-    40 bits) and those of them that are hot."""
+    """Per document: words, SHA-256 of its words joined by spaces, its anchors that stand elsewhere too (as keys_of()
+    the exchange) and those of them that are hot."""
     spark = docs.sparkSession
     common.short_batches(spark)
     parts, hot_bits = common.shuffle_partitions(spark), hot.bit_length()
@@ -124,24 +129,18 @@ def repeated_anchors(docs: DataFrame, window: int, q: int, hot: int) -> DataFram
             yield common.to_batch([*rows, (own % blocks, own, NUMBERS, zip_array(head), shas, sizes + local)], MESSAGE)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[int, tuple] = {}
-        found: dict[int, list] = {}
-        for _, src, kind, docs_, data, often in rows_of(batches):
-            if kind == NUMBERS:
-                numbers[src] = docs_, data, often
-            else:
-                found.setdefault(src, []).append((docs_, data, often))
-        for src, (head, shas, local) in numbers.items():
+        for _, found in groups(batches, "src"):
+            (_, _, _, head, shas, local), *replies = found
             head = unzip_array(head, np.int64).reshape(-1, 3)
             n, size = len(head), int(np.frombuffer(local, "<i8", 1)[0])
-            values = np.frombuffer(local, "<u8", offset=8 + size) & U((1 << 40) - 1)
-            often, often_bits = from_answer(b"".join(x[2] for x in found.get(src, ())))
+            values = keys_of(np.frombuffer(local, "<u8", offset=8 + size), blocks)
+            often, often_bits = from_answers([(r[5], r[0]) for r in replies])
             hot_often = often[often_bits >= hot_bits]
             owners = [np.repeat(np.arange(n), unzip_array(local[8 : 8 + size], "<u4"))]
             all_values, is_hot = [values], [np.isin(values, hot_often)]
-            for docs_, data, _ in found.get(src, ()):
+            for dest, _, _, docs_, data, _ in replies:
                 owners.append(np.repeat(np.arange(n), unzip_array(docs_, "<u4")))
-                value, value_bits = from_answer(data)
+                value, value_bits = from_answer(data, dest)
                 all_values.append(value)
                 is_hot.append(value_bits >= hot_bits)
             owner, value, warm = np.concatenate(owners), np.concatenate(all_values), np.concatenate(is_hot)
@@ -154,14 +153,14 @@ def repeated_anchors(docs: DataFrame, window: int, q: int, hot: int) -> DataFram
                 rows.append((*head[k].tolist(), shas[32 * k : 32 * k + 32], np.unique(v).tobytes(), np.unique(v[w]).tobytes()))
             yield common.to_batch(rows, BASE)
 
-    sent = with_hash(docs).select("doc_id", "h", "text").mapInArrow(send, MESSAGE_DDL).repartition(parts, "dest")
-    counted = sent.mapInArrow(answer(True), MESSAGE_DDL).repartition(parts, "src")
-    return common.materialize(counted.mapInArrow(gather, BASE_DDL), "anchors")
+    sent = with_hash(docs).select("doc_id", "h", "text").mapInArrow(send, MESSAGE_DDL)
+    counted = to_blocks(sent, parts).mapInArrow(answer(True), MESSAGE_DDL)
+    return common.materialize(to_sources(counted, parts).mapInArrow(gather, BASE_DDL), "anchors")
 
 
-def runs(texts: DataFrame, window: int, q: int, shards: int) -> DataFrame:
+def runs(texts: DataFrame, window: int, q: int, shards: int, blocks: int) -> DataFrame:
     """texts: doc_id, h, text, anchors, hot. Runs of windows whose anchor is repeated, each with its words, dealt
-    to shards; and, with shard -1, runs that were settled because the same words came before in this task."""
+    to shards; and, with shard -1, runs that are repeats because the same words came before in this block of documents."""
     common.short_batches(texts.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +171,13 @@ def runs(texts: DataFrame, window: int, q: int, shards: int) -> DataFrame:
             part = Texts([b" ".join(t.encode().split()) for *_, t in held])  # one space between words
             data = part.data.tobytes()
             values, doc, start, count = anchors(part, window, q)
-            of_doc = (doc.astype(np.uint64) << U(40)) | values & U((1 << 40) - 1)
-            keep, warm = (np.isin(of_doc, marked([x[k] for x in held])) for k in (2, 3))
+            keys, edges = keys_of(values, blocks), np.searchsorted(doc, np.arange(len(held) + 1))
+            keep, warm = (np.concatenate([np.isin(keys[a:e], np.frombuffer(x[k], "<u8")) for x, a, e in zip(held, edges, edges[1:], strict=False)]) for k in (2, 3))
             keep |= warm
             single = np.flatnonzero(keep & warm)
             keep &= ~warm
             shard = (values[keep] % U(shards)).astype(np.int64)
-            doc_, start_, count_ = doc[keep], start[keep], count[keep]
+            shard, doc_, start_, count_ = cut_runs(shard, doc[keep], start[keep], count[keep])
             if len(single):
                 each = np.repeat(start[single], count[single]) + ranges(count[single])
                 hashes = gram_hashes(part.hashes, window)[each]
@@ -201,10 +200,11 @@ def runs(texts: DataFrame, window: int, q: int, shards: int) -> DataFrame:
     return texts.select("doc_id", "h", "text", "anchors", "hot").mapInArrow(send, RUNS_DDL)
 
 
-def marked(known: list[bytes]) -> np.ndarray:
-    """The documents' hashes, each with its document's number in the upper bits."""
-    values = [np.frombuffer(x, "<u8") for x in known]
-    return np.concatenate(values) | np.repeat(np.arange(len(values), dtype=np.uint64), [len(v) for v in values]) << U(40)
+def cut_runs(shard: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of more than RUN windows as several."""
+    pieces = -(-count // RUN)
+    which, k = np.repeat(np.arange(len(count)), pieces), ranges(pieces)
+    return shard[which], doc[which], start[which] + RUN * k, np.minimum(count[which] - RUN * k, RUN)
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:
@@ -212,82 +212,79 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def shard_repeats(words: np.ndarray, first: np.ndarray, window: int, symbol: int) -> np.ndarray:
-    """For runs of words (hashes, run k from first[k] on) in ascending order of their places: which of their windows also
-    start earlier. Windows are counted run by run. Built on an FM-index over symbols of `symbol` words: a window is
-    window / symbol symbols in a row of one of `symbol` phases."""
+def symbols_of(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of runs (white space between them is one sign) as symbols from 2, equal where the bytes are, and the number of
+    words before each run."""
+    data = np.frombuffer(b"\n".join([*runs, b""]), np.uint8).copy()
+    starts, _ = word_bounds(data)
+    breaks = np.flatnonzero(data == 10)
+    first = np.searchsorted(starts, np.concatenate(([0], breaks + 1)))
+    data[breaks] = 32  # so that a word is the same at the end of a run
+    offsets = np.append(starts, len(data))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + END + 1, first
+
+
+def shard_repeats(symbols: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
+    """For runs of symbols (run k from first[k] to first[k + 1]) in ascending order of their places: which of their windows
+    also start earlier. Windows are counted run by run."""
     lengths = np.diff(first)
-    grams = gram_hashes(words, symbol)
-    n_grams = lengths - symbol + 1
-    where = np.repeat(first[:-1], n_grams) + ranges(n_grams)
-    _, ids = np.unique(grams[where], return_inverse=True)
-    ids = ids.reshape(-1).astype(np.int64) + 2  # 1 ends a phase
-    run, offset = np.repeat(np.arange(len(lengths)), n_grams), ranges(n_grams)
-    # the text: for each run and phase its symbols and an end mark
-    order = np.lexsort((offset // symbol, offset % symbol, run))
-    phase = run * symbol + offset % symbol
-    ordered = phase[order]
-    shift = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-    at = np.arange(len(order)) + shift
-    text = np.ones(len(order) + (int(shift[-1]) + 1 if len(order) else 0), np.int64)
-    text[at] = ids[order]
-    index = FMIndex(text)
-    steps = window // symbol
-    n_windows = lengths - window + 1
-    base = np.concatenate(([0], np.cumsum(n_grams)))[:-1]
-    begin = np.repeat(base, n_windows) + ranges(n_windows)
-    low, high = index.search(np.column_stack([ids[begin + k * symbol] for k in range(steps)]))
-    # the first window at each place of the text; other places are later than all
-    number = np.full(len(text), np.iinfo(np.int64).max)
-    place = np.empty(len(order), np.int64)
-    place[order] = at
-    number[place[begin]] = np.arange(len(begin))
-    ranked = number[index.order]
-    out = np.zeros(len(begin), bool)
-    many = np.flatnonzero(high > low + 1)
-    if len(many):
-        lows, which = np.unique(low[many], return_inverse=True)
-        tops = np.zeros(len(lows), np.int64)
-        np.maximum.at(tops, which.reshape(-1), high[many])
-        cuts = np.column_stack([lows, np.minimum(tops, len(ranked))]).reshape(-1)
-        padded = np.concatenate([ranked, [np.iinfo(np.int64).max]])
-        least = np.minimum.reduceat(padded, cuts)[::2]
-        out[many] = least[which.reshape(-1)] < many
+    text = np.full(len(symbols) + len(lengths), END, np.int64)
+    text[np.arange(len(symbols)) + np.repeat(np.arange(len(lengths)), lengths)] = symbols
+    index, windows = FMIndex(text, window), lengths - window + 1
+    found = np.concatenate([index.matches(symbols, first[a : a + LANES], windows[a : a + LANES]) for a in range(0, len(lengths), LANES)] or [np.zeros(0, np.int64)])
+    out = found >= 0
+    hits = np.flatnonzero(out)
+    _, earliest = np.unique(found[hits], return_index=True)
+    out[hits[earliest]] = False
     return out
 
 
-def repeats(dealt: DataFrame, window: int, symbol: int) -> DataFrame:
-    """(doc_id, h, starts): the windows of the runs that also start earlier, by an FM-index per shard."""
+def repeats(dealt: DataFrame, window: int) -> DataFrame:
+    """(doc_id, h, starts): the windows of the runs that also start earlier. Runs come sorted by shard; a task holds one shard
+    at a time."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list] = {}
-        for shard, *row in rows_of(batches):
-            if shard < 0:
-                spans = np.frombuffer(row[2], "<i8").reshape(-1, 2)
-                all_ = np.repeat(spans[:, 0], spans[:, 1]) + ranges(spans[:, 1])
-                yield common.to_batch([(row[0], row[1], all_.astype("<i8").tobytes())], FOUND)
-            else:
-                shards.setdefault(shard, []).append(row)
-        for shard in list(shards):
-            rows = shards.pop(shard)
-            rows.sort(key=lambda r: r[:2])
-            spans = [np.frombuffer(r[2], "<i8").reshape(-1, 2) for r in rows]
-            texts = Texts([w for r in rows for w in zstandard.decompress(r[3]).split(b"\n")])
+        common.let_go()
+        for shard, rows in shards_of(batches):
+            rows.sort(key=lambda r: r[1:3])
+            spans = [np.frombuffer(r[3], "<i8").reshape(-1, 2) for r in rows]
             flat = np.concatenate(spans)
-            repeat = shard_repeats(texts.hashes, texts.first, window, symbol)
             start = np.repeat(flat[:, 0], flat[:, 1]) + ranges(flat[:, 1])
-            owner = np.repeat(np.arange(len(rows)), [int(s[:, 1].sum()) for s in spans])
-            edges = np.searchsorted(owner, np.arange(len(rows) + 1))
+            if shard < 0:
+                repeat = np.ones(len(start), bool)
+            else:
+                symbols, first = symbols_of([w for r in rows for w in zstandard.decompress(r[4]).split(b"\n")])
+                repeat = shard_repeats(symbols, first, window)
+            edges = np.concatenate(([0], np.cumsum([int(s[:, 1].sum()) for s in spans])))
             out = []
             for k, r in enumerate(rows):
                 own = start[edges[k] : edges[k + 1]][repeat[edges[k] : edges[k + 1]]]
                 if len(own):
-                    out.append((r[0], r[1], own.astype("<i8").tobytes()))
+                    out.append((r[1], r[2], own.astype("<i8").tobytes()))
             yield common.to_batch(out, FOUND)
 
     return dealt.mapInArrow(search, FOUND_DDL)
 
 
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(shard, rows), one shard at a time; what was settled before comes batch by batch, as it needs no meeting."""
+    rest: list[pa.RecordBatch] = []
+
+    def later() -> Iterator[pa.RecordBatch]:
+        yield from rest
+        yield from batches
+
+    for batch in batches:
+        settled = pc.sum(pc.less(batch.column("shard"), 0)).as_py() or 0
+        if settled:
+            yield from groups(iter([batch.slice(0, settled)]), "shard")
+        if settled < batch.num_rows:
+            rest.append(batch.slice(settled))
+            break
+    yield from groups(later(), "shard")
+
+
 def keep_words(text: str, starts: list[bytes], window: int) -> tuple[list[str], int]:
     """The words that no removed window covers, and how many words go."""
     words = WORD.findall(text)
@@ -300,18 +297,19 @@ def keep_words(text: str, starts: list[bytes], window: int) -> tuple[list[str],
     return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
 
 
-def removals(docs: DataFrame, window: int = WINDOW, q: int = ANCHOR, symbol: int = SYMBOL, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, window: int = WINDOW, q: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(All documents: doc_id, h, n_words, sha. Those that lose words: doc_id, h, text, starts.)"""
-    if window % symbol or q > window:
-        raise ValueError("window must be a multiple of symbol and at least as long as an anchor")
+    if q > window:
+        raise ValueError("a window must be at least as long as an anchor")
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
     base = repeated_anchors(docs, window, q, hot)
     marked = base.where(F.octet_length("anchors") > 0).select("doc_id", "h", "anchors", "hot")
     texts = with_hash(docs).join(marked, ["doc_id", "h"]).select("doc_id", "h", "text", "anchors", "hot").dropDuplicates(["doc_id", "h"])
     texts = common.materialize(texts, "marked")
-    dealt = runs(texts, window, q, 3 * parts).repartition(parts, F.when(F.col("shard") < 0, F.xxhash64("doc_id", "h")).otherwise(F.col("shard").cast("long")))
-    found = repeats(dealt, window, symbol).groupBy("doc_id", "h").agg(F.collect_list("starts").alias("starts"))
+    settled = F.col("shard") < 0
+    dealt = runs(texts, window, q, 3 * parts, 3 * parts).repartition(parts, F.when(settled, F.xxhash64("doc_id", "h")).otherwise(F.col("shard").cast("long"))).sortWithinPartitions("shard")
+    found = repeats(dealt, window).groupBy("doc_id", "h").agg(F.collect_list("starts").alias("starts"))
     cut = texts.join(common.materialize(found, "repeats"), ["doc_id", "h"]).select("doc_id", "h", "text", "starts")
     return base.select("doc_id", "h", "n_words", "sha"), cut
 

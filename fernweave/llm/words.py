@@ -1,6 +1,6 @@
 """Words and word n-grams of many texts at once, in numpy.
 
-Words are runs of bytes other than space and 9 to 13. A word's value is a 64-bit polynomial hash of its bytes,
+Words are runs of bytes other than space and 9 to 13. A word's value is a 64-bit hash of its bytes and their places,
 read off running sums, so no word is handled by itself.
 """
 
@@ -17,25 +17,8 @@ BASE = 0x9FB21C651E98DF25 | 1
 
 @cache
 def signs() -> np.ndarray:
-    """A random odd value for each byte."""
-    return np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-
-
-class Powers:
-    """Powers of BASE and of its inverse modulo 2^64, as many as asked for."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            m = 1 << n.bit_length()
-            for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                out = np.full(m, base, np.uint64)
-                out[0] = 1
-                setattr(cls, name, np.multiply.accumulate(out))
-        return cls.up[:n], cls.down[:n]
+    """A random value for each byte."""
+    return np.random.default_rng(20240101).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,13 +36,16 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum over a word's bytes of a mixed value of byte and place in the word, so words that differ in any way have
+    unrelated hashes, however long or regular they are."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = Powers.upto(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(signs()[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * STEP)
+    sizes = ends - starts
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place in the word
+    inside = data[at + np.repeat(starts, sizes)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(signs()[inside] + at.astype(np.uint64) * STEP))])
+    edge = np.cumsum(sizes)
+    return mix(sums[edge] - sums[edge - sizes] + sizes.astype(np.uint64) * STEP)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from fernweave.llm import common, digest, frames, packing, secrets, token_files, toxicity, transport, warc, word_table
 from fernweave.llm.components import connected_components
-from fernweave.llm.fm_index import FMIndex, suffix_array
+from fernweave.llm.fm_index import FMIndex, sorted_suffixes
 from fernweave.llm.jaccard import forest, jaccard_components
 from fernweave.llm.substring import deduplicate
 from fernweave.llm.tokenize import Encoder
@@ -175,16 +175,56 @@ def test_op8(docs, rows, empty, hot, monkeypatch):
     assert deduplicate(empty).count() == 0
 
 
-def test_suffix_array_and_search():
+def test_suffixes_and_search():
     rng = np.random.default_rng(1)
     for _ in range(30):
-        t = rng.integers(0, 4, rng.integers(1, 40))
-        assert list(suffix_array(t)) == sorted(range(len(t)), key=lambda i: list(t[i:]))
+        t = np.append(rng.integers(2, 5, rng.integers(1, 40)), 1)
+        order, shared = sorted_suffixes(t, 8)
+        assert [tuple(t[k : k + 8]) for k in order] == sorted(tuple(t[k : k + 8]) for k in range(len(t)))
+        for k in range(1, len(t)):
+            a, b = t[order[k - 1] :], t[order[k] :]
+            same = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y or x == 1), min(len(a), len(b)))
+            assert shared[k] == min(same, 8)
     text = np.array([2, 3, 2, 3, 4, 1, 2, 3, 4, 1])
-    low, high = FMIndex(text).search(np.array([[2, 3], [3, 4], [2, 2]]))
+    low, high = FMIndex(text, 2).search(np.array([[2, 3], [3, 4], [2, 2]]))
     assert (high - low)[:2].tolist() == [3, 2] and high[2] <= low[2] + 1
 
 
+def test_matching_statistics():
+    rng = np.random.default_rng(2)
+    for depth in (3, 5):
+        parts = [rng.integers(2, 4, rng.integers(depth, 30)) for _ in range(40)]
+        first = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        index = FMIndex(np.concatenate([np.append(p, 1) for p in parts]), depth)
+        got = index.matches(np.concatenate(parts), first[:-1], np.diff(first) - depth + 1)
+        want = [tuple(p[k : k + depth]) for p in parts for k in range(len(p) - depth + 1)]
+        count = defaultdict(list)
+        for w, g in zip(want, got.tolist(), strict=True):
+            count[w].append(g)
+        assert all(len(set(v)) == 1 and (v[0] < 0) == (len(v) < 2) for v in count.values())
+        assert len({v[0] for v in count.values() if len(v) > 1}) == sum(len(v) > 1 for v in count.values())
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_regular_long_words_are_told_apart(spark):
+    rows = [(k, " ".join(w if j != 20 else x for j, w in enumerate(f"w{j}" for j in range(40)))) for k, x in enumerate((thue_morse(1024), thue_morse(1024, "b", "a")))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in deduplicate(frame).collect()} == brute_repeats(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame).collect()}
+    assert got == brute_components(rows, 4, 85, 100) == {0: (37, 0), 1: (37, 1)}
+
+
+def test_overlaps_are_exact(monkeypatch):
+    from fernweave.llm import jaccard
+
+    a, b = np.arange(680_017, dtype=np.uint64), np.arange(800_020, dtype=np.uint64)
+    assert len(jaccard.forest(np.array([1, 2]), np.array([len(a), len(b)]), [a, b], 85, 100)) == 1
+    assert len(jaccard.forest(np.array([1, 2]), np.array([len(a), len(b) + 1]), [a, b], 85, 100)) == 0
+
+
 def brute_components(rows, n, num, den):
     low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     sets = []
