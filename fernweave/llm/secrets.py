@@ -4,7 +4,8 @@ Method: every version of a text is content-addressed by SHA-256. The ledger hold
 version with its findings; only pairs that it lacks are scanned, each blob once however many paths it has, and
 findings are joined back to all paths. Copies meet in a map-side aggregate before anything is shuffled.
 
-Defined results: a null text is the empty one; rows that repeat an id each get their findings; an empty table
+Defined results: a null text is the empty one; a text of any length is scanned whole; findings that start at one place
+are ordered by kind as listed; rows that repeat an id, null ids included, each get their findings; an empty table
 gives no rows; further columns are ignored. Offsets are code points, ends exclusive.
 """
 
@@ -81,7 +82,7 @@ class BlobLedger:
     """Findings by blob and rule version, as Parquet in one folder. scan() appends what is unseen."""
 
     def __init__(self, spark: SparkSession, path: str, rule_version: str = RULE_VERSION):
-        self.spark, self.path, self.rule_version, self.used = spark, path, rule_version, False
+        self.spark, self.path, self.rule_version = spark, path, rule_version
 
     def known(self) -> DataFrame | None:
         jvm = self.spark._jvm
@@ -111,16 +112,20 @@ class BlobLedger:
         return self.known().where(F.col("rule_version") == self.rule_version).dropDuplicates(["sha"])
 
 
-def addressed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `sha`, the content address of the text."""
-    return docs.withColumn("sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+def addressed(docs: DataFrame, text_col: str = "text", name: str = "sha") -> DataFrame:
+    """docs with the content address of the text under a name."""
+    return docs.withColumn(name, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
 def scan_documents(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
-    """Findings of each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, sha."""
+    """Findings of each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, sha. Only blobs with findings are
+    joined back, read as a plain table, so the paths of a blob with very many can be split over tasks."""
     paths = addressed(common.whole_text(docs))
-    found = ledger.scan(paths.select("sha", "text"))
-    return paths.select("doc_id", "sha").join(found, "sha").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "sha")
+    hits = common.materialize(ledger.scan(paths.select("sha", "text")).where("spans <> ''").drop("rule_version"), "hits")
+    joined = paths.select("doc_id", "sha").join(hits, "sha", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_assign", "n_access", "n_hex")]
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return joined.select("doc_id", *counts, F.coalesce("base_sha256", none).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), "sha")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
