@@ -1,6 +1,7 @@
 """Operators as stages of a corpus pipeline: documents in, documents out.
 
-Columns other than doc_id and text pass unchanged; n_chars, where it is there, follows the text.
+Columns other than doc_id and text pass unchanged, whatever their names; n_chars, where it is there, follows the text. An
+empty table gives an empty table with the same columns; null texts pass as they are where nothing is taken out of them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,17 @@ from . import common, secrets, substring, toxicity
 from .jaccard import jaccard_components
 
 
+def fresh(docs: DataFrame, *stems: str) -> list[str]:
+    """Names like the stems that no column of docs has, in any case of letters."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
     """docs with another text."""
     out = docs.withColumn("text", text)
@@ -22,46 +34,50 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents whose toxicity score is below the threshold."""
+    """Documents whose toxicity score is below the threshold. A null text is scored as the empty one; a text of any length is
+    scored whole; rows are judged each by itself, so repeats and null ids need no rule."""
     return toxicity.keep_ordinary(docs, toxicity.fit(toxicity.sample(docs, labels)))
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Of each group of documents that link, the one with the smallest id; of rows that repeat id and text, one.
-    Documents without words and rows without an id stay."""
+    """Of each group of documents that link, the one with the smallest id; of rows that repeat id and text, the one
+    whose columns hash least. Documents without words and rows without an id stay."""
     groups = common.materialize(jaccard_components(docs, n, num, den), "groups")
     common.release(docs.sparkSession)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").withColumn("_h", F.xxhash64("text"))
-    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h"))).where("_n = 1").drop("_n", "_h")
-    return first.union(docs.where("doc_id IS NULL"))
+    key, h, place = fresh(docs, "kept", "h", "place")
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    own = docs.where("doc_id IS NOT NULL").join(kept, docs.doc_id.cast("long") == kept[key], "left_semi").withColumn(h, F.xxhash64("text"))
+    order = Window.partitionBy("doc_id", h).orderBy(F.xxhash64(*docs.columns))
+    first = own.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(docs.columns)
+    return first.unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_repeats(docs: DataFrame, window: int = substring.WINDOW) -> DataFrame:
     """Documents without the words of windows that also start earlier; what is left is joined by spaces. A document
-    that loses nothing keeps its text as it is, one that loses all keeps an empty one."""
+    that loses nothing keeps its text as it is, one that loses all keeps an empty one. Null ids count as the smallest."""
+    key, of, left = fresh(docs, "key", "of", "left")
     done = substring.deduplicate(docs, window, texts=True).where("kept_text IS NOT NULL")
-    cut = common.materialize(done.select(F.coalesce("doc_id", F.lit(substring.NO_ID)).alias("_id"), F.col("h").alias("_of"), F.col("kept_text").alias("_kept")).distinct(), "kept")
+    cut = common.materialize(done.select(F.coalesce("doc_id", F.lit(substring.NO_ID)).alias(key), F.col("h").alias(of), F.col("kept_text").alias(left)).distinct(), "cut")
     common.release(docs.sparkSession)
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(substring.NO_ID))).withColumn("_of", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return with_text(keyed.join(cut, ["_id", "_of"], "left"), F.coalesce("_kept", "text")).select(docs.columns)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(substring.NO_ID))).withColumn(of, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return with_text(keyed.join(cut, [key, of], "left"), F.coalesce(left, "text")).select(docs.columns)
 
 
 def without_secrets(docs: DataFrame, ledger: secrets.BlobLedger) -> DataFrame:
-    """Documents with each finding replaced by a mask."""
-    keyed = secrets.addressed(docs, "text").withColumnRenamed("sha", "_sha")
-    found = ledger.scan(keyed.select(F.col("_sha").alias("sha"), F.coalesce("text", F.lit("")).alias("text")))
-    hits = found.where("spans <> ''").select(F.col("sha").alias("_sha"), F.col("spans").alias("_spans"))
+    """Documents with each finding replaced by a mask; null texts stay null, rows that repeat an id are masked each."""
+    sha, spans = fresh(docs, "sha", "spans")
+    keyed = secrets.addressed(docs, "text", sha)
+    found = ledger.scan(keyed.select(F.col(sha).alias("sha"), F.coalesce("text", F.lit("")).alias("text")))
+    hits = common.materialize(found.where("spans <> ''").select(F.col("sha").alias(sha), F.col("spans").alias(spans)), "hits")
     common.release(docs.sparkSession)
-    joined = keyed.join(hits, "_sha", "left").select(*docs.columns, "_spans")
-    schema, at = docs.schema, docs.columns.index("text")
+    joined = keyed.join(hits, sha, "left").select(*docs.columns, spans)
+    names, at = docs.columns, docs.columns.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            masked = pa.array([secrets.redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)], batch.schema.field(at).type)
+            texts, found_ = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            masked = pa.array([secrets.redact(t, s) if s else t for t, s in zip(texts, found_, strict=True)], batch.schema.field(at).type)
             columns = [masked if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_columns = docs.columns
-    return with_text(joined.mapInArrow(mask, schema), F.col("text"))
+    return with_text(joined.mapInArrow(mask, docs.schema), F.col("text"))
