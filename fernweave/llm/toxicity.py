@@ -2,18 +2,18 @@
 
 Method: one zstandard dictionary is trained on words typical of toxic texts, which are those with an n-gram of a
 log-odds lexicon (typical()), and one on all words of ordinary texts. Each window of a text, a run of letters in lower
-case, is compressed with either; how many bytes the toxic dictionary
-saves is the window's distance. A filler that both dictionaries end with follows each window, so that block overhead
+case, is compressed with either; how many bytes the toxic dictionary saves is the window's distance. A filler that both dictionaries end with follows each window, so that block overhead
 is the same and a match at the window's end is found. A text's counts of windows beyond each distance, and their
-share of the text, go through a logistic curve; its weights and the window thresholds are calibrated on labelled texts
-that the dictionaries have not seen.
+share of the text, go through a logistic curve; its weights are calibrated on labelled texts that the dictionaries have
+not seen: either half of the sample is measured by dictionaries of the other half.
 
 The model is fitted on the whole texts of a bounded sample of labelled rows (SAMPLE), chosen by a hash of the id, so
 that counts are calibrated on texts as long as those scored. Only the text is an input of a score.
 
 Defined results: a null or empty text has no window and gets the score of zero counts. If the labels lack one class
 there is nothing to tell apart, and all scores are the share of toxic labels (0 without labels). Rows that repeat
-an id are scored each; a null id is not held out. An empty table gives no rows; further columns are ignored.
+an id are scored each, equal texts alike; a label that stands twice for an id counts once for each value; a null id is
+not held out. A text of any length is scored whole. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import hashlib
 import math
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -35,11 +34,13 @@ from pyspark.sql import functions as F
 
 from . import common
 from .tokenize import Memo
+from .words import mix
 
 SAMPLE = {1: 3000, 0: 5000}
 TOXIC_BYTES, PLAIN_BYTES = 8192, 24_000
-CROSS = 400  # toxic texts from which half of them make the dictionaries
 FEW, SHARE, ODDS = 4, 0.015, 4.0  # a typical n-gram: so many toxic texts, such a share of them, such log odds
+GRAMS = (4, 5, 6)
+MERGE = 4_000_000  # n-grams that are counted before they are merged
 MOST = 9  # distances are counted up to here
 THRESHOLD = 0.7
 POSITIVE_WEIGHT = 3.0
@@ -61,13 +62,6 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -60), 60)))
 
 
-def grams(word: str) -> Iterator[str]:
-    spaced = f" {word} "
-    for n in (4, 5, 6):
-        for k in range(len(spaced) - n + 1):
-            yield spaced[k : k + n]
-
-
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -121,43 +115,76 @@ class Distance:
         return np.concatenate([np.log1p(beyond), np.log1p(300 * beyond / max(1, len(got)))])
 
 
-def typical(toxic: list[str], plain: list[str]) -> set[str]:
-    """Word n-grams that stand in many more of the toxic texts."""
-    counts = []
-    for texts in (toxic, plain):
-        c: Counter[str] = Counter()
-        for t in texts:
-            c.update({g for w in set(words(t)) for g in grams(w)})
-        counts.append(c)
-    least = max(FEW, SHARE * len(toxic))
-    odds = lambda g, c: math.log((c + 0.5) / (len(toxic) + 1)) - math.log((counts[1][g] + 0.5) / (len(plain) + 1))
-    return {g for g, c in counts[0].items() if c >= least and odds(g, c) > ODDS}
+def gram_hashes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 4- to 6-character n-grams of words between spaces, and the number of the word that each is of."""
+    signs = np.frombuffer("".join(f" {w} " for w in found).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(found)), [len(w) + 2 for w in found])
+    hashes, owners = [], []
+    for n in GRAMS:
+        m = len(signs) - n + 1
+        if m > 0:
+            h = np.full(m, n, np.uint64)
+            for k in range(n):
+                h = mix(h + signs[k : k + m])
+            inside = owner[:m] == owner[n - 1 :]
+            hashes.append(h[inside])
+            owners.append(owner[:m][inside])
+    return np.concatenate(hashes or [signs]), np.concatenate(owners or [owner])
+
+
+def text_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram hashes and in how many of the texts each stands."""
+    values, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    for k, t in enumerate(texts):
+        held.append(np.unique(gram_hashes(list(set(words(t))))[0]))
+        size += len(held[-1])
+        if size >= MERGE or k == len(texts) - 1:
+            flat = np.concatenate([values, *held])
+            weight = np.concatenate([counts, np.ones(size, np.int64)])
+            values, which = np.unique(flat, return_inverse=True)
+            counts = np.bincount(which.reshape(-1), weights=weight, minlength=len(values)).astype(np.int64)
+            held, size = [], 0
+    return values, counts
+
+
+def typical(toxic: list[str], plain: list[str]) -> np.ndarray:
+    """Hashes of word n-grams that stand in many more of the toxic texts."""
+    values, counts = text_counts(toxic)
+    often = counts >= max(FEW, SHARE * len(toxic))
+    values, counts = values[often], counts[often]
+    known, others = text_counts(plain)
+    at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+    there = np.where(known[at] == values, others[at], 0) if len(known) else np.zeros(len(values))
+    odds = np.log((counts + 0.5) / (len(toxic) + 1)) - np.log((there + 0.5) / (len(plain) + 1))
+    return values[odds > ODDS]
+
+
+def typical_words(text: str, good: np.ndarray) -> list[str]:
+    """The words of a text, with repeats, that have an n-gram of the lexicon."""
+    found = words(text)
+    hashes, owner = gram_hashes(found)
+    return [found[k] for k in np.unique(owner[np.isin(hashes, good)]).tolist()]
 
 
 def train(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
     """The toxic and the ordinary dictionary."""
     good = typical(toxic, plain)
-    windows = [f" {w} ".encode() for t in toxic for w in words(t) if not good.isdisjoint(grams(w))]
+    windows = [f" {w} ".encode() for t in toxic for w in typical_words(t, good)]
     others = [f" {w} ".encode() for t in plain for w in words(t)]
     random.Random(7).shuffle(others)
     return trained(windows, TOXIC_BYTES), trained(others, PLAIN_BYTES)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model | float:
-    """A model from (text, label) rows: dictionaries from one half, weights from the other; with few toxic texts
-    dictionaries from all, and weights from either half by dictionaries of the other."""
+    """A model from (text, label) rows: dictionaries from all, and weights from either half by dictionaries of the other."""
     toxic, plain = [t for t, y in rows if y], [t for t, y in rows if not y]
     if len(toxic) < 2 or len(plain) < 2:
         return len(toxic) / len(rows) if rows else 0.0
-    if len(toxic) >= CROSS:
-        dictionaries = train(toxic[::2], plain[::2])
-        seen = [(dictionaries, toxic[1::2], plain[1::2])]
-    else:
-        dictionaries = train(toxic, plain)
-        seen = [(train(toxic[k::2], plain[k::2]), toxic[1 - k :: 2], plain[1 - k :: 2]) for k in (0, 1)]
+    dictionaries = train(toxic, plain)
     x, y = [], []
-    for pair, bad, fine in seen:
-        distance = Distance(*pair)
+    for k in (0, 1):
+        distance = Distance(*train(toxic[k::2], plain[k::2]))
+        bad, fine = toxic[1 - k :: 2], plain[1 - k :: 2]
         x += [distance.features(t) for t in [*bad, *fine]]
         y += [1.0] * len(bad) + [0.0] * len(fine)
     x, y = np.array(x), np.array(y)
@@ -176,11 +203,13 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE labelled texts of each class that are not held out; the first by a hash of the id."""
+    """At most SAMPLE labelled texts of each class that are not held out; the first by a hash of the id, and of rows that
+    repeat an id the first by a hash of the text."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     mixed = F.xxhash64("doc_id")
     some = [known.where(F.col("toxic") == y).orderBy(mixed, "doc_id").limit(n) for y, n in SAMPLE.items()]
-    rows = common.whole_text(docs).join(F.broadcast(some[0].union(some[1])), "doc_id").collect()  # SAMPLE bounds both
+    texts = common.whole_text(docs).join(F.broadcast(some[0].union(some[1])), "doc_id")  # SAMPLE bounds the labels
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()  # and so the rows
     rows.sort(key=lambda r: (hashlib.md5(str(r.doc_id).encode()).digest(), r.text))
     return [(r.text, r.toxic) for r in rows]
 
