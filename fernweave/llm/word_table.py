@@ -1,8 +1,8 @@
 """Operator 7: encoding and decoding with a table of distinct words.
 
 Method: Spark splits the texts into words. Blocks of some megabytes of text keep their documents as numbers of the
-block's distinct words; both are written once, so nothing is read twice in hope of the same order. The distinct words
-go to the parts of the word table, dealt by a hash of the word, where each distinct word of the corpus is encoded
+block's distinct words, in a file each in the shared folder; both are written once, so nothing is read twice in hope of
+the same order, and documents aren't shuffled. The distinct words go to the parts of the word table, dealt by a hash of the word, where each distinct word of the corpus is encoded
 once. Ids come back to their block, one block at a time, and are joined to the documents by word number and position;
 decoding joins the ids with the table of ids and pieces, which is as long as the vocabulary.
 
@@ -19,6 +19,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -47,9 +48,9 @@ def split_words(docs: DataFrame) -> DataFrame:
     return common.whole_text(docs).select("doc_id", F.split(F.translate("text", "\n\t\r", "   "), " ").alias("words"))
 
 
-def planes(x: np.ndarray) -> bytes:
+def planes(x: np.ndarray, level: int = 3) -> bytes:
     """Numbers below 2^32 with all their lowest bytes first, then the next ones, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), level)
 
 
 def from_planes(x: bytes) -> np.ndarray:
@@ -57,9 +58,10 @@ def from_planes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.T).view("<u4").reshape(-1)
 
 
-def numbered(words: DataFrame, tables: int) -> DataFrame:
-    """For each block a row with its documents as word numbers, and one for each part of the word table with the block's
-    words there. Words are numbered by frequency; what follows the numbers is each word's place in the order by part."""
+def numbered(words: DataFrame, tables: int, folder: str) -> DataFrame:
+    """For each block a row with the file of its documents as word numbers, and one for each part of the word table with the
+    block's words there. Words are numbered by frequency; what follows the numbers is each word's place in the order by
+    part. Each attempt of a task writes files of its own, and only rows of the attempt that counts name them."""
 
     def block_rows(block: int, held: list[pa.RecordBatch]) -> list[tuple]:
         ids = pa.concat_arrays([b.column(0) for b in held])
@@ -81,7 +83,10 @@ def numbered(words: DataFrame, tables: int) -> DataFrame:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         head = np.column_stack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), np.diff(ends)]).astype(np.int64)
-        rows: list[tuple] = [(block, DOCS, planes(np.concatenate([number[index], place])), zip_array(head))]
+        name = f"{folder}/{block}-{uuid.uuid4().hex}.zst"
+        with common.AtomicFile(name) as out:
+            out.write(planes(np.concatenate([number[index], place]), 6))
+        rows: list[tuple] = [(block, DOCS, name.encode(), zip_array(head))]
         bounds = np.searchsorted(dest[order], np.arange(tables + 1))
         by_part = by_count[order].tolist()
         for d in np.flatnonzero(np.diff(bounds)).tolist():
@@ -148,10 +153,12 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def restored(docs: bytes, head: bytes, answers: list[tuple[bytes, bytes]], pieces: pa.Table) -> pa.RecordBatch:
+def restored(name: bytes, head: bytes, answers: list[tuple[bytes, bytes]], pieces: pa.Table) -> pa.RecordBatch:
     """A block's documents from the ids of its words, given in order of the parts of the table."""
     table = unzip_array(head, np.int64).reshape(-1, 3)
-    both, n = from_planes(docs).astype(np.int64), int(table[:, 2].sum())
+    with common.open_input(name.decode()) as source:
+        both = from_planes(source.read()).astype(np.int64)
+    n = int(table[:, 2].sum())
     numbers, place = both[:n], both[n:]
     flat = np.concatenate([from_planes(d) for d, _ in answers] or [np.zeros(0, "<u4")])
     sizes = np.concatenate([from_planes(s) for _, s in answers] or [np.zeros(0, "<u4")]).astype(np.int64)
@@ -176,7 +183,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     common.short_batches(spark)
     parts = common.shuffle_partitions(spark)
-    blocks = common.materialize(numbered(split_words(docs), 3 * parts), "blocks")
+    blocks = common.materialize(numbered(split_words(docs), 3 * parts, common.new_dir(spark, "numbers")), "blocks")
     asked = blocks.where(F.col("dest") != DOCS).repartition(parts, "dest").sortWithinPartitions("dest")
     both = blocks.where(F.col("dest") == DOCS).unionByName(encoded(asked, tokenizer))
 
