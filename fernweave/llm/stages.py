@@ -36,7 +36,7 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents whose toxicity score is below the threshold. A null text is scored as the empty one; a text of any length is
     scored whole; rows are judged each by itself, so repeats and null ids need no rule."""
-    return toxicity.keep_ordinary(docs, toxicity.fit(toxicity.sample(docs, labels)))
+    return toxicity.keep_ordinary(docs, toxicity.fit_sample(toxicity.sample(docs, labels)))
 
 
 def without_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -8,7 +8,8 @@ share of the text, go through a logistic curve; its weights are calibrated on la
 not seen: either half of the sample is measured by dictionaries of the other half.
 
 The model is fitted on the whole texts of a bounded sample of labelled rows (SAMPLE), chosen by a hash of the id, so
-that counts are calibrated on texts as long as those scored. Only the text is an input of a score.
+that counts are calibrated on texts as long as those scored; a task each trains the dictionaries of either half and of
+the whole sample. Only the text is an input of a score.
 
 Defined results: a null or empty text has no window and gets the score of zero counts. If the labels lack one class
 there is nothing to tell apart, and all scores are the share of toxic labels (0 without labels). Rows that repeat
@@ -40,7 +41,7 @@ SAMPLE = {1: 3000, 0: 5000}
 TOXIC_BYTES, PLAIN_BYTES = 8192, 24_000
 FEW, SHARE, ODDS = 4, 0.015, 4.0  # a typical n-gram: so many toxic texts, such a share of them, such log odds
 GRAMS = (4, 5, 6)
-MERGE = 4_000_000  # n-grams that are counted before they are merged
+MERGE = 1_000_000  # n-grams that are counted before they are merged
 MOST = 9  # distances are counted up to here
 THRESHOLD = 0.7
 POSITIVE_WEIGHT = 3.0
@@ -152,9 +153,9 @@ def typical(toxic: list[str], plain: list[str]) -> np.ndarray:
     values, counts = text_counts(toxic)
     often = counts >= max(FEW, SHARE * len(toxic))
     values, counts = values[often], counts[often]
-    known, others = text_counts(plain)
-    at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
-    there = np.where(known[at] == values, others[at], 0) if len(known) else np.zeros(len(values))
+    there = np.zeros(len(values))
+    for t in plain:
+        there += np.isin(values, gram_hashes(list(set(words(t))))[0])
     odds = np.log((counts + 0.5) / (len(toxic) + 1)) - np.log((there + 0.5) / (len(plain) + 1))
     return values[odds > ODDS]
 
@@ -175,19 +176,25 @@ def train(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
     return trained(windows, TOXIC_BYTES), trained(others, PLAIN_BYTES)
 
 
-def fit(rows: list[tuple[str, int]]) -> Model | float:
-    """A model from (text, label) rows: dictionaries from all, and weights from either half by dictionaries of the other."""
+FOLDS = (0, 1, None)
+
+
+def measured(rows: list[tuple[str, int]], fold: int | None) -> tuple[bytes, bytes, np.ndarray]:
+    """For a fold the features, with label, of the half of the sample that is not the fold's, by dictionaries of the one that is;
+    without one the dictionaries of the whole sample."""
     toxic, plain = [t for t, y in rows if y], [t for t, y in rows if not y]
-    if len(toxic) < 2 or len(plain) < 2:
-        return len(toxic) / len(rows) if rows else 0.0
-    dictionaries = train(toxic, plain)
-    x, y = [], []
-    for k in (0, 1):
-        distance = Distance(*train(toxic[k::2], plain[k::2]))
-        bad, fine = toxic[1 - k :: 2], plain[1 - k :: 2]
-        x += [distance.features(t) for t in [*bad, *fine]]
-        y += [1.0] * len(bad) + [0.0] * len(fine)
-    x, y = np.array(x), np.array(y)
+    if fold is None:
+        return *train(toxic, plain), np.zeros((0, 0))
+    distance = Distance(*train(toxic[fold::2], plain[fold::2]))
+    found = [[*distance.features(t), float(y)] for y, texts in ((1, toxic), (0, plain)) for t in texts[1 - fold :: 2]]
+    return b"", b"", np.array(found)
+
+
+def solved(parts: list[tuple[bytes, bytes, np.ndarray]]) -> Model:
+    """The model from what was measured of all folds."""
+    toxic, plain = next((t, p) for t, p, x in parts if not x.size)
+    rows = np.concatenate([x for *_, x in parts if x.size])
+    x, y = rows[:, :-1], rows[:, -1]
     mean, spread = x.mean(0), x.std(0) + 1e-6
     a = np.column_stack([(x - mean) / spread, np.ones(len(x))])
     weight, w = np.where(y > 0, POSITIVE_WEIGHT, 1.0), np.zeros(a.shape[1])
@@ -195,23 +202,51 @@ def fit(rows: list[tuple[str, int]]) -> Model | float:
         p = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
         hessian = a.T @ (a * (weight * p * (1 - p))[:, None]) + np.eye(len(w))
         w = w + np.linalg.solve(hessian, a.T @ (weight * (y - p)) - w)
-    return Model(*dictionaries, tuple(mean.tolist()), tuple(spread.tolist()), tuple(w.tolist()))
+    return Model(toxic, plain, tuple(mean.tolist()), tuple(spread.tolist()), tuple(w.tolist()))
+
+
+def too_few(toxic: int, plain: int) -> bool:
+    return toxic < 2 or plain < 2
+
+
+def fit(rows: list[tuple[str, int]]) -> Model | float:
+    """A model from (text, label) rows; where a class is missing the share of toxic ones."""
+    toxic = sum(1 for _, y in rows if y)
+    if too_few(toxic, len(rows) - toxic):
+        return toxic / len(rows) if rows else 0.0
+    return solved([measured(rows, fold) for fold in FOLDS])
+
+
+def fit_sample(sampled: DataFrame) -> Model | float:
+    """fit() of a bounded sample (doc_id, toxic, text) on the executors, a task for each fold; dictionaries and features come back."""
+    counts = {r.toxic: r.n for r in sampled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, plain = counts.get(1, 0), counts.get(0, 0)
+    if too_few(toxic, plain):
+        return toxic / (toxic + plain) if counts else 0.0
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        common.let_go()
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True), key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[1:]))
+        good, bad, x = measured([(t, y) for _, y, t in rows], FOLDS[key[0].as_py()])
+        return pa.table({"toxic": [good], "plain": [bad], "width": pa.array([x.shape[1]], pa.int32()), "x": [x.astype("<f8").tobytes()]})
+
+    folds = sampled.withColumn("fold", F.explode(F.array(*map(F.lit, range(len(FOLDS))))))
+    parts = folds.groupBy("fold").applyInArrow(run, "toxic binary, plain binary, width int, x binary").collect()
+    return solved([(bytes(r.toxic), bytes(r.plain), np.frombuffer(r.x, "<f8").reshape(-1, r.width) if r.width else np.zeros((0, 0))) for r in parts])
 
 
 def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE labelled texts of each class that are not held out; the first by a hash of the id, and of rows that
-    repeat an id the first by a hash of the text."""
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, text): at most SAMPLE labelled texts of each class that are not held out; the first by a hash of the id,
+    and of rows that repeat an id the first by a hash of the text."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     mixed = F.xxhash64("doc_id")
     some = [known.where(F.col("toxic") == y).orderBy(mixed, "doc_id").limit(n) for y, n in SAMPLE.items()]
     texts = common.whole_text(docs).join(F.broadcast(some[0].union(some[1])), "doc_id")  # SAMPLE bounds the labels
-    rows = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()  # and so the rows
-    rows.sort(key=lambda r: (hashlib.md5(str(r.doc_id).encode()).digest(), r.text))
-    return [(r.text, r.toxic) for r in rows]
+    return common.materialize(texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
 
 
 def distance_of(model: Model) -> Distance:
@@ -250,6 +285,6 @@ def keep_ordinary(docs: DataFrame, model: Model | float, threshold: float = THRE
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of `documents`, by a model of `labels` outside the held-out third."""
     docs = common.table(spark, sf_dir, "documents")
-    model = fit(sample(docs, common.table(spark, sf_dir, "labels")))
+    model = fit_sample(sample(docs, common.table(spark, sf_dir, "labels")))
     scored = score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -366,10 +366,12 @@ def test_op3(spark, docs, empty):
     rng = np.random.default_rng(5)
     plain = [" ".join("".join(rng.choice(list("aeinorst"), rng.integers(2, 8))) for _ in range(60)) for _ in range(240)]
     rows = [(k, t + (" zugloff murq verstik" if k % 3 == 0 else "")) for k, t in enumerate(plain)]
-    model = toxicity.fit([(t, int(k % 3 == 0)) for k, t in rows[:160]])
+    model = toxicity.fit_sample(spark.createDataFrame([(k, int(k % 3 == 0), t) for k, t in rows[:160]], "doc_id long, toxic int, text string"))
     scores = [model.score(toxicity.Distance(model.toxic, model.plain).features(t)) for _, t in rows[160:]]
     assert np.mean([(s >= 0.5) == (k % 3 == 0) for (k, _), s in zip(rows[160:], scores, strict=True)]) > 0.95
     assert toxicity.fit([]) == 0.0 and toxicity.fit([("a", 1)]) == 1.0
+    assert toxicity.fit_sample(spark.createDataFrame([(1, 1, "a")], "doc_id long, toxic int, text string")) == 1.0
+    assert toxicity.fit_sample(spark.createDataFrame([], "doc_id long, toxic int, text string")) == 0.0
     scored = toxicity.score(docs, model).collect()
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.keep_ordinary(docs, model).columns == docs.columns
@@ -379,8 +381,8 @@ def test_op3(spark, docs, empty):
 def test_op3_fits_on_whole_texts(spark):
     texts = [(k, "word " * 4000 + f"end{k}") for k in range(12)]
     labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
-    got = toxicity.sample(spark.createDataFrame(texts, "doc_id long, text string"), labels)
-    assert got and set(got) <= {(t, k % 2) for k, t in texts}
+    got = [(r.text, r.toxic) for r in toxicity.sample(spark.createDataFrame([*texts, *texts], "doc_id long, text string"), labels).collect()]
+    assert got and set(got) <= {(t, k % 2) for k, t in texts} and len(got) == len(set(got))
 
 
 def test_op3_trains_on_all_ordinary_words(monkeypatch):
