@@ -45,9 +45,6 @@ RELATION_WEIGHTS = {
 }
 DEFAULT_WEIGHT = 1.0
 
-# Labels that carry little meaning by themselves.
-LOW_VALUE_LABELS = ("Dose", "Alias", "Source", "Category", "DistributionArea")
-
 # Domain terms that queries are searched for.
 TERMS = (
     "柴胡桂枝干姜汤",
@@ -89,4 +86,4 @@ LEXICAL_CANDIDATES, CHUNK_TOP_K, GRAPH_TOP_K, MAX_PATHS = 80, 8, 56, 40
 MIN_TOKENS, MAX_TOKENS = 8, 900
 PARENT_TARGET, PARENT_MAX, CHILD_TARGET, CHILD_MAX = 2400, 4000, 360, 520
 MIN_COVERAGE, MAX_ODD_LENGTH = 0.8, 0.2
-UNIGRAM_WEIGHT, PAIR_WEIGHT = 0.4, 0.6
+UNIGRAM_WEIGHT, PAIR_WEIGHT = 4, 6  # tenths, so that sums are exact

@@ -73,7 +73,7 @@ def whitespace_tokens(c: Column) -> Column:
 
 
 def bag_entries(tokens: Column) -> Column:
-    """(key, weight) of each token and of each two neighbours joined; equal keys are to be added up."""
+    """(key, weight in tenths) of each token and of each two neighbours joined; equal keys are to be added up."""
 
     def entries(t: Column) -> Column:
         ones = F.transform(t, lambda x: F.struct(x.alias("key"), F.lit(UNIGRAM_WEIGHT).alias("weight")))
@@ -117,10 +117,6 @@ def intent(c: Column) -> Column:
     return F.when(has("汤", "方", "方剂"), "formula").when(has("药", "中药", "功效", "归经"), "herb").otherwise("general")
 
 
-def round6(c: Column) -> Column:
-    return F.round(c, 6)
-
-
 def ratio(part: Column, total: Column) -> Column:
     """Share to 6 decimals, 0 of nothing."""
     return F.when(total > 0, F.round(part / total, 6)).otherwise(F.lit(0.0))

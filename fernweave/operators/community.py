@@ -60,7 +60,7 @@ def search(rows: DataFrame, key: str, text: str, question_tokens: list[str], wor
     scored = some.withColumn("_own", own).withColumn("_q", weights)
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, e: a + e["weight"])
     shared = F.filter("_q", lambda e: F.array_contains(F.col("_own"), e["key"]))
-    similarity = (1e-9 + add(shared)) / (1e-9 + add(F.col("_q")))
+    similarity = (1e-9 + add(shared) / 10) / (1e-9 + add(F.col("_q")) / 10)
     return scored.withColumn("similarity", F.round(hybrid(similarity, F.lit(0.0)), 6)).where(F.col("similarity") > threshold).orderBy(F.desc("similarity"), *order).limit(top_k).drop("_own", "_q")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_WEIGHT, LABEL_WEIGHTS, MAX_PATHS, RELATION_WEIGHTS
-from ..storage import materialize
+from ..storage import Rounds, materialize
 
 
 def lookup(table: dict[str, float], key: Column) -> Column:
@@ -65,13 +65,14 @@ def pagerank(nodes: DataFrame, pairs: DataFrame, rounds: int = 100, tol: float |
     arcs = both_ways(pairs)
     total = arcs.groupBy("a").agg(F.sum("weight").alias("total"))
     arcs = materialize(arcs.join(total, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")), "arcs")
-    ranks = materialize(nodes.select("id").distinct().join(total.select(F.col("a").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.col("linked").isNull().alias("dangling"), F.lit(1.0 / n).alias("pagerank")), "ranks")
+    kept = Rounds(nodes.sparkSession, "ranks")
+    ranks = kept.put(nodes.select("id").distinct().join(total.select(F.col("a").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.col("linked").isNull().alias("dangling"), F.lit(1.0 / n).alias("pagerank")).withColumn("change", F.lit(0.0))).drop("change")
     for _ in range(rounds):
         lost = ranks.where("dangling").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
         inflow = arcs.join(ranks.select(F.col("id").alias("a"), "pagerank"), "a").groupBy("b").agg(F.sum(F.col("share") * F.col("pagerank")).alias("inflow"))
         rank = damping * (F.coalesce("inflow", F.lit(0.0)) + lost / n) + (1 - damping) / n
         moved = ranks.join(inflow.withColumnRenamed("b", "id"), "id", "left").select("id", "dangling", rank.alias("pagerank"), F.abs(rank - F.col("pagerank")).alias("change"))
-        moved = materialize(moved, "ranks")
+        moved = kept.put(moved)
         ranks = moved.drop("change")
         if tol is not None and moved.agg(F.sum("change")).first()[0] < n * tol:
             return ranks.select("id", F.round("pagerank", 10).alias("pagerank"))
@@ -83,15 +84,15 @@ def pagerank(nodes: DataFrame, pairs: DataFrame, rounds: int = 100, tol: float |
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, root: the least node that a node is connected with. Alternating large and small stars; a node with very
     many edges is a skewed join side, its minimum is taken before the shuffle."""
-    edges = materialize(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    state = None
+    kept = Rounds(nodes.sparkSession, "stars")
+    edges, state = kept.put(pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "stars")
+        edges = kept.put(small.where("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == state:
             return nodes.select("id").distinct().join(edges.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("root"))
@@ -140,13 +141,18 @@ def reachable(nodes: DataFrame, pairs: DataFrame, seeds: DataFrame) -> DataFrame
 
 def n_hop_paths(edges: DataFrame, nodes: DataFrame, most: int = MAX_PATHS) -> DataFrame:
     """Simple paths of one and two edges from each node, in any direction: id, path (names), weights, total, place.
-    At most `most` of a node, by total weight, length and names. Ranking keeps the best of each task before the shuffle."""
+    At most `most` of a node, by total weight, length and names. A hub's second arcs are cut before the join to those
+    that can be among the best of any path over it: the heaviest, then least by name, with one place for each arc back to
+    the start. Ranking keeps the best of each task before the shuffle."""
     named = nodes.select("id", "name")
     w = edge_weights(edges, nodes).select("source", "target", "retrieval_weight")
     arcs = w.union(w.select("target", "source", "retrieval_weight")).toDF("a", "b", "w").where("a <> b")
     arcs = arcs.join(named.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b").select("a", "b", "w", "b_name")
     one = arcs.select(F.col("a").alias("id"), F.array("b_name").alias("rest"), F.array("w").alias("weights"))
     second = arcs.toDF("m", "c", "w2", "c_name")
+    back = F.max("parallel").over(Window.partitionBy("m"))
+    second = second.join(second.groupBy("m", "c").agg(F.count("*").alias("parallel")), ["m", "c"])
+    second = second.withColumn("k", F.row_number().over(Window.partitionBy("m").orderBy(F.desc("w2"), "c_name", "c"))).withColumn("back", back).where(F.col("k") <= most + F.col("back")).select("m", "c", "w2", "c_name")
     two = arcs.join(second, F.col("b") == F.col("m")).where("c <> a").select(F.col("a").alias("id"), F.array("b_name", "c_name").alias("rest"), F.array("w", "w2").alias("weights"))
     paths = one.unionByName(two).join(named, "id").select("id", F.concat(F.array("name"), "rest").alias("path"), "weights")
     total = F.round(F.aggregate("weights", F.lit(0.0), lambda x, y: x + y), 6)

@@ -23,12 +23,13 @@ def bags(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 def token_similarity(questions: DataFrame, qid: str, q_tokens: Column, docs: DataFrame, did: str, d_tokens: Column) -> DataFrame:
     """(qid, did, similarity) of pairs with a common key: the share of a question's weight whose keys the document has.
-    A document's keys are made distinct before they are joined."""
+    A document's keys are made distinct before they are joined. Weights are whole numbers, so their sums don't hang on the
+    order of rows; the similarity isn't rounded."""
     q = bags(questions, qid, q_tokens)
     total = q.groupBy(qid).agg(F.sum("weight").alias("total"))
     d = docs.select(did, F.explode(F.array_distinct(F.transform(T.bag_entries(d_tokens), lambda e: e["key"]))).alias("token"))
     found = d.join(q, "token").groupBy(qid, did).agg(F.sum("weight").alias("shared"))
-    return found.join(total, qid).select(qid, did, F.round((SMOOTH + F.col("shared")) / (SMOOTH + F.col("total")), 6).alias("similarity"))
+    return found.join(total, qid).select(qid, did, ((SMOOTH + F.col("shared") / 10) / (SMOOTH + F.col("total") / 10)).alias("similarity"))
 
 
 def top_k(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
@@ -37,34 +38,50 @@ def top_k(rows: DataFrame, group: str, order: list, k: int) -> DataFrame:
 
 
 def cosine_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(qid, key, score) of the k rows most like each query, the query's own row left out. Exact: blocks of at most
-    QUERY_BLOCK query vectors go to all tasks in turn, each task keeps its best k, and those are merged."""
-    ids = [r[0] for r in queries.select(key).orderBy(key).collect()]
-    spark, out = rows.sparkSession, None
+    """(qid, key, score) of the k rows most like each query, the query's own row left out. Exact: the queries are dealt in
+    blocks of QUERY_BLOCK, the rows go once to each block, a task keeps the best k of its rows for each query by score and
+    id, and those are merged. Nothing reaches the driver, and a block is all that a task holds."""
     schema = pa.schema([("qid", pa.int64()), (key, pa.int64()), ("score", pa.float64())])
-    for at in range(0, len(ids), QUERY_BLOCK):
-        block = queries.where(F.col(key).isin(ids[at : at + QUERY_BLOCK])).select(key, vector).collect()
-        own = np.array([r[0] for r in block])
-        unit = normal(np.array([r[1] for r in block], np.float64))
-
-        def run(batches: Iterator[pa.RecordBatch], own=own, unit=unit) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                other = np.array(batch.column(0).to_pylist())
-                score = unit @ normal(np.array(batch.column(1).to_pylist(), np.float64)).T
-                score[own[:, None] == other[None, :]] = -np.inf
-                rank = np.lexsort((np.broadcast_to(other, score.shape), -np.round(score, 9)), axis=1)[:, : k + 1]
-                q = np.repeat(np.arange(len(own)), rank.shape[1])
-                rank = rank.reshape(-1)
-                keep = np.isfinite(score[q, rank])
-                yield pa.RecordBatch.from_arrays([pa.array(own[q[keep]]), pa.array(other[rank[keep]]), pa.array(score[q, rank][keep])], schema=schema)
-
-        part = rows.select(F.col(key).cast("long"), vector).mapInArrow(run, f"qid long, {key} long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"qid long, {key} long, score double")
-    return top_k(out.withColumn("score", F.round("score", 4)), "qid", [F.desc("score"), key], k).drop("place")
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    own = queries.select(block.alias("block"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(max(1, parts // n))).cast("int")
+    other = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), slices.alias("slice"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.lit(False).alias("asks"))
+    asked = own.select("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, parts // n) - 1))).alias("slice"), "id", "v", F.lit(True).alias("asks"))
+
+    def best(ids: np.ndarray, unit: np.ndarray, others: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+        score = np.round(unit @ normal(vectors).T, 4) + 0.0
+        score[ids[:, None] == others[None, :]] = -np.inf
+        rank = np.lexsort((np.broadcast_to(others, score.shape), -score), axis=1)[:, :k]
+        q = np.repeat(np.arange(len(ids)), rank.shape[1])
+        rank = rank.reshape(-1)
+        keep = np.isfinite(score[q, rank])
+        return ids[q[keep]], others[rank[keep]], score[q, rank][keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors = None, [], []  # rows come sorted by block and slice, questions first
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "slice", "asks")), strict=True))
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                part = batch.slice(at, end - at)
+                own_, values = part.column("id").to_pylist(), part.column("v").to_pylist()
+                if keys[at][2]:
+                    if keys[at][:2] != now:
+                        now, ids, vectors = keys[at][:2], [], []
+                    ids += own_
+                    vectors += values
+                elif now == keys[at][:2]:
+                    got = best(np.array(ids), normal(np.array(vectors, np.float64)), np.array(own_), np.array(values, np.float64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(got, schema, strict=True)], schema=schema)
+                at = end
+
+    dealt = other.unionByName(asked).repartition(parts, "block", "slice").sortWithinPartitions("block", "slice", F.desc("asks"))
+    return top_k(dealt.mapInArrow(run, f"qid long, {key} long, score double"), "qid", [F.desc("score"), key], k).drop("place")
 
 
 def normal(x: np.ndarray) -> np.ndarray:

@@ -49,9 +49,9 @@ def star_sql(tables=("region", "nation", "supplier", "part", "customer")):
         if x in tables and y in tables:
             edges.append(f"SELECT DISTINCT '{x}:' || {p} AS source, '{y}:' || {q} AS target, '{relation}' AS relation FROM {t}")
     case = lambda c, d: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in d.items()) + " ELSE 1.0 END"
-    return f"""nodes AS ({nodes}), edges AS ({' UNION ALL '.join(edges)}),
-weighted AS (SELECT e.*, {case('relation', RELATION_WEIGHTS)} AS retrieval_weight, round(greatest(0.01, sqrt({case('s.label', LABEL_WEIGHTS)} * {case('t.label', LABEL_WEIGHTS)}) * {case('relation', RELATION_WEIGHTS)}), 6) AS weight FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target),
-arcs AS (SELECT source AS a, target AS b, weight FROM weighted UNION ALL SELECT target, source, weight FROM weighted)"""
+    return f"""nodes AS MATERIALIZED ({nodes}), edges AS ({' UNION ALL '.join(edges)}),
+weighted AS MATERIALIZED (SELECT e.*, {case('relation', RELATION_WEIGHTS)} AS retrieval_weight, round(greatest(0.01, sqrt({case('s.label', LABEL_WEIGHTS)} * {case('t.label', LABEL_WEIGHTS)}) * {case('relation', RELATION_WEIGHTS)}), 6) AS weight FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target),
+arcs AS MATERIALIZED (SELECT source AS a, target AS b, weight FROM weighted UNION ALL SELECT target, source, weight FROM weighted)"""
 
 
 def pairs_of(spark, sf_dir, nodes, edges):
@@ -70,15 +70,14 @@ def degree_rank(spark, sf_dir):
     return G.edge_counts(nodes, edges)
 
 
-SMALL = ("region", "nation", "supplier", "customer")
 ROUNDS = 5
 
 
 def pagerank_sql():
-    steps = ["r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS pr FROM nodes)"]
+    steps = ["r0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT count(*) FROM nodes) AS pr FROM nodes)"]
     for k in range(1, ROUNDS + 1):
-        steps.append(f"r{k} AS (SELECT n.id, 0.85 * (coalesce(i.x, 0) + (SELECT coalesce(sum(pr), 0) FROM r{k - 1} WHERE id NOT IN (SELECT a FROM arcs)) / (SELECT count(*) FROM nodes)) + CAST(0.15 AS DOUBLE) / (SELECT count(*) FROM nodes) AS pr FROM nodes n LEFT JOIN (SELECT s.b AS id, sum(s.share * r.pr) AS x FROM shares s JOIN r{k - 1} r ON r.id = s.a GROUP BY 1) i ON i.id = n.id)")
-    return f"WITH {star_sql(SMALL)}, shares AS (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS share FROM arcs), {', '.join(steps)} SELECT id, round(pr, 8) AS pagerank FROM r{ROUNDS}"
+        steps.append(f"r{k} AS MATERIALIZED (SELECT n.id, 0.85 * (coalesce(i.x, 0) + (SELECT coalesce(sum(pr), 0) FROM r{k - 1} WHERE id NOT IN (SELECT a FROM arcs)) / (SELECT count(*) FROM nodes)) + CAST(0.15 AS DOUBLE) / (SELECT count(*) FROM nodes) AS pr FROM nodes n LEFT JOIN (SELECT s.b AS id, sum(s.share * r.pr) AS x FROM shares s JOIN r{k - 1} r ON r.id = s.a GROUP BY 1) i ON i.id = n.id)")
+    return f"WITH {star_sql()}, shares AS MATERIALIZED (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS share FROM arcs), {', '.join(steps)} SELECT id, round(pr, 8) AS pagerank FROM r{ROUNDS}"
 
 
 @query(pagerank_sql())
@@ -94,14 +93,22 @@ def node_analytics(spark, sf_dir):
     return G.visual_weights(nodes, G.degrees(nodes, pairs), G.pagerank(nodes, pairs))
 
 
-COMPONENTS_SQL = f"""{star_sql(SMALL)}, region_of AS (SELECT 'region:' || r_regionkey AS id, 'region:' || r_regionkey AS r FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation
-UNION ALL SELECT 'supplier:' || s_suppkey, 'region:' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'customer:' || c_custkey, 'region:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
-roots AS (SELECT id, min(id) OVER (PARTITION BY r) AS root FROM region_of), sizes AS (SELECT root, count(*) AS size FROM roots GROUP BY root), comps AS (SELECT id, row_number() OVER (ORDER BY size DESC, root) - 1 AS component, size FROM roots JOIN (SELECT root, size, 1 FROM sizes) USING (root)),
-numbered AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) - 1 AS component FROM sizes), comp AS (SELECT id, CAST(component AS INTEGER) AS component, size FROM roots JOIN numbered USING (root))"""
+SPREAD = 12  # rounds in which the SQL passes least ids on to neighbours; more than the graph's diameter
+
+
+def components_sql():
+    rounds = ["l0 AS MATERIALIZED (SELECT id, id AS root FROM nodes)"]
+    for k in range(1, SPREAD + 1):
+        rounds.append(f"l{k} AS MATERIALIZED (SELECT l.id, least(any_value(l.root), coalesce(min(o.root), any_value(l.root))) AS root FROM l{k - 1} l LEFT JOIN arcs ON arcs.a = l.id LEFT JOIN l{k - 1} o ON o.id = arcs.b GROUP BY l.id)")
+    return f"""{star_sql()}, {', '.join(rounds)}, sizes AS (SELECT root, count(*) AS size FROM l{SPREAD} GROUP BY root),
+numbered AS (SELECT root, size, row_number() OVER (ORDER BY size DESC, root) - 1 AS component FROM sizes), comp AS (SELECT id, CAST(component AS INTEGER) AS component, size FROM l{SPREAD} JOIN numbered USING (root))"""
+
+
+COMPONENTS_SQL = components_sql()
 
 
 def component_frame(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir, SMALL)
+    nodes, edges = star(spark, sf_dir)
     return nodes, edges, G.component_ids(G.components(nodes, pairs_of(spark, sf_dir, nodes, edges)))
 
 
@@ -116,7 +123,7 @@ def community_summary(spark, sf_dir):
     return G.label_counts(nodes.join(comp.select("id", "component"), "id"), "component")
 
 
-BFS_SQL = f"""WITH {star_sql(SMALL)}, d0 AS (SELECT id, label, 0 AS depth FROM nodes WHERE id IN ('supplier:1', 'customer:7')),
+BFS_SQL = f"""WITH {star_sql()}, d0 AS (SELECT id, label, 0 AS depth FROM nodes WHERE id IN ('supplier:1', 'customer:7')),
 d1 AS (SELECT DISTINCT n.id, n.label, 1 AS depth FROM d0 JOIN arcs ON a = d0.id JOIN nodes n ON n.id = b WHERE n.id NOT IN (SELECT id FROM d0)),
 d2 AS (SELECT DISTINCT n.id, n.label, 2 AS depth FROM d1 JOIN arcs ON a = d1.id JOIN nodes n ON n.id = b WHERE n.id NOT IN (SELECT id FROM d0 UNION ALL SELECT id FROM d1))
 SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2"""
@@ -129,16 +136,16 @@ def bfs_neighborhood(spark, sf_dir):
     return G.neighborhood(nodes, edges, seeds, 2, max_nodes=1_000_000, max_edges=1_000_000)[0]
 
 
-CHAIN = ("region", "nation", "supplier")
-PATHS_SQL = f"""{star_sql(CHAIN)}, steps AS (SELECT source AS a, target AS b, retrieval_weight AS w FROM weighted UNION ALL SELECT target, source, retrieval_weight FROM weighted),
+PATHS_SQL = f"""{star_sql()}, steps AS (SELECT source AS a, target AS b, retrieval_weight AS w FROM weighted UNION ALL SELECT target, source, retrieval_weight FROM weighted),
+seconds AS (SELECT steps.*, row_number() OVER (PARTITION BY a ORDER BY w DESC, name, b) AS k FROM steps JOIN nodes ON nodes.id = b),
 paths AS (SELECT s.a AS id, x.name || '|' || y.name AS path, 2 AS n, w AS total, [w] AS ws FROM steps s JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b
-UNION ALL SELECT s.a, x.name || '|' || y.name || '|' || z.name, 3, s.w + t.w, [s.w, t.w] FROM steps s JOIN steps t ON t.a = s.b AND t.b <> s.a JOIN nodes x ON x.id = s.a JOIN nodes y ON y.id = s.b JOIN nodes z ON z.id = t.b),
+UNION ALL SELECT s.a, x.name || '|' || y.name || '|' || z.name, 3, s.w + t.w, [s.w, t.w] FROM steps s JOIN seconds t ON t.a = s.b AND t.b <> s.a AND t.k <= 41 JOIN nodes x ON x.id = s.a JOIN nodes y ON y.id = s.b JOIN nodes z ON z.id = t.b),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(total, 6) DESC, n, path) AS place FROM paths)"""
 
 
 @query(f"WITH {PATHS_SQL} SELECT id, path, round(total, 6) AS total, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 40")
 def nhop_paths_top40(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir, CHAIN)
+    nodes, edges = star(spark, sf_dir)
     return G.n_hop_paths(edges, nodes).select("id", F.array_join("path", "|").alias("path"), "total", "place")
 
 
@@ -148,7 +155,7 @@ scores AS (SELECT from_name, to_name, sum(sim) AS sim, max(weight) AS weight FRO
 
 
 def scores(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir, CHAIN)
+    nodes, edges = star(spark, sf_dir)
     return nodes, edges, G.path_scores(G.n_hop_paths(edges, nodes).withColumn("sim", F.lit(0.9)))
 
 
@@ -189,8 +196,8 @@ def alias_resolution(spark, sf_dir):
     return G.resolved_aliases(nodes, edges)
 
 
-PAIR_SQL = r"""names AS (SELECT DISTINCT p_brand, p_name AS n FROM part), w AS (SELECT DISTINCT p_brand, n, unnest(string_split(n, ' ')) AS k FROM names),
-pairs AS (SELECT DISTINCT x.p_brand, x.n AS a, y.n AS b FROM w x JOIN w y ON x.p_brand = y.p_brand AND x.k = y.k AND x.n < y.n),
+PAIR_SQL = r"""names AS (SELECT DISTINCT p_brand, p_name AS n FROM part),
+pairs AS (SELECT x.p_brand, x.n AS a, y.n AS b FROM names x JOIN names y ON x.p_brand = y.p_brand AND x.n < y.n),
 g AS (SELECT *, [a[i:i+1] FOR i IN range(1, length(a))] AS ga, [b[i:i+1] FOR i IN range(1, length(b))] AS gb FROM pairs),
 near AS (SELECT p_brand, a, b FROM g WHERE levenshtein(a, b) <= least(length(a), length(b)) // 2 AND len(list_filter(list_concat(list_filter(ga, lambda x: NOT list_contains(gb, x)), list_filter(gb, lambda x: NOT list_contains(ga, x))), lambda x: regexp_matches(x, '[0-9]'))) = 0)"""
 
@@ -224,7 +231,7 @@ def edge_merge(spark, sf_dir):
     return G.merged_edges(parts).select(F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high"), "relation", "evidence")
 
 
-@query(f"WITH {star_sql(CHAIN)} SELECT DISTINCT 'nation:' || n_nationkey AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'region:2' UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
+@query(f"WITH {COMPONENTS_SQL} SELECT id FROM comp WHERE component = (SELECT component FROM comp WHERE id = 'region:2')")
 def reachable_nodes(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir, CHAIN)
+    nodes, edges = star(spark, sf_dir)
     return G.reachable(nodes, pairs_of(spark, sf_dir, nodes, edges), spark.createDataFrame([("region:2",)], "id string"))

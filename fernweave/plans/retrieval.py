@@ -24,10 +24,10 @@ def query(sql: str | None = None):
 
 
 SPLIT = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')"
-BAG_SQL = f"""bt AS (SELECT item_id, {SPLIT} AS t FROM benchmark), q AS (SELECT item_id, token, sum(w) AS w FROM (SELECT item_id, unnest(t) AS token, CAST(0.4 AS DOUBLE) AS w FROM bt
-UNION ALL SELECT item_id, unnest([t[i] || t[i + 1] FOR i IN range(1, len(t))]), CAST(0.6 AS DOUBLE) FROM bt) GROUP BY 1, 2), tot AS (SELECT item_id, sum(w) AS total FROM q GROUP BY 1),
+BAG_SQL = f"""bt AS (SELECT item_id, {SPLIT} AS t FROM benchmark), q AS (SELECT item_id, token, sum(w) AS w FROM (SELECT item_id, unnest(t) AS token, 4 AS w FROM bt
+UNION ALL SELECT item_id, unnest([t[i] || t[i + 1] FOR i IN range(1, len(t))]), 6 FROM bt) GROUP BY 1, 2), tot AS (SELECT item_id, sum(w) AS total FROM q GROUP BY 1),
 dt AS (SELECT doc_id, {SPLIT} AS t FROM documents), d AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(t) AS token FROM dt UNION ALL SELECT doc_id, unnest([t[i] || t[i + 1] FOR i IN range(1, len(t))]) FROM dt)),
-sim AS (SELECT item_id, doc_id, round((1e-9 + sum(w)) / (1e-9 + any_value(total)), 6) AS similarity FROM d JOIN q USING (token) JOIN tot USING (item_id) GROUP BY 1, 2)"""
+sim AS (SELECT item_id, doc_id, (1e-9 + sum(w)::DOUBLE / 10) / (1e-9 + any_value(total)::DOUBLE / 10) AS similarity FROM d JOIN q USING (token) JOIN tot USING (item_id) GROUP BY 1, 2)"""
 
 
 def similarities(spark, sf_dir):
@@ -35,9 +35,9 @@ def similarities(spark, sf_dir):
     return R.token_similarity(table(spark, sf_dir, "benchmark"), "item_id", low, table(spark, sf_dir, "documents"), "doc_id", low)
 
 
-@query(f"WITH {BAG_SQL} SELECT item_id, doc_id, similarity, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS place FROM sim) WHERE place <= 8")
+@query(f"WITH {BAG_SQL} SELECT item_id, doc_id, similarity, CAST(place AS INTEGER) AS place FROM (SELECT item_id, doc_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY item_id ORDER BY round(similarity, 6) DESC, doc_id) AS place FROM sim) WHERE place <= 8")
 def token_similarity_topk(spark, sf_dir):
-    return R.top_k(similarities(spark, sf_dir), "item_id", [F.desc("similarity"), "doc_id"], 8)
+    return R.top_k(similarities(spark, sf_dir).withColumn("similarity", F.round("similarity", 6)), "item_id", [F.desc("similarity"), "doc_id"], 8)
 
 
 @query(f"""WITH {BAG_SQL}, s AS (SELECT item_id, doc_id, round(CAST(0.3 AS DOUBLE) * similarity + CAST(0.7 AS DOUBLE) * CASE WHEN quality = 1 THEN CAST(0.5 AS DOUBLE) ELSE 0 END, 6) AS score FROM sim LEFT JOIN labels USING (doc_id))
@@ -86,7 +86,10 @@ def semantic_chunks(spark, sf_dir):
     return C.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+b(source, k, doc_id, n_chars, batch, total) AS (SELECT source, k, doc_id, n_chars, 0, n_chars FROM o WHERE k = 1
+UNION ALL SELECT o.source, o.k, o.doc_id, o.n_chars, CASE WHEN b.total + o.n_chars > 20000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.total + o.n_chars > 20000 THEN o.n_chars ELSE b.total + o.n_chars END FROM b JOIN o ON o.source = b.source AND o.k = b.k + 1)
+SELECT source, doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(batch AS INTEGER) AS batch FROM b""")
 def greedy_batches(spark, sf_dir):
     return C.greedy_batches(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 20_000)
 
