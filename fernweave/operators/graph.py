@@ -148,16 +148,16 @@ def n_hop_paths(edges: DataFrame, nodes: DataFrame, most: int = MAX_PATHS) -> Da
     w = edge_weights(edges, nodes).select("source", "target", "retrieval_weight")
     arcs = w.union(w.select("target", "source", "retrieval_weight")).toDF("a", "b", "w").where("a <> b")
     arcs = arcs.join(named.select(F.col("id").alias("b"), F.col("name").alias("b_name")), "b").select("a", "b", "w", "b_name")
-    one = arcs.select(F.col("a").alias("id"), F.array("b_name").alias("rest"), F.array("w").alias("weights"))
     second = arcs.toDF("m", "c", "w2", "c_name")
     back = F.max("parallel").over(Window.partitionBy("m"))
     second = second.join(second.groupBy("m", "c").agg(F.count("*").alias("parallel")), ["m", "c"])
     second = second.withColumn("k", F.row_number().over(Window.partitionBy("m").orderBy(F.desc("w2"), "c_name", "c"))).withColumn("back", back).where(F.col("k") <= most + F.col("back")).select("m", "c", "w2", "c_name")
-    two = arcs.join(second, F.col("b") == F.col("m")).where("c <> a").select(F.col("a").alias("id"), F.array("b_name", "c_name").alias("rest"), F.array("w", "w2").alias("weights"))
-    paths = one.unionByName(two).join(named, "id").select("id", F.concat(F.array("name"), "rest").alias("path"), "weights")
-    total = F.round(F.aggregate("weights", F.lit(0.0), lambda x, y: x + y), 6)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("total"), F.size("path"), F.array_join("path", "|"), F.array_join(F.transform("weights", lambda x: x.cast("string")), "|")))
-    return paths.withColumn("total", total).withColumn("place", place).where(F.col("place") <= most)
+    one = arcs.select(F.col("a").alias("id"), "b_name", "w", F.lit(None).cast("string").alias("c_name"), F.lit(None).cast("double").alias("w2"))
+    two = arcs.join(second, F.col("b") == F.col("m")).where("c <> a").select(F.col("a").alias("id"), "b_name", "w", "c_name", "w2")
+    paths = one.unionByName(two).withColumn("total", F.round(F.col("w") + F.coalesce("w2", F.lit(0.0)), 6))
+    order = [F.desc("total"), F.col("c_name").isNotNull(), F.concat_ws("|", "b_name", "c_name"), F.concat_ws("|", F.col("w").cast("string"), F.col("w2").cast("string"))]
+    best = paths.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("place") <= most)
+    return best.join(named, "id").select("id", F.array_compact(F.array("name", "b_name", "c_name")).alias("path"), F.array_compact(F.array("w", "w2")).alias("weights"), "total", "place")
 
 
 def path_scores(entities: DataFrame) -> DataFrame:

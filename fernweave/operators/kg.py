@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import GRAPH_TOP_K
 from ..functions.query import node_id
+from ..storage import materialize
 from .community import search
 from .graph import path_scores
 
@@ -34,8 +35,6 @@ def typed_names(entities: DataFrame, types: list[str]) -> DataFrame:
 
 def by_name(hits: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Hits of one key as one: values of the last in order, place of the first."""
-    from pyspark.sql import Window
-
     placed = hits.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most GRAPH_TOP_K rows
     rest = [c for c in placed.columns if c not in (*keys, "place")]
     return placed.groupBy(*keys).agg(F.min("place").alias("place"), *(F.max_by(c, "place").alias(c) for c in rest))
@@ -95,7 +94,7 @@ def retrieve(entities: DataFrame, relations: DataFrame, reports: DataFrame, toke
     relation_type, display, content_with_weight, weight, evidence; reports: title, names, weight. tokens of the question, words
     to find entities by, types asked for."""
     ents = search(entities, "entity_id", "description", words or tokens, words, [F.desc("rank"), "entity_name", "entity_id"], GRAPH_TOP_K)
-    ents = by_name(ents.withColumnRenamed("similarity", "sim"), ["entity_name"], [F.desc("sim"), F.desc("rank"), "entity_id"])
+    ents = materialize(by_name(ents.withColumnRenamed("similarity", "sim"), ["entity_name"], [F.desc("sim"), F.desc("rank"), "entity_id"]), "entities")
     rels = search(relations, "relation_id", "content_with_weight", tokens, words, [F.desc("weight"), "from_name", "to_name", "relation_id"], GRAPH_TOP_K)
     pairs = rels.select(F.least("from_name", "to_name").alias("a"), F.greatest("from_name", "to_name").alias("b"), F.col("similarity").alias("sim"), F.col("weight").cast("double").alias("weight"), "relation_id", "relation_type", "display", "evidence", F.col("from_name").alias("source_name"), F.col("to_name").alias("target_name"))
     pairs = by_name(pairs, ["a", "b"], [F.desc("sim"), F.desc("weight"), "relation_id"]).withColumnsRenamed({"a": "from_name", "b": "to_name"}).drop("place")
@@ -103,9 +102,9 @@ def retrieve(entities: DataFrame, relations: DataFrame, reports: DataFrame, toke
     paths = path_scores(ents.select("sim", F.explode("n_hop").alias("p")).select("sim", "p.path", "p.weights"))
     both = ents.join(names.withColumnRenamed("name", "entity_name").withColumn("typed", F.lit(True)), "entity_name", "left")
     score = F.col("sim") * F.when(F.col("typed"), 2).otherwise(1) * F.col("rank")
-    best = both.withColumn("score", score).orderBy(F.desc("score"), "place").limit(entity_topn)
+    best = materialize(both.withColumn("score", score).orderBy(F.desc("score"), "place").limit(entity_topn), "entities")
     scored = with_details(fused(pairs, names, paths), relations)
-    top = scored.withColumn("score", F.col("sim") * F.col("weight")).orderBy(F.desc("score"), "from_name", "to_name").limit(relation_topn)
+    top = materialize(scored.withColumn("score", F.col("sim") * F.col("weight")).orderBy(F.desc("score"), "from_name", "to_name").limit(relation_topn), "relations")
     wanted = best.agg(F.collect_list("entity_name").alias("wanted"))  # one row of at most entity_topn names
     shared = F.size(F.array_intersect("names", "wanted"))
     told = reports.join(F.broadcast(wanted)).withColumn("shared", shared).where("shared > 0").orderBy(F.desc("shared"), F.desc("weight"), F.desc("title")).limit(report_topn)

@@ -21,7 +21,7 @@ def units_of_chunks(chunks: DataFrame) -> DataFrame:
     """A unit for each chunk that has none, numbered by the chunk's place in its source."""
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("chunk_index", "chunk_id"))
     rows = chunks.withColumn("_n", place).where(F.coalesce("unit_id", F.lit("")) == "")
-    return rows.select("source_id", F.concat_ws(":", F.lit("unit"), "source_id", F.lpad(F.col("_n").cast("string"), 4, "0")).alias("unit_id"), F.col("_n").alias("unit_index"), "content", "chunk_id")
+    return rows.select("source_id", F.concat_ws(":", F.lit("unit"), "source_id", F.format_string("%04d", "_n")).alias("unit_id"), F.col("_n").alias("unit_index"), "content", "chunk_id")
 
 
 def units_as_chunks(units: DataFrame) -> DataFrame:
