@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .functions import query as Q
 from .functions import text as T
+from .jobs import Lock
 from .operators import audit as A
 from .operators import chunking, graph, relational, reports, retrieval
 from .sources.tables import Table, mark, point_id, reset_failed
@@ -24,7 +26,7 @@ KEYS = {"chunks": ["chunk_id"], "nodes": ["id"], "edges": ["source", "target", "
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
+        self.spark, self.path = spark, path.rstrip("/")
         self.tables = {name: Table(spark, f"{path.rstrip('/')}/{name}", key) for name, key in KEYS.items()}
 
     def table(self, name: str) -> DataFrame:
@@ -44,8 +46,14 @@ class Engine:
         return self.table("chunks").count()
 
     def build_graph(self, hits_text: str = "content") -> dict:
-        """Extract, merge and rank the graph of all chunks, and report on its components."""
-        run, start = uuid.uuid4().hex, time.time()
+        """Extract, merge and rank the graph of all chunks, and report on its components. One build at a time: BlockingIOError
+        where another one runs."""
+        run = uuid.uuid4().hex
+        with Lock(self.spark, f"{self.path}/build.lock", run):
+            return self._build_graph(run, hits_text)
+
+    def _build_graph(self, run: str, hits_text: str) -> dict:
+        start = time.time()
         entities, relations = reports.demo_extraction(self.table("chunks"), "chunk_id", hits_text)
         nodes = entities.groupBy(F.concat_ws(":", F.lit("entity"), F.lower("label"), "name").alias("id"), "label", "name").agg(F.array_join(F.array_sort(F.collect_set("chunk_id")), ",").alias("chunk_ids"))
         nodes = materialize(nodes, "nodes")
@@ -58,12 +66,12 @@ class Engine:
         self.tables["nodes"].replace(ranked)
         self.tables["edges"].replace(edges)
         self.tables["reports"].replace(reports.reports(self.table("nodes"), edges, "component"))
-        summary = {"run_id": run, "status": "completed", "nodes": nodes.count(), "edges": edges.count(), "seconds": round(time.time() - start, 3)}
-        self.tables["runs"].append(self.spark.createDataFrame([summary], "run_id string, status string, nodes long, edges long, seconds double"))
+        summary = {"run_id": run, "status": "completed", "nodes": nodes.count(), "edges": edges.count(), "started": start, "seconds": round(time.time() - start, 3)}
+        self.tables["runs"].append(self.spark.createDataFrame([summary], "run_id string, status string, nodes long, edges long, started double, seconds double"))
         return summary
 
     def runs(self, limit: int = 20) -> list[dict]:
-        return [r.asDict() for r in self.table("runs").orderBy(F.desc("run_id")).limit(min(max(limit, 1), 100)).collect()]
+        return [r.asDict() for r in self.table("runs").orderBy(F.desc("started"), F.desc("run_id")).limit(min(max(limit, 1), 100)).collect()]
 
     def audit(self) -> dict:
         state = F.col("vector_status")
@@ -97,14 +105,15 @@ class Engine:
         kept = graph.round_robin(nodes.select("id", F.col("component").alias("community"), "visual_weight"), limit)
         for e in ("source", "target"):
             edges = edges.join(kept.select(F.col("id").alias(e)), e, "left_semi")
-        return kept, edges.limit(3 * limit)
+        heavy = graph.edge_weights(edges, nodes).orderBy(F.desc("weight"), "relation", "source", "target").limit(3 * limit)
+        return kept, heavy.select(edges.columns)
 
     def query(self, question: str, top_k: int = K.CHUNK_TOP_K) -> dict:
         """Best chunks with evidence ids, matching nodes with their neighbourhood, and the intent."""
-        asked = self.spark.createDataFrame([(0, question)], "qid int, text string").withColumn("t", T.query_tokens(F.col("text")))
-        tokens = asked.select("t", T.intent(F.col("text")).alias("intent")).first()
+        asked = self.spark.createDataFrame([(0, question)], "qid int, text string").withColumn("t", T.query_tokens(Q.normal_form(F.col("text"))))
+        tokens = asked.select("t", T.intent(F.col("text")).alias("intent"), Q.candidate_keywords(F.col("t")).alias("words")).first()
         chunks = self.table("chunks").where("available_int = 1")
-        found = relational.lexical_candidates(chunks, tokens.t[:8], ["content"], ["chunk_id"], K.LEXICAL_CANDIDATES)
+        found = relational.lexical_candidates(chunks, tokens.words, ["content"], ["chunk_id"], K.LEXICAL_CANDIDATES)
         similar = retrieval.token_similarity(asked, "qid", F.col("t"), found, "chunk_id", T.query_tokens(F.col("content")))
         words = F.array(*map(F.lit, tokens.t)).cast("array<string>")
         scored = found.join(similar, "chunk_id", "left").withColumn("score", F.round(retrieval.hybrid(F.coalesce("similarity", F.lit(0.0)), F.lit(0.0)) + T.literal_bonus(words, F.col("content")), 6))

@@ -1,7 +1,8 @@
 """Keyed tables as Parquet folders: replace, append, merge by key, and replace of single sources.
 
-A write goes to a new version folder and the pointer file is replaced last, so readers see the old table or the new
-one. One driver writes a table at a time.
+A write goes to a new folder. What a table consists of is a list of folders in a numbered pointer file, of which the highest
+number counts; a pointer appears under its name at once, by a rename, and the one before stays, so readers see the old table or
+the new one. An append writes only what is new. One driver writes a table at a time (jobs.Lock).
 """
 
 from __future__ import annotations
@@ -18,33 +19,49 @@ class Table:
     def __init__(self, spark: SparkSession, path: str, key: list[str]):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+    def _place(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointers, in order."""
+        folder, fs = self._place("pointers")
+        if not fs.exists(folder):
+            return []
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit())
+
+    def _parts(self) -> list[str]:
+        numbers = self._pointers()
+        if not numbers:
+            return []
+        return sorted(r.value for r in self.spark.read.text(f"{self.path}/pointers/{numbers[-1]:012d}").collect())
+
     def read(self) -> DataFrame | None:
-        path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        version = self.spark.read.text(f"{self.path}/current").first().value
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        parts = self._parts()
+        return self.spark.read.parquet(*(f"{self.path}/{p}" for p in parts)) if parts else None
 
-    def replace(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        path, fs = self._pointer()
-        temp = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next-{version}")
+    def _point(self, parts: list[str]) -> None:
+        numbers = self._pointers()
+        temp, fs = self._place(f"next-{uuid.uuid4().hex}")
         out = fs.create(temp, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray("\n".join(parts).encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(temp, path)
+        fs.mkdirs(self._place("pointers")[0])
+        if not fs.rename(temp, self._place(f"pointers/{(numbers or [0])[-1] + 1:012d}")[0]):
+            raise RuntimeError(f"another driver writes {self.path}")
+        for old in numbers[:-1]:
+            fs.delete(self._place(f"pointers/{old:012d}")[0], False)
+
+    def _write(self, rows: DataFrame) -> str:
+        part = f"v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{part}")
+        return part
+
+    def replace(self, rows: DataFrame) -> None:
+        self._point([self._write(rows)])
 
     def append(self, rows: DataFrame) -> None:
-        now = self.read()
-        self.replace(rows if now is None else now.unionByName(rows))
+        self._point([*self._parts(), self._write(rows)])
 
     def merge(self, rows: DataFrame) -> None:
         """Rows replace those with the same key."""
