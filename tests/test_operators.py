@@ -132,3 +132,32 @@ def test_graph_queries_have_parts(spark, sf_dir):
     got = {r.id: r.pagerank for r in graphs.pagerank_k(spark, sf_dir).collect()}
     assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-7 for i in ids)
     assert {r.id for r in graphs.node_analytics(spark, sf_dir).collect()} == set(ids)
+
+
+def test_paths_over_hubs(spark):
+    """A hub with more arcs than are kept, parallel edges and a loop, against all paths."""
+    relations = ["TREATS", "COMPOSED_OF", "HAS_DOSE", "INCLUDES"]
+    nodes = [(f"n{k}", "Herb", f"name {k % 13}") for k in range(40)]
+    edges = [("n0", f"n{k}", relations[k % 4], k) for k in range(1, 30)] + [("n0", f"n{k}", relations[(k + 1) % 4], 100 + k) for k in range(1, 30, 3)] + [("n5", "n6", "TREATS", 200), ("n6", "n6", "TREATS", 201), ("n30", "n31", "HAS_DOSE", 202)]
+    got = G.n_hop_paths(spark.createDataFrame(edges, "source string, target string, relation string, ord long"), spark.createDataFrame(nodes, "id string, label string, name string"), most=5).collect()
+    weight, name, arcs = {"TREATS": 1.0, "COMPOSED_OF": 1.25, "HAS_DOSE": 0.08, "INCLUDES": 0.05}, {i: n for i, _, n in nodes}, {}
+    for a, b, r, _ in edges:
+        if a != b:
+            arcs.setdefault(a, []).append((b, weight[r]))
+            arcs.setdefault(b, []).append((a, weight[r]))
+    for i, _, _ in nodes:
+        paths = [([name[i], name[b]], [w]) for b, w in arcs.get(i, [])]
+        paths += [([name[i], name[b], name[c]], [w, x]) for b, w in arcs.get(i, []) for c, x in arcs[b] if c != i]
+        want = sorted((-round(sum(w), 6), len(p), "|".join(p)) for p, w in paths)[:5]
+        assert sorted((-r.total, len(r.path), "|".join(r.path)) for r in got if r.id == i) == want
+
+
+def test_cosine_ties_and_blocks(spark, monkeypatch):
+    rows = [(9, [1.0, 0.48434]), (8, [1.0, 0.48432]), (1, [1.0, 0.4843]), (50, [1.0, 0.0]), (100, [0.0, 0.0]), (7, [-1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    for block in (1024, 1):
+        monkeypatch.setattr(V, "QUERY_BLOCK", block)
+        got = V.cosine_top_k(frame.where("vec_id % 50 = 0"), frame, "vec_id", "v", 2).collect()
+        by = {q: sorted((r.vec_id, r.score) for r in got if r.qid == q) for q in (50, 100)}
+        assert by[50] == [(1, 0.9), (8, 0.9)] and by[100] == [(1, 0.0), (7, 0.0)]
+    assert V.cosine_top_k(frame.limit(0), frame, "vec_id", "v", 2).count() == 0
