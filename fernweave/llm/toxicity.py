@@ -1,7 +1,7 @@
 """Operator 3: toxicity by compression distance.
 
-Method: one zstandard dictionary is trained on words typical of toxic texts, which are those with an n-gram of a
-log-odds lexicon (typical()), and one on all words of ordinary texts. Each window of a text, a run of letters in lower
+Method: one zstandard dictionary is trained on words typical of toxic texts, which are those with an n-gram of 6 to 8
+signs, spaces round the word included, that stands much more often there (typical()), and one on all words of ordinary texts. Each window of a text, a run of letters in lower
 case, is compressed with either; how many bytes the toxic dictionary saves is the window's distance. A filler that both dictionaries end with follows each window, so that block overhead
 is the same and a match at the window's end is found. A text's counts of windows beyond each distance, and their
 share of the text, go through a logistic curve; its weights are calibrated on labelled texts that the dictionaries have
@@ -23,6 +23,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -39,12 +40,14 @@ from .words import mix
 
 SAMPLE = {1: 3000, 0: 5000}
 TOXIC_BYTES, PLAIN_BYTES = 8192, 24_000
-FEW, SHARE, ODDS = 4, 0.015, 4.0  # a typical n-gram: so many toxic texts, such a share of them, such log odds
-GRAMS = (4, 5, 6)
+FEW, SHARE, ODDS = 4, 0.015, 3.0  # a typical n-gram: so many toxic texts, such a share of them, such log odds of its places
+GRAMS = (6, 7, 8)
+TIMES = 8  # of an n-gram's places in a text, so many count
+SEGMENT, PART = 64, 6  # bytes of a dictionary's segments and of the parts they are picked by
 MERGE = 1_000_000  # n-grams that are counted before they are merged
 MOST = 9  # distances are counted up to here
 THRESHOLD = 0.7
-POSITIVE_WEIGHT = 3.0
+POSITIVE_WEIGHT = 2.0
 WORD = re.compile(r"[^\W\d_]+")
 OUT = "doc_id long, score double"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -70,7 +73,7 @@ def words(text: str) -> list[str]:
 def trained(samples: list[bytes], size: int) -> bytes:
     """A zstandard dictionary's content; the samples themselves where they are too few to train one."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PART).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[:size]
 
@@ -117,7 +120,7 @@ class Distance:
 
 
 def gram_hashes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 4- to 6-character n-grams of words between spaces, and the number of the word that each is of."""
+    """Hashes of the n-grams (GRAMS) of words between spaces, and the number of the word that each is of."""
     signs = np.frombuffer("".join(f" {w} " for w in found).encode("utf-32-le"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(found)), [len(w) + 2 for w in found])
     hashes, owners = [], []
@@ -133,30 +136,44 @@ def gram_hashes(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes or [signs]), np.concatenate(owners or [owner])
 
 
-def text_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram hashes and in how many of the texts each stands."""
-    values, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+def text_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-gram hashes of a text's words and how often each stands there, TIMES at most."""
+    found = Counter(words(text))
+    hashes, owner = gram_hashes(list(found))
+    values, which = np.unique(hashes, return_inverse=True)
+    times = np.bincount(which.reshape(-1), weights=np.array(list(found.values()), np.float64)[owner], minlength=len(values))
+    return values, np.minimum(times, TIMES)
+
+
+def text_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-gram hashes, in how many of the texts each stands, and how often, TIMES a text at most."""
+    values, docs, times = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for k, t in enumerate(texts):
-        held.append(np.unique(gram_hashes(list(set(words(t))))[0]))
-        size += len(held[-1])
+        held.append(text_grams(t))
+        size += len(held[-1][0])
         if size >= MERGE or k == len(texts) - 1:
-            flat = np.concatenate([values, *held])
-            weight = np.concatenate([counts, np.ones(size, np.int64)])
+            flat = np.concatenate([values, *(v for v, _ in held)])
             values, which = np.unique(flat, return_inverse=True)
-            counts = np.bincount(which.reshape(-1), weights=weight, minlength=len(values)).astype(np.int64)
+            add = lambda w: np.bincount(which.reshape(-1), weights=w, minlength=len(values))  # noqa: B023, E731
+            docs, times = add(np.concatenate([docs, np.ones(size)])), add(np.concatenate([times, *(c for _, c in held)]))
             held, size = [], 0
-    return values, counts
+    return values, docs, times
 
 
 def typical(toxic: list[str], plain: list[str]) -> np.ndarray:
-    """Hashes of word n-grams that stand in many more of the toxic texts."""
-    values, counts = text_counts(toxic)
-    often = counts >= max(FEW, SHARE * len(toxic))
-    values, counts = values[often], counts[often]
+    """Hashes of word n-grams that stand much more often in the toxic texts."""
+    values, docs, times = text_counts(toxic)
+    often = docs >= max(FEW, SHARE * len(toxic))
+    values, times = values[often], times[often]
     there = np.zeros(len(values))
-    for t in plain:
-        there += np.isin(values, gram_hashes(list(set(words(t))))[0])
-    odds = np.log((counts + 0.5) / (len(toxic) + 1)) - np.log((there + 0.5) / (len(plain) + 1))
+    for t in plain if len(values) else ():
+        own, count = text_grams(t)
+        if len(own):
+            place = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            there += np.where(own[place] == values, count[place], 0)
+    odds = np.log((times + 0.5) / (len(toxic) + 1)) - np.log((there + 0.5) / (len(plain) + 1))
     return values[odds > ODDS]
 
 
