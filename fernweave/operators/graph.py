@@ -189,6 +189,14 @@ def round_robin(nodes: DataFrame, limit: int) -> DataFrame:
     return placed.join(F.broadcast(ranked), "community").orderBy("pos", "turn").limit(limit).select("id", "community", "pos", "turn")
 
 
+def induced_edges(weighted: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """The heaviest edges between the nodes given, ties by relation and ends."""
+    kept = weighted
+    for end in ("source", "target"):
+        kept = kept.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    return kept.orderBy(F.desc("weight"), "relation", "source", "target").limit(limit)
+
+
 def label_counts(nodes: DataFrame, community: str) -> DataFrame:
     """Labels of each community by frequency, ties by name, as `label:count` in a row."""
     counts = nodes.groupBy(community, "label").agg(F.count("*").alias("n"))

@@ -38,6 +38,16 @@ def job_totals(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def published_ids(sources: DataFrame) -> DataFrame:
+    """source_id of published sources, each once."""
+    return sources.where("status = 'published'").select("source_id").distinct()
+
+
+def bundle(source_id: str, **tables: DataFrame) -> dict[str, DataFrame]:
+    """What each table holds of one source."""
+    return {kind: rows.where(F.col("source_id") == source_id) for kind, rows in tables.items()}
+
+
 def rebuildable(sources: DataFrame, ids: list[str] | None = None) -> DataFrame:
     """Sources whose file is stored, of some ids or all."""
     rows = sources.where(F.coalesce("object_key", F.lit("")) != "")
