@@ -18,9 +18,10 @@ from .token_files import op2_token_files
 from .toxicity import op3_toxicity
 from .transport import op9_transport_streams
 from .warc import op1_warc_bundles
+from .whitening import op11_embedding_whitening
 from .word_table import op7_word_table
 
-ALL = (op1_warc_bundles, op2_token_files, op3_toxicity, op4_improbable_features, op5_secret_scan, op6_best_fit_packing, op7_word_table, op8_substring_dedup, op9_transport_streams, op10_ngram_jaccard, op12_line_dedup, op13_conversation_repair)
+ALL = (op1_warc_bundles, op2_token_files, op3_toxicity, op4_improbable_features, op5_secret_scan, op6_best_fit_packing, op7_word_table, op8_substring_dedup, op9_transport_streams, op10_ngram_jaccard, op11_embedding_whitening, op12_line_dedup, op13_conversation_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

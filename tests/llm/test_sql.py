@@ -9,7 +9,7 @@ from fernweave.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, sf_dir, tmp_path, name):
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     queries.queries()[name](spark, sf_dir).write.parquet(str(tmp_path / "out"))
     con.execute(f"CREATE VIEW own AS SELECT * FROM '{tmp_path}/out/*.parquet'")
