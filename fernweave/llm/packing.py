@@ -48,7 +48,7 @@ class BestFit:
             free = length + (fits & -fits).bit_length() - 1
             found = self.take(free)
         else:
-            if self.open >= self.open_bins:
+            if length < self.size and self.open >= self.open_bins:  # a full piece fills its bin and leaves the open ones alone
                 self.take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             found, free = self.bins, self.size
             self.bins += 1

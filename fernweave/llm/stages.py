@@ -27,6 +27,16 @@ def fresh(docs: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """The columns by their names, dots and quotes included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    """The columns in a form that Spark can hash: those that hold a map, however deep, as JSON."""
+    return [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(columns(docs), docs.schema, strict=True)]
+
+
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
     """docs with another text."""
     out = docs.withColumn("text", text)
@@ -47,8 +57,8 @@ def without_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 1
     key, h, place = fresh(docs, "kept", "h", "place")
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     own = docs.where("doc_id IS NOT NULL").join(kept, docs.doc_id.cast("long") == kept[key], "left_semi").withColumn(h, F.xxhash64("text"))
-    order = Window.partitionBy("doc_id", h).orderBy(F.xxhash64(*docs.columns))
-    first = own.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(docs.columns)
+    order = Window.partitionBy("doc_id", h).orderBy(F.xxhash64(*hashable(docs)))
+    first = own.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(columns(docs))
     return first.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -60,7 +70,7 @@ def without_repeats(docs: DataFrame, window: int = substring.WINDOW) -> DataFram
     cut = common.materialize(done.select(F.coalesce("doc_id", F.lit(substring.NO_ID)).alias(key), F.col("h").alias(of), F.col("kept_text").alias(left)).distinct(), "cut")
     common.release(docs.sparkSession)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(substring.NO_ID))).withColumn(of, F.xxhash64(F.coalesce("text", F.lit(""))))
-    return with_text(keyed.join(cut, [key, of], "left"), F.coalesce(left, "text")).select(docs.columns)
+    return with_text(keyed.join(cut, [key, of], "left"), F.coalesce(left, "text")).select(columns(docs))
 
 
 def without_secrets(docs: DataFrame, ledger: secrets.BlobLedger) -> DataFrame:
@@ -70,7 +80,7 @@ def without_secrets(docs: DataFrame, ledger: secrets.BlobLedger) -> DataFrame:
     found = ledger.scan(keyed.select(F.col(sha).alias("sha"), F.coalesce("text", F.lit("")).alias("text")))
     hits = common.materialize(found.where("spans <> ''").select(F.col("sha").alias(sha), F.col("spans").alias(spans)), "hits")
     common.release(docs.sparkSession)
-    joined = keyed.join(hits, sha, "left").select(*docs.columns, spans)
+    joined = keyed.join(hits, sha, "left").select(*columns(docs), spans)
     names, at = docs.columns, docs.columns.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,4 +90,5 @@ def without_secrets(docs: DataFrame, ledger: secrets.BlobLedger) -> DataFrame:
             columns = [masked if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_text(joined.mapInArrow(mask, docs.schema), F.col("text"))
+    by_place = joined.toDF(*(f"c{k}" for k in range(len(joined.columns))))  # a name with a dot can't be handed to mapInArrow
+    return with_text(by_place.mapInArrow(mask, docs.schema), F.col("text"))

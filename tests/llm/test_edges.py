@@ -103,6 +103,21 @@ def test_ties_of_bins():
     assert [b.put(n)[0] for n in (6, 6, 4, 4)] == [0, 1, 1, 0]  # the bin that got to its free space last
 
 
+def test_full_pieces_leave_open_bins_alone():
+    b = packing.BestFit(10, 4)
+    assert [b.put(9)[0] for _ in range(4)] == [0, 1, 2, 3]
+    assert [b.put(10)[0] for _ in range(4)] == [4, 5, 6, 7] and b.open == 4
+    assert sorted(b.put(1)[0] for _ in range(4)) == [0, 1, 2, 3]
+
+
+def test_near_copies_with_columns_that_hold_maps(spark):
+    rows = [(1, "a b c d e", {"k": 1}, [({"x": 2},)]), (1, "a b c d e", {"k": 2}, None), (2, "a b c d e", None, None), (3, "other words", {}, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, int>, `more.of` array<struct<m: map<string, int>>>")
+    kept = stages.without_near_copies(docs).collect()
+    assert stages.without_repeats(docs).columns == stages.without_secrets(docs, secrets.BlobLedger(spark, common.new_dir(spark, "l"))).columns == docs.columns
+    assert sorted(r.doc_id for r in kept) == [1, 3] and all(r.tags in ({"k": 1}, {"k": 2}, {}) for r in kept)
+
+
 def test_rule_versions(spark, odd):
     path = common.new_dir(spark, "ledger")
     for version in ("1", "2", "2"):
