@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,21 @@ TRIANGLE = pa.schema([("k", pa.int64()), ("r", pa.binary())])
 TRIANGLE_DDL = "k long, r binary"
 
 
-def whole_vectors(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
-    """x as an array of long where all entries are finite, else null; all columns stay."""
-    good = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return embeddings.withColumn("x", F.when(good, F.transform(vector, lambda c: F.floor(c.cast("double") * SCALE) + SHIFT)))
+def lengths_and_places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(Length of each vector of a list column, 0 if it is null, empty or holds an entry that isn't a finite number; where it
+    begins; all entries)."""
+    flat = column.flatten().cast(pa.float64())
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    bad = np.concatenate(([0], np.cumsum(~pc.fill_null(pc.is_finite(flat), False).to_numpy(zero_copy_only=False))))
+    return np.where(bad[ends[1:]] == bad[ends[:-1]], sizes, 0), ends[:-1], flat.to_numpy(zero_copy_only=False)
+
+
+def whole_vectors(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(Rows of a list column with a vector of d finite entries, their x)."""
+    sizes, starts, flat = lengths_and_places(column)
+    rows = np.flatnonzero(sizes == d)
+    return rows, np.floor(flat[starts[rows][:, None] + np.arange(d)] * SCALE).astype(np.int64) + SHIFT
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -124,16 +136,30 @@ class Whitening:
         return (whole / self.n) @ self.components.T / self.deviations
 
 
-def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """The fit list, written down: each x vector of the usual length once."""
-    return common.materialize(vectors.select("x").distinct(), "fit-list")
+def usual_length(vectors: DataFrame) -> int | None:
+    """The most frequent length of the vectors that stay."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(lengths_and_places(batch.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["d", "n"])
 
-def usual_length(vectors: DataFrame) -> int | None:
-    top = vectors.where("x IS NOT NULL").groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    top = vectors.mapInArrow(run, "d long, n long").where("d > 0").groupBy("d").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return top.d if top else None
 
 
+def distinct_vectors(vectors: DataFrame, d: int) -> DataFrame:
+    """The fit list, written down: each x vector of d entries once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, x = whole_vectors(batch.column(0), d)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * d), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([lists], names=["x"])
+
+    return common.materialize(vectors.mapInArrow(run, "x array<long>").distinct(), "fit-list")
+
+
 def fit(points: DataFrame, d: int, components: int = COMPONENTS) -> Whitening:
     """points: the fit list."""
     place = points.select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("s"), F.count("x").alias("n"))
@@ -178,8 +204,8 @@ def identity_error(points: DataFrame, model: Whitening, d: int) -> float:
     return float(np.abs(total / model.n - np.eye(c)).max())
 
 
-WHITENED_DDL = "vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
-WHITENED = pa.schema([("vec_id", pa.int64()), ("component", pa.int32()), ("n", pa.int64()), ("deviation", pa.decimal128(38, 0)), ("whitened", pa.float64()), ("explained", pa.float64()), ("identity_error", pa.float64())])
+WHITENED_DDL = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+WHITENED = pa.schema([("vec_id", pa.int64()), ("component", pa.int32()), ("n", pa.int64()), ("deviation", pa.int64()), ("whitened", pa.float64()), ("explained", pa.float64()), ("identity_error", pa.float64())])
 
 
 def squares(whole: np.ndarray) -> list[int]:
@@ -190,15 +216,15 @@ def squares(whole: np.ndarray) -> list[int]:
 
 
 def whiten(embeddings: DataFrame, components: int = COMPONENTS, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """A row for each remaining row and component: vec_id, component, n, deviation (decimal), whitened, explained, identity_error."""
+    """A row for each remaining row and component: vec_id, component, n, deviation, whitened, explained, identity_error. A
+    deviation that doesn't fit in 63 bits is an error."""
     spark = embeddings.sparkSession
     common.short_batches(spark, BLOCK)
-    vectors = whole_vectors(embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("embedding")), "embedding")
-    d = usual_length(vectors)
+    vectors = embeddings.select(F.col(vector).alias("v"), F.col(id_col).cast("long").alias("vec_id"))
+    d = usual_length(vectors.select("v"))
     if d is None:
         return spark.createDataFrame([], WHITENED_DDL)
-    own = vectors.where(F.size("x") == d).select("vec_id", "x")
-    points = distinct_vectors(own)
+    points = distinct_vectors(vectors.select("v"), d)
     model = fit(points, d, components)
     error = identity_error(points, model, d)
     share = model.deviations**2 / model.trace if model.trace else model.deviations
@@ -206,20 +232,21 @@ def whiten(embeddings: DataFrame, components: int = COMPONENTS, id_col: str = "v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch.num_rows
+            rows, x = whole_vectors(batch.column(0), d)
+            m = len(rows)
             if not m or not c:
                 continue
-            whole = model.centred(matrix(batch.column("x"), d))
-            ids = batch.column("vec_id").take(pa.array(np.repeat(np.arange(m), c)))
-            deviation = pa.array(squares(whole), pa.decimal128(38, 0)).take(pa.array(np.repeat(np.arange(m), c)))
+            whole = model.centred(x)
+            ids = batch.column(1).take(pa.array(np.repeat(rows, c)))
+            deviation = pa.array(squares(whole), pa.int64()).take(pa.array(np.repeat(np.arange(m), c)))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(np.tile(np.arange(1, c + 1, dtype=np.int32), m)), pa.array(np.full(m * c, model.n)), deviation, pa.array(model.project(whole).ravel()), pa.array(np.tile(share, m)), pa.array(np.full(m * c, error))],
                 schema=WHITENED,
             )
 
-    return own.mapInArrow(run, WHITENED_DDL)
+    return vectors.mapInArrow(run, WHITENED_DDL)
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of `embeddings`, 16 components. A deviation that doesn't fit in a long is an error."""
-    return whiten(common.table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+    """Every row of `embeddings`, 16 components."""
+    return whiten(common.table(spark, sf_dir, "embeddings"))
