@@ -1,45 +1,14 @@
-"""Communities of a graph, and search in its entities and relations."""
+"""Search in the entities and relations of a graph."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import GRAPH_TOP_K
 from ..functions import text as T
-from ..storage import materialize
-from .graph import both_ways
 from .retrieval import hybrid
 
-WHOLE = 6  # nodes up to which a component is one community
-
-
-def communities(components: DataFrame, pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """components: id, component, size. id, community of every node: small components are one community, in larger ones
-    each node takes, in turn, the label with the most edge weight among its neighbours and itself, ties by the least
-    label. Nodes of even and odd hash move in alternate rounds, so labels settle. Numbers follow size and least node."""
-    labels = materialize(components.select("id", "component", F.when(F.col("size") > WHOLE, F.col("id")).otherwise(F.concat(F.lit("component "), F.col("component").cast("string"))).alias("label"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("turn"), (F.col("size") > WHOLE).alias("moves")), "labels")
-    arcs = materialize(both_ways(pairs).where("a <> b"), "arcs")
-    for k in range(rounds):
-        votes = arcs.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label").alias("best"))).alias("x"))
-        moved = labels.join(best, "id", "left")
-        turn = F.col("moves") & (F.col("turn") == k % 2) & F.col("x").isNotNull()
-        labels = materialize(moved.select("id", "component", F.when(turn, F.col("x.best")).otherwise(F.col("label")).alias("label"), "turn", "moves"), "labels")
-    groups = labels.groupBy("component", "label").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    order = Window.orderBy("component", F.desc("n"), "first")  # a row for each community
-    numbered = groups.withColumn("community", F.row_number().over(order) - 1)
-    return labels.join(numbered.select("component", "label", "community"), ["component", "label"]).select("id", "community")
-
-
-def modularity(labels: DataFrame, pairs: DataFrame) -> float:
-    """How much more weight lies inside communities than chance would put there."""
-    arcs = both_ways(pairs).join(labels.select(F.col("id").alias("a"), F.col("community").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("community").alias("y")), "b")
-    by = arcs.groupBy("x").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("x") == F.col("y"), F.col("weight")).otherwise(0.0)).alias("inside"))
-    total = arcs.agg(F.sum("weight")).first()[0] or 1.0
-    return by.agg(F.sum(F.col("inside") / total - (F.col("all") / total) ** 2)).first()[0] or 0.0
-
-
 def prefiltered(rows: DataFrame, text: Column, words: list[str], order: list, limit: int, forced: list[str] | None = None, key: str = "id") -> DataFrame:
     """Rows in which a word stands, the most words first; rows that a vector search found stay anyway. Without words the
     first rows."""

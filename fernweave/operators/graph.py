@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_WEIGHT, LABEL_WEIGHTS, MAX_PATHS, RELATION_WEIGHTS
 from ..storage import Rounds, materialize
+from .numbering import numbered
 
 
 def lookup(table: dict[str, float], key: Column) -> Column:
@@ -102,7 +103,7 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def component_ids(labels: DataFrame) -> DataFrame:
     """id, component: 0, 1, … from the largest component on, ties by the least node."""
     sizes = labels.groupBy("root").agg(F.count("*").alias("size"))
-    ranked = sizes.withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "root")) - 1)  # a row per component
+    ranked = numbered(sizes, [F.desc("size"), "root"], "component").withColumn("component", F.col("component").cast("int"))
     return labels.join(ranked, "root").select("id", "component", "size")
 
 

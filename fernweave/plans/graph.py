@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LABEL_WEIGHTS, RELATION_WEIGHTS
 from ..operators import graph as G
+from ..operators import modularity as M
 from .relational import table
 
 QUERIES: dict = {}
@@ -93,6 +94,14 @@ def node_analytics(spark, sf_dir):
     return G.visual_weights(nodes, G.degrees(nodes, pairs), G.pagerank(nodes, pairs))
 
 
+@query()
+def communities_by_level(spark, sf_dir):
+    """Node, level and community of the whole star graph: a heuristic, held against greedy modularity in tests/test_modularity.py."""
+    nodes, edges = star(spark, sf_dir)
+    pairs = G.materialize(pairs_of(spark, sf_dir, nodes, edges), "pairs")
+    return M.communities(G.component_ids(G.components(nodes, pairs)), pairs)
+
+
 SPREAD = 12  # rounds in which the SQL passes least ids on to neighbours; more than the graph's diameter
 
 
