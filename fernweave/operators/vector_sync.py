@@ -50,38 +50,62 @@ def outcome_counts(outcomes: DataFrame, kind: str) -> DataFrame:
     return total.unionByName(by_type)
 
 
-def retried(work: Callable[[], DataFrame], retries: int = 4, pause: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """work(), again after an error with waits that grow evenly."""
+def retried(work: Callable[[], DataFrame], retries: int = 4, pause: float = 3.0, sleep: Callable[[float], None] = time.sleep, seen: Callable[[Exception], None] = lambda e: None) -> DataFrame:
+    """work(), again after an error with waits that grow evenly; seen() is told of each error that is tried again."""
     for attempt in range(1, retries + 1):
         try:
             return work()
-        except Exception:
+        except Exception as e:
             if attempt == retries:
                 raise
+            seen(e)
             sleep(pause * attempt)
     raise ValueError("retries must be at least 1")
 
 
-def sync(table: Table, store: Table, embed: Embed, key: str, kind: str, kinds: list[str], order: list[str], limit: int, batch: int = 64, even: bool = False) -> dict[str, int]:
+def sync(table: Table, store: Table, embed: Embed, key: str, kind: str, kinds: list[str], order: list[str], limit: int, batch: int = 64, even: bool = False, retries: int = 4, pause: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> dict[str, int | str]:
     """Embed up to `limit` missing records of a table in batches: claim, embed, write points to the store, mark. embed turns
-    (key, text) into (key, vector). A batch whose embedding fails for good is marked failed. Counters of the run."""
-    counters: dict[str, int] = {}
-    for _ in range(-(-limit // batch)):
-        taken, marked = claim(table.read(), [key], kind, kinds, order, min(batch, limit), even)
-        if taken.isEmpty():
+    (key, text) into (key, vector). Embedding and writing are tried again after an error; a batch that fails for good is marked
+    failed, and its error's type and stage are counted. Each step merges the batch's records alone into the table. Counters of
+    the run: statuses, statuses by type, retries and failures by error and stage, and the text of the last failure."""
+    counters: dict[str, int | str] = {}
+    done = 0
+
+    def count(name: str, n: int = 1) -> None:
+        counters[name] = counters.get(name, 0) + n
+
+    def told(stage: str) -> Callable[[Exception], None]:
+        def seen(e: Exception) -> None:
+            count("retry_attempts")
+            count(f"retry_error_{type(e).__name__}")
+            count(f"retry_stage_{stage}")
+
+        return seen
+
+    while done < limit:
+        taken = materialize(waiting(table.read(), kind, kinds, order, min(batch, limit - done), even), "claimed")
+        n = taken.count()
+        if not n:
             break
-        table.replace(materialize(marked, "queued"))
+        done += n
+        table.merge(taken.withColumn("vector_status", F.lit("queued")))
+        stage = "embedding"
         try:
-            vectors = retried(lambda rows=taken: materialize(embed(rows), "vectors"), sleep=lambda s: None)
+            vectors = retried(lambda rows=taken: materialize(embed(rows), "vectors"), retries, pause, sleep, told(stage))
+            stage = "store"
             points = taken.select(key, kind, point_id(F.col(key)).alias("point_id")).join(vectors, key)
-            store.merge(points)
-            done = vectors.select(key).withColumn("ok", F.lit(True))
-        except Exception:  # whatever a model or store raises is the batch's outcome
-            done = taken.select(key).withColumn("ok", F.lit(False))
-        outcome = materialize(taken.select(key, kind).join(done, key, "left").select(key, kind, F.coalesce("ok", F.lit(False)).alias("ok"), point_id(F.col(key)).alias("point_id")), "outcome")
-        table.replace(materialize(mark(table.read(), outcome, key), "marked"))
+            retried(lambda rows=points: store.merge(rows), retries, pause, sleep, told(stage))
+            ok = vectors.select(key).distinct().withColumn("ok", F.lit(True))
+        except Exception as e:  # whatever a model or store raises is the batch's outcome
+            count(f"failure_error_{type(e).__name__}")
+            count(f"failure_stage_{stage}")
+            counters["last_failure_error"] = f"{type(e).__name__}: {e}"
+            ok = taken.select(key).withColumn("ok", F.lit(False))
+        outcome = taken.select(key, kind).join(ok, key, "left").select(key, kind, F.coalesce("ok", F.lit(False)).alias("ok"), point_id(F.col(key)).alias("point_id"))
+        outcome = materialize(outcome, "outcome")
+        table.merge(mark(taken, outcome, key))
         for r in outcome_counts(outcome.withColumn("status", F.when(F.col("ok"), "embedded").otherwise("failed")), kind).collect():
-            counters[r.counter] = counters.get(r.counter, 0) + r.n
+            count(r.counter, r.n)
     return counters
 
 

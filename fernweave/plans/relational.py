@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit as A
+from ..operators import numbering as N
 from ..operators import relational as R
+from ..sources.tables import Table
+from ..storage import new_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -221,3 +224,21 @@ def evidence_ids(spark, sf_dir):
 @query("""SELECT p_partkey, 'edge:' || substr(sha1(concat_ws(chr(9), p_brand, 'INCLUDES', p_name)), 1, 16) AS edge_id FROM part""")
 def stable_edge_ids(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.stable_edge_id(F.col("p_brand"), F.lit("INCLUDES"), F.col("p_name")).alias("edge_id"))
+
+
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10 DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
+def merged_events(spark, sf_dir):
+    """All events in ten merges by user, the tenth part of them in each: what a later merge brings replaces what was there."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    users = Table(spark, new_dir(spark, "users"), ["user_id"], 8)
+    for step in range(10):
+        last = events.where(F.col("event_id") % 10 == step).groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("e"))
+        users.merge(last.select("user_id", "e.*"))
+    return users.read()
+
+
+@query("SELECT doc_id, source, number, CAST(number // 64 AS BIGINT) AS batch, place FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS number, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents)")
+def numbered_batches(spark, sf_dir):
+    """Every document's number, its batch of 64, and its place inside its source."""
+    docs = N.fixed_batches(N.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"]), ["number"], 64)
+    return N.numbered_within(docs, "source", ["doc_id"], "place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from .relational import table
 
 QUERIES: dict = {}
@@ -55,6 +56,31 @@ def cosine_topk(spark, sf_dir):
     return R.cosine_top_k(rows.where("vec_id % 50 = 0"), rows, "vec_id", "embedding", 10)
 
 
+def indexed(spark, sf_dir, exact, kind=None):
+    """The ten rows most like each row whose id is divisible by 50, by an index of all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = V.build(rows, "vec_id", "embedding", kind)
+    found = V.search(index, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, kind, exact=exact)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query()
+def vector_index_topk(spark, sf_dir):
+    """Recall against brute force is measured in tests/test_vector_index.py."""
+    return indexed(spark, sf_dir, False)
+
+
+@query(SQL["cosine_topk"])
+def vector_index_topk_exact(spark, sf_dir):
+    return indexed(spark, sf_dir, True)
+
+
+@query(SQL["cosine_topk"].replace("SELECT vec_id, CAST", "SELECT label, vec_id, CAST").replace("a.vec_id <> b.vec_id", "a.vec_id <> b.vec_id AND a.label = b.label"))
+def vector_index_topk_by_type(spark, sf_dir):
+    """Only rows of the query's type (label)."""
+    return indexed(spark, sf_dir, True, "label")
+
+
 @query("""WITH p AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark), k AS (SELECT item_id, unnest([t[i:i + 1] FOR i IN range(1, length(t))]) AS g FROM p UNION ALL SELECT item_id, unnest([t[i:i] FOR i IN range(1, length(t) + 1)]) FROM p),
 h AS (SELECT item_id, sha256(g) AS x, count(*) AS n FROM k GROUP BY 1, 2), v AS (SELECT item_id, CAST(CAST('0x' || substr(x, 1, 8) AS BIGINT) % 64 AS INTEGER) AS dim, sum(CASE WHEN CAST('0x' || substr(x, 9, 2) AS BIGINT) % 2 = 0 THEN n ELSE -n END) AS v FROM h GROUP BY 1, 2),
 z AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM v GROUP BY 1) SELECT item_id, dim, round(v / norm, 6) AS value FROM v JOIN z USING (item_id) WHERE v <> 0""")

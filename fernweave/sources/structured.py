@@ -49,10 +49,14 @@ def pick(table: dict[str, tuple[str, str]], key: Column, k: int) -> Column:
 
 
 def typed(value: Column) -> tuple[Column, Column, Column]:
-    """(id, label, name) of a typed value; null where type or name is missing or unknown."""
-    kind, name = F.trim(F.split_part(value, F.lit("\t"), F.lit(1))), F.trim(F.split_part(value, F.lit("\t"), F.lit(2)))
-    name = F.when(name != "", name)
-    return F.concat(pick(NODE_TYPES, kind, 1), F.lit(":"), name), F.when(name.isNotNull(), pick(NODE_TYPES, kind, 0)), name
+    """(id, label, name) of a typed value: the type is what stands before the first tab, the name all that follows. Null where there
+    is no tab, type or name; an unknown type with a name is an error."""
+    kind, name = F.trim(F.regexp_extract(value, r"^([^\t]*)\t", 1)), F.trim(F.regexp_extract(value, r"(?s)^[^\t]*\t(.*)$", 1))
+    there = (kind != "") & (name != "")
+    unknown = F.raise_error(F.concat(F.lit("unsupported node type: "), kind))
+    prefix, label = (F.when(there, F.coalesce(pick(NODE_TYPES, kind, k), unknown)) for k in (1, 0))
+    name = F.when(there, name)
+    return F.concat(prefix, F.lit(":"), name), label, name
 
 
 def structured_graph(lines: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -158,6 +158,24 @@ def test_vector_sync(spark):
     counters = V.sync(table, store, lambda r: r.where("id <> 'chunk2'").select("id", F.array(F.lit(0.5)).alias("vector")), "id", "kind", ["chunk", "entity"], ["n"], 10, 4)
     assert counters == {"embedded": 5, "failed": 1, "embedded_chunk": 2, "failed_chunk": 1, "embedded_entity": 3} and store.read().count() == 5
     assert table.read().where("vector_status = 'failed'").first().id == "chunk2"
+    table.replace(rows)
+    assert V.sync(table, store, lambda r: r.select("id", F.array(F.lit(0.5)).alias("vector")), "id", "kind", ["chunk", "entity"], ["n"], 3, 2)["embedded"] == 3
+    assert table.read().where("vector_status = 'embedded'").count() == 5  # the limit holds across batches
+    waits, tries = [], []
+
+    def broken(r):
+        tries.append(1)
+        if len(tries) < 3:
+            raise TimeoutError("no answer")
+        if len(tries) > 3:
+            raise KeyError("gone")
+        return r.select("id", F.array(F.lit(0.5)).alias("vector"))
+
+    table.replace(rows)
+    counters = V.sync(table, store, broken, "id", "kind", ["chunk"], ["n"], 3, 2, retries=3, pause=2.0, sleep=waits.append)
+    assert waits == [2.0, 4.0, 2.0, 4.0]
+    assert counters == {"retry_attempts": 4, "retry_error_TimeoutError": 2, "retry_error_KeyError": 2, "retry_stage_embedding": 4, "embedded": 2, "embedded_chunk": 2,
+                        "failure_error_KeyError": 1, "failure_stage_embedding": 1, "last_failure_error": "KeyError: 'gone'", "failed": 1, "failed_chunk": 1}
     gate = lambda e, t, **o: value(spark, V.open_gate(F.lit(e), F.lit(t), **o))
     assert not gate(900, 900) and not gate(1000, 2000) and gate(1600, 2000) and gate(0, 0, least=0, coverage=0.0)
     assert value(spark, V.point_check(F.lit(0), F.lit(None).cast("int"))) and not value(spark, V.point_check(F.lit(3), F.lit(None).cast("int")))
