@@ -239,22 +239,63 @@ def resolved_aliases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", target.alias("canonical"), ((target != F.col("id")) | (F.col("label") == "Alias")).alias("is_alias"))
 
 
+def name_signs(names: DataFrame) -> DataFrame:
+    """names: kind, n. Adds latin (ASCII with a letter), digits (the bigrams with a digit, which names of a pair have alike), and for
+    either rule its tokens: `bag` each sign with its how-manieth it is, `signs` each sign once."""
+    n = F.col("n")
+    chars = F.filter(F.split(n, ""), lambda x: x != "")
+    grams = F.when(F.length(n) > 1, F.transform(F.sequence(F.lit(1), F.length(n) - 1), lambda k: F.substring(n, k, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    digits = F.array_join(F.array_sort(F.array_distinct(F.filter(grams, lambda g: g.rlike("[0-9]")))), "\x00")
+    latin = n.rlike(r"^[\x00-\x7F]*$") & n.rlike("[A-Za-z]")
+    numbered_ = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    return names.withColumn("latin", latin).withColumn("digits", digits).withColumn("bag", numbered_).withColumn("signs", F.array_distinct(chars))
+
+
+def rare_first(rows: DataFrame, tokens: str, keep: Column) -> DataFrame:
+    """rows (kind, n, …) with `order`, the tokens from the rarest on in the kind, and `head`, the first `keep` of them."""
+    each = rows.select("kind", "n", F.explode(tokens).alias("token"))
+    counts = each.groupBy("kind", "token").agg(F.count("*").alias("count"))
+    order = each.join(counts, ["kind", "token"]).groupBy("kind", "n").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("order"))
+    return rows.join(order, ["kind", "n"]).withColumn("head", F.slice("order", F.lit(1), F.greatest(keep, F.lit(0))))
+
+
+def meeting(rows: DataFrame, may: Column) -> DataFrame:
+    """a, b (structs of two rows of one kind with the same digits) that have a token in their heads in common, once: at the rarest.
+    may: a condition on them that is cheap."""
+    keyed = rows.select("kind", "digits", F.posexplode("head").alias("at", "token"), F.struct("n", "latin", "bag", "signs", "head").alias("x"))
+    left, right = (keyed.select("kind", "digits", "token", F.col("at").alias(f"{c}_at"), F.col("x").alias(c)) for c in ("a", "b"))
+    first = F.element_at(F.array_intersect("a.head", "b.head"), 1)
+    return left.join(right, ["kind", "digits", "token"]).where((F.col("a.n") < F.col("b.n")) & may).where(F.col("token") == first).select("kind", "a", "b")
+
+
+def judged_pairs(nodes: DataFrame, kind: str, name: str) -> DataFrame:
+    """kind, a, b, latin: the pairs of names that are worth a judgement, each once. Names near by edit distance d have all but d of
+    the longer one's signs in common, counted with repeats, and d is half of the shorter name at most; so one of the
+    rarest half of either's signs is in the other's rarest half. Names near by signs have four fifths of them in common. Rare
+    signs come first, so a sign that most names have brings few of them together."""
+    names = name_signs(nodes.select(F.col(kind).alias("kind"), F.col(name).alias("n")).where("n <> ''").distinct())
+    names = materialize(names, "names")
+    length = F.size("bag")
+    a, b = F.size("a.bag"), F.size("b.bag")
+    distance = F.floor(F.least(a, b) / 2)
+    latin = meeting(rare_first(names.where("latin"), "bag", F.floor(length / 2) + 1), F.abs(a - b) <= distance)
+    latin = latin.where(F.size(F.array_intersect("a.bag", "b.bag")) >= F.greatest(a, b) - distance)
+    own = F.size("signs")
+    keep = F.when(own < 4, own - 1).otherwise(own - F.ceil(own * 0.8) + 1)
+    x, y = F.size("a.signs"), F.size("b.signs")
+    alike = F.when(F.greatest(x, y) < 4, True).otherwise(F.least(x, y) / F.greatest(x, y) >= 0.8)
+    other = meeting(rare_first(names, "signs", keep.cast("int")), alike & ~(F.col("a.latin") & F.col("b.latin")))
+    return latin.withColumn("latin", F.lit(True)).unionByName(other.withColumn("latin", F.lit(False)))
+
+
 def name_pairs(nodes: DataFrame, kind: str, name: str) -> DataFrame:
-    """Pairs of names of one kind that may mean the same, judged exactly. Names meet by their least shared sign: near
-    names have one, as a distance of at most half the shorter name leaves a sign as it is."""
-    grams = lambda c: F.when(F.length(c) > 1, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda k: F.substring(c, k, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    signs = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-    names = nodes.select(kind, F.col(name).alias("n")).where("n <> ''").distinct()
-    keyed = names.select(kind, "n", F.explode(signs(F.col("n"))).alias("key"))
-    left, right = keyed.withColumnRenamed("n", "a"), keyed.withColumnRenamed("n", "b")
-    a, b = F.col("a"), F.col("b")
-    first = F.array_min(F.array_intersect(signs(a), signs(b)))
-    pairs = left.join(right, [kind, "key"]).where((a < b) & (F.col("key") == first)).select(kind, "a", "b")
-    differ = F.concat(F.array_except(grams(a), grams(b)), F.array_except(grams(b), grams(a)))
-    ascii_ = a.rlike(r"^[\x00-\x7F]*$") & b.rlike(r"^[\x00-\x7F]*$") & a.rlike("[A-Za-z]") & b.rlike("[A-Za-z]")
-    overlap, most = F.size(F.array_intersect(signs(a), signs(b))), F.greatest(F.size(signs(a)), F.size(signs(b)))
-    near = F.when(ascii_, F.levenshtein(a, b) <= F.floor(F.least(F.length(a), F.length(b)) / 2)).otherwise(F.when(most < 4, overlap > 1).otherwise(overlap / most >= 0.8))
-    return pairs.where(~F.exists(differ, lambda g: g.rlike("[0-9]")) & near)
+    """Pairs of names of one kind that may mean the same: the same bigrams with digits, and, if both are ASCII with letters, an edit
+    distance of at most half the shorter name, else enough signs in common. All such pairs; judged_pairs says which are looked
+    at."""
+    overlap, most = F.size(F.array_intersect("a.signs", "b.signs")), F.greatest(F.size("a.signs"), F.size("b.signs"))
+    a, b = F.col("a.n"), F.col("b.n")
+    near = F.when(F.col("latin"), F.levenshtein(a, b) <= F.floor(F.least(F.length(a), F.length(b)) / 2)).otherwise(F.when(most < 4, overlap > 1).otherwise(overlap / most >= 0.8))
+    return judged_pairs(nodes, kind, name).where(near).select(F.col("kind").alias(kind), a.alias("a"), b.alias("b"))
 
 
 def merged_names(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import lexical_index as L
 from ..operators import retrieval as R
 from ..operators import vector_index as V
 from .relational import table
@@ -41,6 +42,14 @@ def token_similarity_topk(spark, sf_dir):
     return R.top_k(similarities(spark, sf_dir).withColumn("similarity", F.round("similarity", 6)), "item_id", [F.desc("similarity"), "doc_id"], 8)
 
 
+@query(SQL["token_similarity_topk"])
+def lexical_index_topk(spark, sf_dir):
+    """The same by an index, without forming all pairs."""
+    low = T.whitespace_tokens(F.lower("text"))
+    index = L.build(table(spark, sf_dir, "documents"), "doc_id", low)
+    return L.search(index, table(spark, sf_dir, "benchmark"), "item_id", low, 8).withColumnsRenamed({"qid": "item_id", "did": "doc_id"})
+
+
 @query(f"""WITH {BAG_SQL}, s AS (SELECT item_id, doc_id, round(CAST(0.3 AS DOUBLE) * similarity + CAST(0.7 AS DOUBLE) * CASE WHEN quality = 1 THEN CAST(0.5 AS DOUBLE) ELSE 0 END, 6) AS score FROM sim LEFT JOIN labels USING (doc_id))
 SELECT item_id, doc_id, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) WHERE place <= 8""")
 def hybrid_fusion(spark, sf_dir):
