@@ -1,42 +1,86 @@
-"""Runs of jobs: a lock, retries, checkpoints of model answers, and cancel requests. One driver holds a lock."""
+"""Runs of jobs: a lock with a lease, retries, checkpoints of model answers, and runs in the background that can be cancelled."""
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any, TypeVar
 
+from py4j.protocol import Py4JJavaError
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources.tables import Table
+from .sources.tables import Conflict, Table
 
 X = TypeVar("X")
+LEASE_S = 300.0
 
 
 class Lock:
-    """A file that only one driver can create; `with Lock(...)` raises BlockingIOError where another holds it."""
+    """A numbered file in a folder that only one driver can create; `with Lock(...)` raises BlockingIOError where another driver
+    holds it. The holder writes its file anew three times a lease; a file older than a lease is a dead driver's, and the
+    next number takes over from it. Files are created only if there is none of their name (see sources.tables)."""
+
+    def __init__(self, spark: SparkSession, path: str, owner: str, lease: float = LEASE_S):
+        self.spark, self.path, self.owner, self.lease = spark, path.rstrip("/"), owner, lease
+        self.number, self.stop = 0, threading.Event()
+
+    def _place(self, number: int | None = None):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path if number is None else f"{self.path}/{number:012d}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> dict[int, float]:
+        """Number and age in seconds of the files."""
+        folder, fs = self._place()
+        found = fs.listStatus(folder) if fs.exists(folder) else []
+        return {int(f.getPath().getName()): time.time() - f.getModificationTime() / 1000 for f in found if f.getPath().getName().isdigit()}
+
+    def _write(self, again: bool) -> None:
+        path, fs = self._place(self.number)
+        out = fs.create(path, again)
+        out.write(bytearray(self.owner.encode()))
+        out.close()
+
+    def held(self) -> bool:
+        """Whether this lock still counts; a driver that slept through its lease finds that it doesn't."""
+        return self.number > 0 and max(self._numbers(), default=0) == self.number
 
-    def __init__(self, spark: SparkSession, path: str, owner: str):
-        jvm = spark._jvm
-        self.path, self.owner = jvm.org.apache.hadoop.fs.Path(path), owner
-        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+    def _keep(self) -> None:
+        while not self.stop.wait(self.lease / 3):
+            if not self.held():
+                return
+            self._write(True)
 
     def __enter__(self) -> Lock:
+        ages = self._numbers()
+        last = max(ages, default=0)
+        if last and ages[last] < self.lease:
+            raise BlockingIOError(f"{self.path} is held by another run")
+        self.number = last + 1
         try:
-            out = self.fs.create(self.path, False)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e):
-                raise BlockingIOError(f"{self.path.toString()} is held by another run") from e
-            raise
-        out.write(bytearray(self.owner.encode()))
-        out.close()
+            self._write(False)
+        except Py4JJavaError as e:
+            self.number = 0
+            raise BlockingIOError(f"{self.path} is held by another run") from e
+        for old in ages:
+            path, fs = self._place(old)
+            fs.delete(path, False)
+        self.stop.clear()
+        threading.Thread(target=self._keep, daemon=True).start()
         return self
 
     def __exit__(self, *_: object) -> None:
-        self.fs.delete(self.path, False)
+        self.stop.set()
+        if self.held():
+            path, fs = self._place(self.number)
+            fs.delete(path, False)
+        self.number = 0
 
 
 def retried(work: Callable[[], X], retries: int = 2, base: float = 2.0, cap: float = 60.0, limit: float | None = 600.0, sleep: Callable[[float], None] = time.sleep) -> X:
@@ -75,14 +119,27 @@ class Cancelled(Exception):
     pass
 
 
+RUN_DDL = "run_id string, status string, nodes long, edges long, started double, seconds double, message string"
+
+
 class Run:
     """A run in a table of runs; check() at the border of a source raises Cancelled once someone asked for it."""
 
     def __init__(self, spark: SparkSession, table: Table, run_id: str):
-        self.spark, self.table, self.run_id = spark, table, run_id
-
-    def set(self, status: str) -> None:
-        self.table.merge(self.spark.createDataFrame([(self.run_id, status)], "run_id string, status string"))
+        self.spark, self.table, self.run_id, self.started = spark, table, run_id, time.time()
+
+    def set(self, status: str, message: str = "", **counts: int) -> None:
+        """Write the state; another driver's write in between is no error."""
+        row = (self.run_id, status, counts.get("nodes"), counts.get("edges"), self.started, round(time.time() - self.started, 3), message)
+        rows = self.spark.createDataFrame([row], RUN_DDL)
+        for attempt in range(10):
+            try:
+                self.table.merge(rows)
+                return
+            except Conflict:
+                if attempt == 9:
+                    raise
+                time.sleep(0.1 * 2**attempt)
 
     def status(self) -> str | None:
         rows = self.table.read()
@@ -93,3 +150,47 @@ class Run:
         if self.status() == "cancel_requested":
             self.set("cancelled")
             raise Cancelled(self.run_id)
+
+    def start(self, work: Callable[[Run], dict[str, int]], poll: float = 1.0) -> InheritableThread:
+        """work(self) in a thread whose Spark jobs are a group. Its counts go into the table when it is done. A request to
+        cancel, from any driver, is seen within `poll` seconds and stops the jobs that run."""
+        over = threading.Event()
+        self.set("running")
+
+        def body() -> None:
+            context = self.spark.sparkContext
+            context.setJobGroup(self.run_id, f"run {self.run_id}", interruptOnCancel=True)
+            try:
+                counts = work(self)
+                context._jsc.clearJobGroup()
+                self.set("completed", **counts)
+            except BaseException as e:
+                context._jsc.clearJobGroup()  # what follows isn't to be cancelled
+                asked = isinstance(e, Cancelled) or self.status() in ("cancel_requested", "cancelled")
+                self.set("cancelled" if asked else "failed", "" if asked else f"{type(e).__name__}: {e}"[:500])
+            finally:
+                over.set()
+
+        def watch() -> None:
+            while not over.wait(poll):
+                with contextlib.suppress(Exception):  # a table that is being written is read again
+                    if self.status() == "cancel_requested":
+                        self.spark.sparkContext.cancelJobGroup(self.run_id)
+
+        thread = InheritableThread(target=body, daemon=True)
+        thread.start()
+        InheritableThread(target=watch, daemon=True).start()
+        return thread
+
+
+def new_run(spark: SparkSession, table: Table) -> Run:
+    return Run(spark, table, uuid.uuid4().hex)
+
+
+def cancel(spark: SparkSession, table: Table, run_id: str) -> bool:
+    """Ask a run to stop; False if it isn't running."""
+    run = Run(spark, table, run_id)
+    if run.status() != "running":
+        return False
+    run.set("cancel_requested")
+    return True

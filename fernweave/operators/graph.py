@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_WEIGHT, LABEL_WEIGHTS, MAX_PATHS, RELATION_WEIGHTS
@@ -67,15 +67,21 @@ def pagerank(nodes: DataFrame, pairs: DataFrame, rounds: int = 100, tol: float |
     total = arcs.groupBy("a").agg(F.sum("weight").alias("total"))
     arcs = materialize(arcs.join(total, "a").select("a", "b", (F.col("weight") / F.col("total")).alias("share")), "arcs")
     kept = Rounds(nodes.sparkSession, "ranks")
-    ranks = kept.put(nodes.select("id").distinct().join(total.select(F.col("a").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.col("linked").isNull().alias("dangling"), F.lit(1.0 / n).alias("pagerank")).withColumn("change", F.lit(0.0))).drop("change")
+
+    def put(rows: DataFrame) -> tuple[DataFrame, float, float]:
+        """Written rows, the rank of nodes without edges, and the change of all, which the write itself adds up."""
+        seen = Observation()
+        lost = F.sum(F.when(F.col("dangling"), F.col("pagerank")).otherwise(0.0))
+        out = kept.put(rows.observe(seen, lost.alias("lost"), F.sum("change").alias("change")))
+        return out.drop("change"), seen.get["lost"] or 0.0, seen.get["change"] or 0.0
+
+    linked = total.select(F.col("a").alias("id"), F.lit(True).alias("linked"))
+    ranks, lost, _ = put(nodes.select("id").distinct().join(linked, "id", "left").select("id", F.col("linked").isNull().alias("dangling"), F.lit(1.0 / n).alias("pagerank"), F.lit(0.0).alias("change")))
     for _ in range(rounds):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
         inflow = arcs.join(ranks.select(F.col("id").alias("a"), "pagerank"), "a").groupBy("b").agg(F.sum(F.col("share") * F.col("pagerank")).alias("inflow"))
         rank = damping * (F.coalesce("inflow", F.lit(0.0)) + lost / n) + (1 - damping) / n
-        moved = ranks.join(inflow.withColumnRenamed("b", "id"), "id", "left").select("id", "dangling", rank.alias("pagerank"), F.abs(rank - F.col("pagerank")).alias("change"))
-        moved = kept.put(moved)
-        ranks = moved.drop("change")
-        if tol is not None and moved.agg(F.sum("change")).first()[0] < n * tol:
+        ranks, lost, change = put(ranks.join(inflow.withColumnRenamed("b", "id"), "id", "left").select("id", "dangling", rank.alias("pagerank"), F.abs(rank - F.col("pagerank")).alias("change")))
+        if tol is not None and change < n * tol:
             return ranks.select("id", F.round("pagerank", 10).alias("pagerank"))
     if tol is not None:
         return ranks.select("id", F.lit(1.0 / n).alias("pagerank"))
@@ -93,8 +99,9 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        edges = kept.put(small.where("u <> v").distinct())
-        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+        seen = Observation()
+        edges = kept.put(small.where("u <> v").distinct().observe(seen, F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")))
+        now = (seen.get["n"], seen.get["x"])
         if now == state:
             return nodes.select("id").distinct().join(edges.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("root"))
         state = now
@@ -306,8 +313,12 @@ def merged_names(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def retargeted(edges: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Edges between canonical ends; loops go, equal edges merge."""
+    """Edges between canonical ends (id, canonical); loops go, equal edges merge. Where edges have `evidence`, an array, that of
+    merged ones is united, in order."""
     ends = [canonical.select(F.col("id").alias(e), F.col("canonical").alias(f"{e}_c")) for e in ("source", "target")]
     moved = reduce(lambda d, x: d.join(x, x.columns[0], "left"), ends, edges)
-    moved = moved.select(F.coalesce("source_c", "source").alias("source"), F.coalesce("target_c", "target").alias("target"), "relation").where("source <> target")
-    return moved.distinct().withColumn("id", F.concat_ws(":", F.lit("relation"), "source", "relation", "target"))
+    cited = ["evidence"] if "evidence" in edges.columns else []
+    moved = moved.select(F.coalesce("source_c", "source").alias("source"), F.coalesce("target_c", "target").alias("target"), "relation", *cited).where("source <> target")
+    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence")
+    merged = moved.groupBy("source", "target", "relation").agg(united) if cited else moved.distinct()
+    return merged.withColumn("id", F.concat_ws(":", F.lit("relation"), "source", "relation", "target"))

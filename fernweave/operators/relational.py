@@ -103,6 +103,21 @@ def within_budget(rows: DataFrame, group: list[str], order: list[str], cost: Col
     return rows.withColumn("used", F.sum(cost).over(w)).where(F.col("used") < budget)
 
 
+def within_sections(rows: DataFrame, group: str, section: str, sections: list, order: list[str], cost: Column, budget: int) -> DataFrame:
+    """Rows of each group that fit a budget, section after section: a section keeps its first rows while something of what the
+    ones before have left stays over, and passes on what it didn't use."""
+    spent = rows.select(group).distinct().withColumn("_spent", F.lit(0).cast("long"))
+    kept = None
+    for name in sections:
+        w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = rows.where(F.col(section) == F.lit(name)).withColumn("_cost", cost).withColumn("_sum", F.sum("_cost").over(w))
+        fits = own.join(spent, group).where(F.col("_sum") + F.col("_spent") < budget).withColumn("used", F.col("_sum") + F.col("_spent")).drop("_cost", "_sum", "_spent")
+        used = fits.groupBy(group).agg(F.max("used").alias("_used"))
+        spent = spent.join(used, group, "left").select(group, F.coalesce("_used", "_spent").alias("_spent"))
+        kept = fits if kept is None else kept.unionByName(fits)
+    return kept
+
+
 def balanced(records: DataFrame, kind: str, kinds: list[str], order: list[str], limit: int) -> DataFrame:
     """A limit shared evenly between kinds, the first kinds getting what is over; what a kind lacks is filled from the
     others by kind and order. At most `limit` rows of each kind are ranked together."""

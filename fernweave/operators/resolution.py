@@ -44,15 +44,21 @@ def decide(pairs: DataFrame, kind: str, decider: Decider = by_containment, table
     return with_checkpoints(asked, table, "key", answer).where("payload = 'same'").select(kind, "a", "b")
 
 
-def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "label", decider: Decider = by_containment, table: Table | None = None) -> tuple[DataFrame, DataFrame]:
-    """nodes (id, label, name), edges (source, target, relation): nodes whose names were found to mean the same give way to
-    the one with the shortest, then least, name of their kind; edges go to it, loops and repeats go."""
+def moves(nodes: DataFrame, kind: str = "label", decider: Decider = by_containment, table: Table | None = None) -> DataFrame:
+    """(id, canonical) of nodes (id, label, name) whose names were found to mean the same as one with a shorter, or else lesser,
+    name of their kind."""
     same = decide(name_pairs(nodes, kind, "name"), kind, decider, table)
     keyed = same.select(F.concat_ws("\t", kind, "a").alias("a"), F.concat_ws("\t", kind, "b").alias("b"))
     names = merged_names(keyed, keyed).where("name <> canonical")
     ids = nodes.groupBy(F.concat_ws("\t", kind, "name").alias("name")).agg(F.min("id").alias("target"))
-    moves = names.join(ids.withColumnRenamed("name", "canonical"), "canonical").select("name", "target")
-    gone = nodes.withColumn("_key", F.concat_ws("\t", kind, "name")).join(moves, F.col("_key") == moves.name).select("id", F.col("target").alias("canonical"))
+    targets = names.join(ids.withColumnRenamed("name", "canonical"), "canonical").select("name", "target")
+    return nodes.withColumn("_key", F.concat_ws("\t", kind, "name")).join(targets, F.col("_key") == targets.name).select("id", F.col("target").alias("canonical"))
+
+
+def resolve(nodes: DataFrame, edges: DataFrame, kind: str = "label", decider: Decider = by_containment, table: Table | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, label, name), edges (source, target, relation): nodes whose names were found to mean the same give way to
+    the one with the shortest, then least, name of their kind; edges go to it, loops and repeats go."""
+    gone = moves(nodes, kind, decider, table)
     return nodes.join(gone.select("id"), "id", "left_anti"), retargeted(edges, gone)
 
 

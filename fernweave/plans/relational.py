@@ -242,3 +242,14 @@ def numbered_batches(spark, sf_dir):
     """Every document's number, its batch of 64, and its place inside its source."""
     docs = N.fixed_batches(N.numbered(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"]), ["number"], 64)
     return N.numbered_within(docs, "source", ["doc_id"], "place")
+
+
+@query("""WITH c AS (SELECT *, sum(n_chars) OVER (PARTITION BY lang, doc_id % 3 ORDER BY doc_id) AS own FROM documents),
+a AS (SELECT *, CAST(own AS BIGINT) AS used FROM c WHERE doc_id % 3 = 0 AND own < 20000), sa AS (SELECT l.lang, coalesce(max(used), 0) AS spent FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN a USING (lang) GROUP BY 1),
+b AS (SELECT c.*, CAST(own + spent AS BIGINT) AS used FROM c JOIN sa USING (lang) WHERE doc_id % 3 = 1 AND own + spent < 20000), sb AS (SELECT sa.lang, coalesce(max(used), any_value(spent)) AS spent FROM sa LEFT JOIN b USING (lang) GROUP BY 1),
+d AS (SELECT c.*, CAST(own + spent AS BIGINT) AS used FROM c JOIN sb USING (lang) WHERE doc_id % 3 = 2 AND own + spent < 20000)
+SELECT lang, doc_id, used FROM a UNION ALL SELECT lang, doc_id, used FROM b UNION ALL SELECT lang, doc_id, used FROM d""")
+def context_budget_sections(spark, sf_dir):
+    """A budget for each language, spent on three sections of its documents one after the other."""
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars", (F.col("doc_id") % 3).alias("section"))
+    return R.within_sections(docs, "lang", "section", [0, 1, 2], ["doc_id"], F.col("n_chars"), 20_000).select("lang", "doc_id", "used")

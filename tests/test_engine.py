@@ -1,7 +1,13 @@
+import time
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
+from fernweave import jobs
 from fernweave.engine import Engine
-from fernweave.operators import reports
+from fernweave.models import Models
+from fernweave.operators import answers, reports
 from fernweave.storage import new_dir
 
 
@@ -10,7 +16,7 @@ def value(spark, column):
 
 
 def test_engine(spark):
-    engine = Engine(spark, new_dir(spark, "engine"))
+    engine = Engine(spark, new_dir(spark, "engine"), buckets=2)
     assert engine.health() == {"status": "ok", "tables": []}
     docs = spark.createDataFrame([(1, "患者失眠，辨为心脾两虚。治以补益心脾，方用归脾汤。"), (2, "归脾汤由党参等组成，党参补气健脾。"), (3, "short")], "doc_id long, text string")
     assert engine.rebuild_index(docs) == 3
@@ -25,7 +31,91 @@ def test_engine(spark):
     engine.reset_failed()
     nodes, edges = engine.graph_overview(3)
     assert nodes.count() == 3 and edges.count() <= 9 and len(engine.runs()) == 1
-    assert engine.table("reports").count() == 1
+    assert engine.table("reports").where("level = 0").count() == 1
+    assert engine.run(built["run_id"])["status"] == "completed"
+
+
+DOCS = [(1, "患者失眠，辨为心脾两虚。治以补益心脾，方用归脾汤。"), (2, "归脾汤由党参等组成，党参补气健脾。"), (3, "头痛也见于心脾两虚。头痛时休息，多饮水，少劳累，早睡早起。")]
+
+
+def test_answers(spark):
+    engine = Engine(spark, new_dir(spark, "engine"), buckets=2)
+    engine.rebuild_index(spark.createDataFrame(DOCS, "doc_id long, text string"))
+    bare = engine.answer("失眠怎么辨证？")  # without graph and vectors
+    assert bare["nodes"] == [] and bare["context"] == "" and bare["evidence"] and bare["trace"]["graph"]["entities"] == []
+    assert all(h["vector"] is None for h in bare["trace"]["fulltext"]["hits"])
+    engine.build_graph()
+    engine.sync_vectors(10)
+    got = engine.answer("失眠用什么方？归脾汤的组成")
+    hits = got["trace"]["fulltext"]["hits"]
+    assert hits and all(h["vector"] is not None for h in hits) and [h["final"] for h in hits] == sorted((h["final"] for h in hits), reverse=True)
+    assert {"Formula", "Herb"} & set(got["trace"]["rewrite"]["types"]) and got["trace"]["rewrite"]["source"] == "rules"
+    assert "entity:formula:归脾汤" in [n["id"] for n in got["nodes"]] and got["edges"] and got["highlighted"]
+    assert any("归脾汤" in p and " -> " in p for p in got["paths"])
+    ids = [c["id"] for c in got["evidence"]]
+    assert len(ids) == len(set(ids)) and all(c["content"] for c in got["evidence"])
+    assert "---- Entities ----\nEntity,Score,Description\n" in got["context"] and "---- Relations ----" in got["context"]
+    assert got["trace"]["context"] == {"budget": answers.MOST_TOKENS, "length": len(got["context"]), "sections": ["Entities", "Relations", "Community Report"]}
+    assert got["answer"].startswith("# 失眠") and "[graph]" in got["answer"]
+    assert engine.answer("失眠用什么方？", budget=0)["context"] == ""
+    asked = []  # a real rewriter and a model of one's own
+    said = F.struct(F.array(F.lit("Herb")).alias("types"), F.array(F.lit("党参")).alias("entities"), F.lit("llm").alias("source"))
+    engine.models = replace(Models(), rewrite=lambda q: said, answer=lambda q, e: asked.append((q, e)) or "said")
+    got = engine.answer("有什么？")
+    assert got["answer"] == "said" and got["trace"]["rewrite"]["source"] == "llm" and "党参" in got["entities"]
+    assert asked[0][0] == "有什么？" and asked[0][1][-1]["evidence_id"] == "graph"
+
+
+def test_builds_ask_only_for_new_chunks(spark):
+    asked = []
+
+    def extract(rows):
+        asked.append(sorted(r.chunk_id for r in rows.collect()))
+        named = lambda name, label: rows.where(F.contains("content", F.lit(name))).select("chunk_id", F.lit(name).alias("name"), F.lit(label).alias("label"))
+        ents = named("甘草", "Herb").unionByName(named("甘草干姜汤", "Formula")).unionByName(named("甘草干姜汤方", "Formula")).unionByName(rows.where("content like '%咽痛%'").select("chunk_id", F.lit("甘草").alias("name"), F.lit("Symptom").alias("label")))
+        links = rows.where("content like '%甘草干姜汤%'").select("chunk_id", F.lit("甘草干姜汤").alias("source"), F.lit("甘草").alias("target"), F.lit("COMPOSED_OF").alias("relation"))
+        gone = rows.select("chunk_id", F.lit("甘草干姜汤").alias("source"), F.lit("无").alias("target"), F.lit("TREATS").alias("relation"))
+        return ents, links.unionByName(gone)
+
+    engine = Engine(spark, new_dir(spark, "engine"), replace(Models(), extract=extract), 2)
+    docs = spark.createDataFrame([(1, "甘草干姜汤由甘草组成，主治咽痛，水煎服，日二次。"), (2, "甘草干姜汤方见于古书，用甘草一味，水煎温服之。")], "doc_id long, text string")
+    engine.rebuild_index(docs)
+    first = engine.build_graph()
+    nodes = {r.id: r for r in engine.table("nodes").collect()}
+    assert set(nodes) == {"entity:herb:甘草", "entity:symptom:甘草", "entity:formula:甘草干姜汤"}  # the longer name has become the shorter one
+    assert nodes["entity:formula:甘草干姜汤"].aliases == ["甘草干姜汤方"] and len(nodes["entity:formula:甘草干姜汤"].chunk_ids) == 2
+    edges = engine.table("edges").collect()  # one for each pair of name and label, not for each label of a name
+    assert [(r.source, r.target, len(r.evidence)) for r in edges] == [("entity:formula:甘草干姜汤", "entity:herb:甘草", 2)]
+    assert first["edges"] == 1 and len(asked) == 1
+    engine.rebuild_index(spark.createDataFrame([(3, "甘草干姜汤又一条，内容不同，也用甘草，水煎服之。")], "doc_id long, text string"))
+    engine.build_graph()
+    assert len(asked) == 2 and len(asked[1]) == 1 and len(engine.table("edges").first().evidence) == 3
+    engine.build_graph(force=True)
+    assert len(asked[2]) == 3
+
+
+def test_runs_in_the_background(spark):
+    slow = lambda rows: Models().extract(rows.withColumn("content", F.concat("content", F.expr("cast(java_method('java.lang.Thread', 'sleep', 60000L) as string)"))))
+    engine = Engine(spark, new_dir(spark, "engine"), replace(Models(), extract=slow), 2)
+    engine.rebuild_index(spark.createDataFrame(DOCS, "doc_id long, text string"))
+    run = engine.start_build()
+    for _ in range(100):
+        if spark.sparkContext.statusTracker().getActiveStageIds() and engine.run(run)["status"] == "running":
+            break
+        time.sleep(0.2)
+    time.sleep(3)
+    start = time.time()
+    assert engine.cancel(run)
+    while engine.run(run)["status"] not in ("cancelled", "failed") and time.time() - start < 45:
+        time.sleep(0.3)
+    assert engine.run(run)["status"] == "cancelled" and time.time() - start < 30
+    assert not engine.cancel(run)
+    with jobs.Lock(spark, f"{engine.path}/build.lock", "next"):  # the lock is free again
+        with pytest.raises(BlockingIOError):
+            engine.build_graph()
+    assert engine.runs(1)[0]["status"] == "failed"
+    with pytest.raises(LookupError):
+        Engine(spark, new_dir(spark, "engine")).build_graph()
 
 
 def test_question_terms(spark):

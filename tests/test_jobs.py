@@ -15,6 +15,25 @@ def test_lock(spark):
         pass
 
 
+def test_a_dead_drivers_lock_is_taken_over(spark):
+    import time
+
+    path = new_dir(spark, "lock")
+    dead = jobs.Lock(spark, path, "dead", 0.6)
+    dead._keep = lambda: None
+    dead.__enter__()
+    with pytest.raises(BlockingIOError), jobs.Lock(spark, path, "b", 0.6):
+        pass
+    time.sleep(1.2)
+    with jobs.Lock(spark, path, "b", 0.6) as own:
+        assert own.held() and not dead.held()
+        time.sleep(1.2)  # the holder keeps its lease
+        with pytest.raises(BlockingIOError), jobs.Lock(spark, path, "c", 0.6):
+            pass
+        dead.__exit__()
+        assert own.held()
+
+
 def test_retries():
     waits, calls = [], []
 
