@@ -71,7 +71,7 @@ class Engine:
 
     def cancel(self, run_id: str) -> bool:
         """Stop a run and the Spark jobs that it has begun; False if it isn't running."""
-        return jobs.cancel(self.spark, self.tables["runs"], run_id)
+        return jobs.Run(self.spark, self.tables["runs"], run_id).cancel()
 
     def run(self, run_id: str) -> dict | None:
         rows = self.tables["runs"].read()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import json
 import threading
@@ -146,8 +145,34 @@ class Run:
         found = rows.where(F.col("run_id") == self.run_id).first() if rows is not None else None
         return found.status if found else None
 
+    def _sign(self, name: str):
+        """The place of a small file about this run; requests don't wait for Spark's tasks, which a run may keep busy."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.table.path}/{name}-{self.run_id}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _there(self, name: str) -> bool:
+        path, fs = self._sign(name)
+        return fs.exists(path)
+
+    def _put(self, name: str, there: bool) -> None:
+        path, fs = self._sign(name)
+        if there:
+            fs.create(path, True).close()
+        else:
+            fs.delete(path, False)
+
+    def asked_to_stop(self) -> bool:
+        return self._there("cancel")
+
+    def cancel(self) -> bool:
+        """Ask the run to stop, from any driver; False if it isn't running."""
+        if not self._there("running"):
+            return False
+        self._put("cancel", True)
+        return True
+
     def check(self) -> None:
-        if self.status() == "cancel_requested":
+        if self.asked_to_stop() or self.status() == "cancel_requested":
             self.set("cancelled")
             raise Cancelled(self.run_id)
 
@@ -156,41 +181,32 @@ class Run:
         cancel, from any driver, is seen within `poll` seconds and stops the jobs that run."""
         over = threading.Event()
         self.set("running")
+        self._put("running", True)
+        context = self.spark.sparkContext
 
         def body() -> None:
-            context = self.spark.sparkContext
             context.setJobGroup(self.run_id, f"run {self.run_id}", interruptOnCancel=True)
             try:
-                counts = work(self)
-                context._jsc.clearJobGroup()
-                self.set("completed", **counts)
+                status, message, counts = "completed", "", work(self)
             except BaseException as e:
-                context._jsc.clearJobGroup()  # what follows isn't to be cancelled
-                asked = isinstance(e, Cancelled) or self.status() in ("cancel_requested", "cancelled")
-                self.set("cancelled" if asked else "failed", "" if asked else f"{type(e).__name__}: {e}"[:500])
-            finally:
-                over.set()
+                asked = isinstance(e, Cancelled) or self.asked_to_stop()
+                status, message, counts = ("cancelled", "", {}) if asked else ("failed", f"{type(e).__name__}: {e}"[:500], {})
+            over.set()
+            context._jsc.clearJobGroup()  # what follows isn't to be cancelled
+            self.set(status, message, **counts)
+            self._put("running", False)
+            self._put("cancel", False)
 
         def watch() -> None:
             while not over.wait(poll):
-                with contextlib.suppress(Exception):  # a table that is being written is read again
-                    if self.status() == "cancel_requested":
-                        self.spark.sparkContext.cancelJobGroup(self.run_id)
+                if self.asked_to_stop():
+                    context.cancelJobGroup(self.run_id)
 
         thread = InheritableThread(target=body, daemon=True)
         thread.start()
-        InheritableThread(target=watch, daemon=True).start()
+        threading.Thread(target=watch, daemon=True).start()
         return thread
 
 
 def new_run(spark: SparkSession, table: Table) -> Run:
     return Run(spark, table, uuid.uuid4().hex)
-
-
-def cancel(spark: SparkSession, table: Table, run_id: str) -> bool:
-    """Ask a run to stop; False if it isn't running."""
-    run = Run(spark, table, run_id)
-    if run.status() != "running":
-        return False
-    run.set("cancel_requested")
-    return True
