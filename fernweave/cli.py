@@ -1,4 +1,4 @@
-"""python -m fernweave.cli INDEX COMMAND [...]: rebuild DOCS | graph | query QUESTION | status | overview N."""
+"""python -m fernweave.cli INDEX COMMAND [...]: rebuild DOCS | graph | vectors N | query QUESTION | answer QUESTION | cancel RUN | status | overview N."""
 
 from __future__ import annotations
 
@@ -18,6 +18,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
     commands.add_parser("rebuild").add_argument("docs", help="Parquet of doc_id, text")
     commands.add_parser("graph")
     commands.add_parser("query").add_argument("question")
+    commands.add_parser("answer").add_argument("question")
+    commands.add_parser("vectors").add_argument("limit", type=int)
+    commands.add_parser("cancel").add_argument("run")
     commands.add_parser("status")
     commands.add_parser("overview").add_argument("limit", type=int)
     said = parser.parse_args(args)
@@ -29,6 +32,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> ob
         out = engine.build_graph()
     elif said.command == "query":
         out = engine.query(said.question)
+    elif said.command == "answer":
+        out = engine.answer(said.question)
+    elif said.command == "vectors":
+        out = {"chunks": engine.sync_vectors(said.limit).select("chunk_id").distinct().count()}
+    elif said.command == "cancel":
+        out = {"cancelled": engine.cancel(said.run)}
     elif said.command == "status":
         out = engine.status()
     else:

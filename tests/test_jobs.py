@@ -76,4 +76,7 @@ def test_cli(spark, tmp_path):
     spark.createDataFrame([(1, "患者失眠，辨为心脾两虚，方用归脾汤。")], "doc_id long, text string").write.parquet(docs)
     assert cli.main([index, "rebuild", docs], spark) == {"chunks": 1}
     assert cli.main([index, "query", "失眠"], spark)["hits"]
+    assert cli.main([index, "vectors", "5"], spark) == {"chunks": 1}
+    assert cli.main([index, "answer", "失眠"], spark)["trace"]["graph"]["entities"] == []
+    assert cli.main([index, "cancel", "no-such-run"], spark) == {"cancelled": False}
     assert cli.main([index, "status"], spark)["total"] == 1
