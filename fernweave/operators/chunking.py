@@ -1,4 +1,4 @@
-"""Documents to parent units and child chunks, and batches of chunks. Greedy splitting depends on what came before, so
+"""Documents to parent units and child chunks. Greedy splitting depends on what came before, so
 it runs as Python over Arrow batches, a row at a time; nothing is shuffled."""
 
 from __future__ import annotations
@@ -70,28 +70,6 @@ def chunk_documents(docs: DataFrame, key: str, text: str, parent: tuple[int, int
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, CHUNKS)
 
 
-def greedy_batches(chunks: DataFrame, group: str, order: str, cost: str, limit: int) -> DataFrame:
-    """Chunks of a group in order, in batches whose costs sum to at most the limit; a dearer chunk is a batch alone."""
-    schema = f"{group} string, {order} long, {cost} long, batch int"
-
-    def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, batch, total = None, 0, 0  # rows come sorted by group and order
-        for part in groups:
-            keys, places, costs, numbers = (part.column(c).to_pylist() for c in (group, order, cost)), None, None, []
-            keys, places, costs = keys
-            for g, c in zip(keys, costs, strict=True):
-                if g != held:
-                    held, batch, total = g, 0, 0
-                elif total + c > limit:
-                    batch, total = batch + 1, 0
-                total += c
-                numbers.append(batch)
-            yield pa.RecordBatch.from_pydict({group: keys, order: pa.array(places, pa.int64()), cost: pa.array(costs, pa.int64()), "batch": pa.array(numbers, pa.int32())})
-
-    plain = chunks.select(F.col(group).cast("string"), F.col(order).cast("long"), F.col(cost).cast("long"))
-    return plain.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
-
-
 def dictionary_hits(chunks: DataFrame, key: str, text: str, terms: dict[str, str]) -> DataFrame:
     """(key, name, label, pos) of the dictionary terms that a chunk contains, by place, longer first, name. The
     dictionary is a parameter of fixed size."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import batching
 from ..operators import chunking as C
 from ..operators import lexical_index as L
 from ..operators import retrieval as R
@@ -126,7 +127,17 @@ b(source, k, doc_id, n_chars, batch, total) AS (SELECT source, k, doc_id, n_char
 UNION ALL SELECT o.source, o.k, o.doc_id, o.n_chars, CASE WHEN b.total + o.n_chars > 20000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.total + o.n_chars > 20000 THEN o.n_chars ELSE b.total + o.n_chars END FROM b JOIN o ON o.source = b.source AND o.k = b.k + 1)
 SELECT source, doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(batch AS INTEGER) AS batch FROM b""")
 def greedy_batches(spark, sf_dir):
-    return C.greedy_batches(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 20_000)
+    return batching.greedy_batches(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 20_000)
+
+
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+b(k, doc_id, n_chars, batch, total) AS (SELECT k, doc_id, n_chars, 0, n_chars FROM o WHERE k = 1
+UNION ALL SELECT o.k, o.doc_id, o.n_chars, CASE WHEN b.total + o.n_chars > 20000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.total + o.n_chars > 20000 THEN o.n_chars ELSE b.total + o.n_chars END FROM b JOIN o ON o.k = b.k + 1)
+SELECT 'all' AS owner, doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(batch AS INTEGER) AS batch FROM b""")
+def greedy_batches_one_source(spark, sf_dir):
+    """All documents as one source, which spreads over tasks in blocks."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("all").alias("owner"), "doc_id", "n_chars")
+    return batching.greedy_batches(docs, "owner", "doc_id", "n_chars", 20_000)
 
 
 TERMS = {"the": "Symptom", "that": "Syndrome", "of": "Formula", "loser": "Herb"}

@@ -8,6 +8,7 @@ from fernweave.operators import chunking as C
 from fernweave.operators import graph as G
 from fernweave.operators import relational as R
 from fernweave.operators import retrieval as V
+from fernweave.operators.batching import greedy_batches
 from fernweave.plans import graph as graphs
 from fernweave.plans import relational as plans
 
@@ -92,7 +93,7 @@ def test_upsert_and_balanced(spark):
 
 def test_greedy_batches(spark):
     rows = spark.createDataFrame([("s", k, c) for k, c in enumerate([5, 5, 6, 20, 1])], "source string, doc_id long, n_chars long")
-    assert [r.batch for r in C.greedy_batches(rows, "source", "doc_id", "n_chars", 10).orderBy("doc_id").collect()] == [0, 0, 1, 2, 3]
+    assert [r.batch for r in greedy_batches(rows, "source", "doc_id", "n_chars", 10).orderBy("doc_id").collect()] == [0, 0, 1, 2, 3]
 
 
 def test_names_without_a_shared_word_meet(spark):
