@@ -4,16 +4,19 @@ it runs as Python over Arrow batches, a row at a time; nothing is shuffled."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..constants import CHILD_MAX, CHILD_TARGET, PARENT_MAX, PARENT_TARGET
 
 MARK = re.compile(r"(?<=[。！？；;])")
-CHUNKS = "doc_id long, unit_id string, unit_index int, chunk_id string, chunk_index int, start int, end int, content string"
+CHUNKS = "unit_id string, unit_index int, chunk_id string, chunk_index int, start int, end int, content string"
+UNITS = "unit_id string, unit_index int, start int, end int, content string"
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
 
 
 def pieces_of(text: str) -> list[str]:
@@ -52,22 +55,36 @@ def split_text(text: str, target: int, most: int, base: int = 0) -> list[tuple[s
     return out
 
 
-def chunk_documents(docs: DataFrame, key: str, text: str, parent: tuple[int, int] = (PARENT_TARGET, PARENT_MAX), child: tuple[int, int] = (CHILD_TARGET, CHILD_MAX)) -> DataFrame:
-    """Each document's child chunks with the unit that they are part of; chunks are numbered through the document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("unit_id", pa.string()), ("unit_index", pa.int32()), ("chunk_id", pa.string()), ("chunk_index", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("content", pa.string())])
+def _split(docs: DataFrame, key: str, text: str, out: str, columns: str, rows_of: Callable[[object, str], list[tuple]]) -> DataFrame:
+    """The rows of each document, after its key, which stays a string or is a long."""
+    kind = "string" if docs.select(key).schema[0].dataType == StringType() else "long"
+    schema = pa.schema([(out, ARROW[kind]), *((n, ARROW[t]) for n, t in (c.split() for c in columns.split(", ")))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = 0
-                for u, (content, a, _) in enumerate(split_text(body or "", *parent), 1):
-                    for piece, start, end in split_text(content, *child, a):
-                        n += 1
-                        rows.append((doc, f"unit:{doc}:{u:04d}", u, f"chunk:{doc}:{n:04d}", n, start, end, piece))
+            rows = [(doc, *row) for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in rows_of(doc, body or "")]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, CHUNKS)
+    return docs.select(F.col(key).cast(kind), text).mapInArrow(run, f"{out} {kind}, {columns}")
+
+
+def unit_documents(docs: DataFrame, key: str, text: str, parent: tuple[int, int] = (PARENT_TARGET, PARENT_MAX)) -> DataFrame:
+    """Each document's parent units: key, unit_id, unit_index, start, end, content."""
+    return _split(docs, key, text, key, UNITS, lambda doc, body: [(f"unit:{doc}:{u:04d}", u, start, end, content) for u, (content, start, end) in enumerate(split_text(body, *parent), 1)])
+
+
+def chunk_documents(docs: DataFrame, key: str, text: str, parent: tuple[int, int] = (PARENT_TARGET, PARENT_MAX), child: tuple[int, int] = (CHILD_TARGET, CHILD_MAX), out: str = "doc_id") -> DataFrame:
+    """Each document's child chunks with the unit that they are part of; chunks are numbered through the document."""
+
+    def rows_of(doc: object, body: str) -> list[tuple]:
+        rows: list[tuple] = []
+        for u, (content, a, _) in enumerate(split_text(body, *parent), 1):
+            for piece, start, end in split_text(content, *child, a):
+                n = len(rows) + 1
+                rows.append((f"unit:{doc}:{u:04d}", u, f"chunk:{doc}:{n:04d}", n, start, end, piece))
+        return rows
+
+    return _split(docs, key, text, out, CHUNKS, rows_of)
 
 
 def dictionary_hits(chunks: DataFrame, key: str, text: str, terms: dict[str, str]) -> DataFrame:

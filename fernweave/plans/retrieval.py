@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import batching
+from ..operators import batching, candidates
 from ..operators import chunking as C
 from ..operators import lexical_index as L
 from ..operators import retrieval as R
@@ -157,6 +157,21 @@ def ner_relations(spark, sf_dir):
     return C.rule_relations(C.dictionary_hits(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS), "doc_id", RULES)
 
 
+@query(f"""WITH {HITS_SQL}, rules(a, b, relation) AS (VALUES ('Symptom', 'Syndrome', 'MANIFESTS_AS'), ('Formula', 'Symptom', 'TREATS'), ('Formula', 'Syndrome', 'TREATS'), ('Formula', 'Herb', 'COMPOSED_OF')),
+i AS (SELECT h.*, 'entity:' || lower(label) || ':' || name AS id, d.source AS source_id FROM h JOIN documents d USING (doc_id)),
+r AS (SELECT x.doc_id, x.source_id, x.id AS source, rules.relation, y.id AS target FROM i x JOIN i y ON x.doc_id = y.doc_id AND x.name <> y.name JOIN rules ON rules.a = x.label AND rules.b = y.label),
+last AS (SELECT source, relation, target, max(source_id) AS source_id FROM r GROUP BY source, relation, target)
+SELECT 'relation:' || source || ':' || relation || ':' || target AS id, source, target, relation, source_id, count(DISTINCT doc_id) AS n_evidence, min('evidence:' || doc_id) AS least FROM r JOIN last USING (source, relation, target, source_id) GROUP BY source, relation, target, source_id""")
+def published_relations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("chunk_id", F.concat(F.lit("chunk:"), "doc_id"))
+    hits = C.dictionary_hits(docs, "chunk_id", "text", TERMS)
+    found = candidates.candidates(hits, C.rule_relations(hits, "chunk_id", RULES), docs.select("chunk_id", F.col("source").alias("source_id")))
+    chunks = docs.select("chunk_id", F.col("source").alias("source_id"), F.concat(F.lit("unit:"), "doc_id").alias("unit_id"), F.col("text").alias("content"))
+    _, edges, evidence = candidates.publication(*found, chunks)
+    cited = evidence.groupBy(F.col("owner").alias("id")).agg(F.countDistinct("id").alias("n_evidence"), F.min("id").alias("least"))
+    return edges.join(cited, "id").select("id", "source", "target", "relation", "source_id", "n_evidence", "least")
+
+
 @query(r"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)) AS title FROM pages) SELECT page_id, count(*) AS blocks, min(trim(regexp_replace(title, '<[^>]*>', '', 'g'))) AS least_title FROM b GROUP BY page_id""")
 def page_blocks(spark, sf_dir):
     titles = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))).alias("title"))

@@ -30,7 +30,8 @@ Recognizer = Callable[[bytes, str], str]
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, content of all files below a folder; the content is read only where it is used."""
+    """path, length, content of all files below a folder but hidden ones, which Spark doesn't list; the content is read only where it
+    is used."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "content")
 
 

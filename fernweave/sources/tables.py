@@ -144,6 +144,15 @@ class Table:
         kept = self._read(content, touched).join(values, column, "left_anti").select(rows.columns).unionByName(rows)
         return self._rewrite(number, content, touched, kept) if touched else number
 
+    def remove(self, keys: DataFrame) -> int:
+        """The rows of some keys go; only the buckets that hold some are written."""
+        number, content = self.version()
+        if not number:
+            return 0
+        keys = materialize(keys.select(self.key).distinct(), "removed")
+        touched = [r.b for r in keys.select(self._bucket(content["buckets"]).alias("b")).distinct().collect()]  # at most the buckets
+        return self._rewrite(number, content, touched, self._read(content, touched).join(keys, self.key, "left_anti")) if touched else number
+
     def clear(self) -> None:
         number, content = self.version()
         if number:
