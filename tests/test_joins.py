@@ -95,3 +95,26 @@ def test_frequent_keys_are_not_read(spark):
     finally:
         L.matched = matched
     assert got == [500, 501] and "the" not in read[1] and "of" not in read[1] and "pair" in read[1]
+
+
+def test_index_is_written_once(spark):
+    """No row for each document and key is written beside the postings, and those of frequent words are short."""
+    docs = [(k, " ".join(f"w{(k * j) % 97}" for j in range(200))) for k in range(500)]
+    index = L.build(spark.createDataFrame(docs, "id long, text string"), "id", T.whitespace_tokens(F.lower("text")))
+    assert not hasattr(index, "terms") and "Exchange" not in index.docs._jdf.queryExecution().executedPlan().toString()
+    want = Counter(key for _, t in docs for key in {*t.split(), *(a + b for a, b in zip(t.split(), t.split()[1:]))})
+    got = Counter()
+    for r in index.postings.collect():
+        assert r.n == len(r.docs) == len(set(r.docs))
+        got[r.token] += r.n
+    assert got == want
+
+
+def test_rows_of_one_document(spark):
+    """Ids that repeat are one document, keys that two pairs give count once, and keys don't reach over rows."""
+    docs = [(1, "ab c a bc abc"), (1, "ab c"), (1, "x"), (2, "c x"), (3, None)]
+    low = T.whitespace_tokens(F.lower("text"))
+    index = L.build(spark.createDataFrame(docs, "id long, text string"), "id", low)
+    question = spark.createDataFrame([(1, "ab c"), (2, "c x")], "qid long, text string")
+    got = {(r.qid, r.did): r.similarity for r in L.search(index, question, "qid", low, 5).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): round(4 / 14, 6), (2, 1): round(8 / 14, 6), (2, 2): 1.0}
