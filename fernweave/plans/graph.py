@@ -37,7 +37,8 @@ def star(spark, sf_dir, tables=("region", "nation", "supplier", "part", "custome
     for t, a, b, relation in EDGES:
         (x, p), (y, q) = a.split(":"), b.split(":")
         if x in tables and y in tables:
-            one = table(spark, sf_dir, t).select(F.concat_ws(":", F.lit(x), p).alias("source"), F.concat_ws(":", F.lit(y), q).alias("target"), F.lit(relation).alias("relation")).distinct()
+            keys = table(spark, sf_dir, t).select(p, q).distinct()  # numbers are shorter than ids
+            one = keys.select(F.concat_ws(":", F.lit(x), p).alias("source"), F.concat_ws(":", F.lit(y), q).alias("target"), F.lit(relation).alias("relation"))
             edges = one if edges is None else edges.unionByName(one)
     return nodes, edges.withColumn("ord", F.xxhash64("source", "target", "relation"))
 

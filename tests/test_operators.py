@@ -162,3 +162,23 @@ def test_cosine_ties_and_blocks(spark, monkeypatch):
         by = {q: sorted((r.vec_id, r.score) for r in got if r.qid == q) for q in (50, 100)}
         assert by[50] == [(1, 0.9), (8, 0.9)] and by[100] == [(1, 0.0), (7, 0.0)]
     assert V.cosine_top_k(frame.limit(0), frame, "vec_id", "v", 2).count() == 0
+
+
+def test_few_second_steps_are_joined(spark, monkeypatch):
+    """A node with many neighbours joins the second steps of those only that its best paths can go over."""
+    nodes = [(f"{k}", "Herb", f"name {k:03}") for k in range(60)]
+    edges = [(f"{a}", f"{b}", "TREATS", a * 100 + b) for a in range(60) for b in range(a)]
+    rows, kept = {}, G.materialize
+    monkeypatch.setattr(G, "materialize", lambda d, label: rows.setdefault(label, kept(d, label)))
+    got = G.n_hop_paths(spark.createDataFrame(edges, "source string, target string, relation string, ord long"), spark.createDataFrame(nodes, "id string, label string, name string"), most=5)
+    assert got.count() == 300 and rows["groups"].count() <= 3 * 60
+    assert sorted(r.path for r in got.where("id = '7'").collect()) == [["name 007", "name 000", f"name {k:03}"] for k in range(1, 6)]
+
+
+def test_paths_of_names_with_bars(spark):
+    """Names that are the beginning of others up to a bar interleave."""
+    names = {"a": "a", "x": "X", "y": "X|c", "p": "b", "q": "d", "r": "a1", "s": "z"}
+    nodes = spark.createDataFrame([(k, "Herb", v) for k, v in names.items()], "id string, label string, name string")
+    edges = [("a", "x", "TREATS", 0), ("a", "y", "TREATS", 1), ("x", "p", "TREATS", 2), ("x", "q", "TREATS", 3), ("y", "r", "TREATS", 4), ("y", "s", "TREATS", 5)]
+    got = G.n_hop_paths(spark.createDataFrame(edges, "source string, target string, relation string, ord long"), nodes, most=3).where("id = 'a'").orderBy("place").collect()
+    assert ["|".join(r.path) for r in got] == ["a|X|b", "a|X|c|a1", "a|X|c|z"]
