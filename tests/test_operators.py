@@ -182,3 +182,19 @@ def test_paths_of_names_with_bars(spark):
     edges = [("a", "x", "TREATS", 0), ("a", "y", "TREATS", 1), ("x", "p", "TREATS", 2), ("x", "q", "TREATS", 3), ("y", "r", "TREATS", 4), ("y", "s", "TREATS", 5)]
     got = G.n_hop_paths(spark.createDataFrame(edges, "source string, target string, relation string, ord long"), nodes, most=3).where("id = 'a'").orderBy("place").collect()
     assert ["|".join(r.path) for r in got] == ["a|X|b", "a|X|c|a1", "a|X|c|z"]
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    """Hubs that are least, greatest and between their neighbours, joined without bringing their edges together."""
+    monkeypatch.setattr(G, "HOT", 3)
+    links = [("a", f"b{k}") for k in range(9)] + [("z", f"c{k}") for k in range(9)] + [("m", x) for x in ("d0", "d1", "d2", "d3", "n0", "n1", "n2", "n3")] + [("c0", "e"), ("f", "g")]
+    ids = sorted({x for p in links for x in p} | {"alone"})
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    labels = G.components(nodes, spark.createDataFrame(links, "a string, b string"))
+    assert {r.id: r.root for r in labels.collect()} == root
+    sizes = {r.id: r["size"] for r in G.component_ids(labels).collect()}
+    assert sizes == {i: sum(root[j] == root[i] for j in ids) for i in ids}
