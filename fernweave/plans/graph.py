@@ -27,18 +27,28 @@ NODES = (("region", "r_regionkey", "r_name", "Category"), ("nation", "n_nationke
 EDGES = (("nation", "nation:n_nationkey", "region:n_regionkey", "INCLUDES"), ("supplier", "supplier:s_suppkey", "nation:s_nationkey", "DISTRIBUTED_IN"), ("customer", "customer:c_custkey", "nation:c_nationkey", "ENTERS_MERIDIAN"), ("lineitem", "part:l_partkey", "supplier:l_suppkey", "COMPOSED_OF"))
 
 
-def star(spark, sf_dir, tables=("region", "nation", "supplier", "part", "customer")):
-    """(nodes, edges) of the tables named; parts are linked with the suppliers of their line items."""
+def spelled(c: str):
+    """The id that a number of star() stands for."""
+    kind = F.element_at(F.array(*(F.lit(t) for t, *_ in NODES)), F.expr(f"CAST(pmod({c}, {len(NODES)}) AS INT) + 1"))
+    return F.concat(kind, F.lit(":"), F.expr(f"CAST(({c} - pmod({c}, {len(NODES)})) div {len(NODES)} AS STRING)"))
+
+
+def star(spark, sf_dir, tables=("region", "nation", "supplier", "part", "customer"), numbers=False, repeats=False):
+    """(nodes, edges) of the tables named; parts are linked with the suppliers of their line items. With numbers, an id is a number,
+    which spelled() turns into the text; shuffles of numbers are much smaller. With repeats, an edge stands once for each row."""
+    at = {t: k for k, (t, *_) in enumerate(NODES)}
+    ident = (lambda t, key: F.col(key).cast("long") * len(NODES) + at[t]) if numbers else (lambda t, key: F.concat_ws(":", F.lit(t), key))
     nodes = edges = None
     for t, key, name, label in NODES:
         if t in tables:
-            one = table(spark, sf_dir, t).select(F.concat_ws(":", F.lit(t), key).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"))
+            one = table(spark, sf_dir, t).select(ident(t, key).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"))
             nodes = one if nodes is None else nodes.unionByName(one)
     for t, a, b, relation in EDGES:
         (x, p), (y, q) = a.split(":"), b.split(":")
         if x in tables and y in tables:
-            keys = table(spark, sf_dir, t).select(p, q).distinct()  # numbers are shorter than ids
-            one = keys.select(F.concat_ws(":", F.lit(x), p).alias("source"), F.concat_ws(":", F.lit(y), q).alias("target"), F.lit(relation).alias("relation"))
+            keys = table(spark, sf_dir, t).select(p, q)
+            keys = keys if repeats else keys.distinct()  # numbers are shorter than ids
+            one = keys.select(ident(x, p).alias("source"), ident(y, q).alias("target"), F.lit(relation).alias("relation"))
             edges = one if edges is None else edges.unionByName(one)
     return nodes, edges.withColumn("ord", F.xxhash64("source", "target", "relation"))
 
@@ -57,7 +67,7 @@ arcs AS MATERIALIZED (SELECT source AS a, target AS b, weight FROM weighted UNIO
 
 
 def pairs_of(spark, sf_dir, nodes, edges):
-    return G.undirected(G.edge_weights(edges, nodes))
+    return G.weighted_pairs(edges, nodes)
 
 
 @query(f"WITH {star_sql()} SELECT source, target, relation, weight, retrieval_weight FROM weighted")
@@ -84,15 +94,15 @@ def pagerank_sql():
 
 @query(pagerank_sql())
 def pagerank_k(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir)
-    return G.pagerank(nodes, pairs_of(spark, sf_dir, nodes, edges), ROUNDS, None).select("id", F.round("pagerank", 8).alias("pagerank"))
+    nodes, edges = star(spark, sf_dir, numbers=True, repeats=True)
+    return G.pagerank(nodes, pairs_of(spark, sf_dir, nodes, edges), ROUNDS, None).select(spelled("id").alias("id"), F.round("pagerank", 8).alias("pagerank"))
 
 
 @query()
 def node_analytics(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir)
-    pairs = pairs_of(spark, sf_dir, nodes, edges)
-    return G.visual_weights(nodes, G.degrees(nodes, pairs), G.pagerank(nodes, pairs))
+    nodes, edges = star(spark, sf_dir, numbers=True, repeats=True)
+    pairs = G.materialize(pairs_of(spark, sf_dir, nodes, edges), "pairs")
+    return G.visual_weights(nodes, G.degrees(nodes, pairs), G.pagerank(nodes, pairs)).withColumn("id", spelled("id"))
 
 
 @query()
@@ -141,9 +151,9 @@ SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2"""
 
 @query(BFS_SQL)
 def bfs_neighborhood(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir)
-    seeds = spark.createDataFrame([("supplier:1",), ("customer:7",)], "id string")
-    return G.neighborhood(nodes, edges, seeds, 2, max_nodes=1_000_000, max_edges=1_000_000)[0]
+    nodes, edges = star(spark, sf_dir, numbers=True, repeats=True)  # a repeated edge reaches no further node
+    seeds = nodes.where(spelled("id").isin("supplier:1", "customer:7"))
+    return G.neighborhood(nodes, edges, seeds, 2, max_nodes=1_000_000, max_edges=1_000_000)[0].withColumn("id", spelled("id"))
 
 
 PATHS_SQL = f"""{star_sql()}, steps AS (SELECT source AS a, target AS b, retrieval_weight AS w FROM weighted UNION ALL SELECT target, source, retrieval_weight FROM weighted),
