@@ -16,7 +16,7 @@ from ..operators import reports as S
 from ..operators import retrieval as V
 from ..operators import vector_sync as Y
 from ..sources import files, tables
-from .graph import star, star_sql
+from .graph import spelled, star, star_sql
 from .relational import by_type, labelled, table
 
 QUERIES: dict = {}
@@ -80,8 +80,8 @@ def highlighted_nodes(spark, sf_dir):
 
 @query(f"""WITH {star_sql()}, kept AS (SELECT id FROM nodes WHERE label <> 'Symptom') SELECT source, target, relation, weight FROM weighted WHERE source IN (FROM kept) AND target IN (FROM kept) ORDER BY weight DESC, relation, source, target LIMIT 9000""")
 def overview_edges(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir)
-    return G.induced_edges(G.edge_weights(edges, nodes), nodes.where("label <> 'Symptom'"), 9000).select("source", "target", "relation", "weight")
+    nodes, edges = star(spark, sf_dir, numbers=True)
+    return G.induced_edges(edges, nodes.where("label <> 'Symptom'"), 9000, spelled)
 
 
 @query("""WITH n AS (SELECT 'nation:' || c_nationkey AS s, 'customer:' || c_custkey AS id, c_mktsegment AS g FROM customer), a AS (SELECT s, count(*) AS nodes, CAST(to_json(list(id ORDER BY id)) AS VARCHAR) AS node_json,
