@@ -32,3 +32,17 @@ def test_neighborhood_joins_only_what_is_near(spark):
     assert sorted(tuple(r) for r in reached.collect()) == [("a", "x", 0), ("b", "x", 1), ("c", "x", 2)]
     assert [(r.source, r.target) for r in own.collect()] == [("b", "c"), ("a", "b")]
     assert "_label" not in plan(own)  # no join of all edges with all nodes
+
+
+def test_similarity_in_blocks_is_that_of_the_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fernweave.functions import text as T
+    from fernweave.operators import retrieval as R
+
+    q = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "c")], "q long, t string")
+    d = spark.createDataFrame([(1, "b a"), (2, "a b a c"), (3, None), (4, "zz")], "d long, t string")
+    got = lambda: sorted(tuple(r) for r in R.token_similarity(q, "q", T.whitespace_tokens(F.col("t")), d, "d", T.whitespace_tokens(F.col("t"))).collect())
+    blocks = got()
+    monkeypatch.setattr(R, "FEW_KEYS", 0)
+    assert len(blocks) == 3 and blocks == got()
