@@ -5,11 +5,14 @@ Evidence is gathered once by key and joined; arrays keep the order in which ids
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MAX_PATHS, RELATION_WEIGHTS
 from ..functions import text as T
+from ..functions.query import tag_levels
 from .graph import lookup
 from .relational import eligible
 
@@ -92,7 +95,23 @@ def graph_entity_rows(nodes: DataFrame, paths: DataFrame, evidence: DataFrame) -
     """nodes: id, label, name, description, pagerank, rank, source_chunks; paths: id, path, weights, place (n_hop_paths());
     evidence: candidate_evidence()'s first. Entities with their best paths and all their chunks."""
     hop = F.transform(F.array_sort(F.collect_list(F.struct("place", "path", "weights"))), lambda x: F.struct(x["path"].alias("path"), x["weights"].alias("weights")))
-    hops = paths.where(F.col("place") <= MAX_PATHS).groupBy("id").agg(hop.alias("n_hop"))
+    return paths.where(F.col("place") <= MAX_PATHS).groupBy("id").agg(hop.alias("n_hop"))
+
+
+def no_evidence(spark: SparkSession) -> DataFrame:
+    """Evidence of relations where there is none; Spark sees that it is empty and leaves the joins with it out."""
+    return spark.createDataFrame([], "from_name string, to_name string, relation string, chunk_ids array<string>").where(F.lit(False))
+
+
+def level_counts(rows: DataFrame) -> DataFrame:
+    """rows: tags. level, community, n of the tags of all rows; equal lists of tags are counted before they are parsed."""
+    each = rows.groupBy("tags").agg(F.count("*").alias("n")).select("n", F.inline(tag_levels(F.col("tags"))))
+    return each.groupBy("level", "community").agg(F.sum("n").alias("n"))
+
+
+def graph_entity_rows(nodes: DataFrame, paths: DataFrame | None, evidence: DataFrame) -> DataFrame:
+    """nodes: id, label, name, description, pagerank, rank, source_chunks; paths: id, path, weights, place (n_hop_paths());
+    evidence: candidate_evidence()'s first. Entities with their best paths, if given, and all their chunks."""
     own = evidence.where("label <> ''").select("name", "label", F.col("chunk_ids").alias("by_label"))
     any_ = evidence.where("label = ''").select("name", F.col("chunk_ids").alias("by_name"))
     joined = nodes.join(hops, "id", "left").join(own, ["name", "label"], "left").join(any_, "name", "left")

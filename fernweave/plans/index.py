@@ -152,8 +152,7 @@ def rewrite_parse(spark, sf_dir):
 @query("""SELECT level, community, count(*) AS n FROM (SELECT 0 AS level, CAST(l_suppkey AS INTEGER) AS community FROM lineitem UNION ALL SELECT 1, CAST(l_suppkey % 7 AS INTEGER) FROM lineitem) GROUP BY 1, 2""")
 def community_levels(spark, sf_dir):
     tags = F.array(F.concat(F.lit("0:"), "l_suppkey"), F.concat(F.lit("1:"), F.col("l_suppkey") % 7), F.lit("bad"), F.lit("x:y"))
-    levels = table(spark, sf_dir, "lineitem").select(F.inline(Q.tag_levels(tags)))
-    return levels.groupBy("level", "community").agg(F.count("*").alias("n"))
+    return I.level_counts(table(spark, sf_dir, "lineitem").select(tags.alias("tags")))
 
 
 @query("""WITH e AS (SELECT 'e' || l_partkey AS id, max(l_suppkey) AS last FROM lineitem GROUP BY 1), r AS (SELECT DISTINCT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, 'e' || l_partkey AS source FROM lineitem)
