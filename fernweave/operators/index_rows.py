@@ -91,9 +91,8 @@ def entity_content(aliases: Column, name: Column, label: Column, description: Co
     return F.to_json(F.struct(text.alias("description"), canonical.alias("canonical_name")))
 
 
-def graph_entity_rows(nodes: DataFrame, paths: DataFrame, evidence: DataFrame) -> DataFrame:
-    """nodes: id, label, name, description, pagerank, rank, source_chunks; paths: id, path, weights, place (n_hop_paths());
-    evidence: candidate_evidence()'s first. Entities with their best paths and all their chunks."""
+def best_hops(paths: DataFrame) -> DataFrame:
+    """id, n_hop: the best paths of a node in order."""
     hop = F.transform(F.array_sort(F.collect_list(F.struct("place", "path", "weights"))), lambda x: F.struct(x["path"].alias("path"), x["weights"].alias("weights")))
     return paths.where(F.col("place") <= MAX_PATHS).groupBy("id").agg(hop.alias("n_hop"))
 
@@ -114,18 +113,19 @@ def graph_entity_rows(nodes: DataFrame, paths: DataFrame | None, evidence: DataF
     evidence: candidate_evidence()'s first. Entities with their best paths, if given, and all their chunks."""
     own = evidence.where("label <> ''").select("name", "label", F.col("chunk_ids").alias("by_label"))
     any_ = evidence.where("label = ''").select("name", F.col("chunk_ids").alias("by_name"))
-    joined = nodes.join(hops, "id", "left").join(own, ["name", "label"], "left").join(any_, "name", "left")
+    joined = (nodes.join(best_hops(paths), "id", "left") if paths is not None else nodes).join(own, ["name", "label"], "left").join(any_, "name", "left")
     ids = T.ordered_unique(F.concat(source_chunks(F.coalesce("source_chunks", F.lit(""))), F.coalesce("by_label", none()), F.coalesce("by_name", none())))
     text = F.coalesce(F.when(F.col("description") != "", F.col("description")), F.concat_ws(" ", "name", "label"))
-    return joined.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("label").alias("entity_type"), text.alias("description"), F.coalesce("pagerank", "rank", F.lit(1.0)).alias("rank"), "n_hop", ids.alias("evidence"))
+    return joined.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), F.col("label").alias("entity_type"), text.alias("description"), F.coalesce("pagerank", "rank", F.lit(1.0)).alias("rank"), *(["n_hop"] if paths is not None else []), ids.alias("evidence"))
 
 
-def graph_relation_rows(edges: DataFrame, nodes: DataFrame, evidence: DataFrame) -> DataFrame:
+def graph_relation_rows(edges: DataFrame, nodes: DataFrame, evidence: DataFrame, spelled: Callable[[str], Column] = F.col) -> DataFrame:
     """edges: id, source, target, relation, display, evidence_ids; evidence: candidate_evidence()'s second. Relations by names, with
-    the chunks that edges cite and those of candidates in the same direction, else in the other one."""
+    the chunks that edges cite and those of candidates in the same direction, else in the other one. spelled: the text of
+    an end, which stands for the name of one that is no node."""
     name = lambda e: nodes.select(F.col("id").alias(e), F.col("name").alias(f"{e}_name"))
     rows = edges.join(name("source"), "source", "left").join(name("target"), "target", "left")
-    rows = rows.withColumn("from_name", F.coalesce("source_name", "source")).withColumn("to_name", F.coalesce("target_name", "target"))
+    rows = rows.withColumn("from_name", F.coalesce("source_name", spelled("source"))).withColumn("to_name", F.coalesce("target_name", spelled("target")))
     there = evidence.select("from_name", "to_name", "relation", F.col("chunk_ids").alias("there"))
     back = evidence.select(F.col("to_name").alias("from_name"), F.col("from_name").alias("to_name"), "relation", F.col("chunk_ids").alias("back"))
     keys = ["from_name", "to_name", "relation"]

@@ -27,6 +27,11 @@ NODES = (("region", "r_regionkey", "r_name", "Category"), ("nation", "n_nationke
 EDGES = (("nation", "nation:n_nationkey", "region:n_regionkey", "INCLUDES"), ("supplier", "supplier:s_suppkey", "nation:s_nationkey", "DISTRIBUTED_IN"), ("customer", "customer:c_custkey", "nation:c_nationkey", "ENTERS_MERIDIAN"), ("lineitem", "part:l_partkey", "supplier:l_suppkey", "COMPOSED_OF"))
 
 
+def number(t: str, key: str):
+    """The number of a node by its table and key."""
+    return F.col(key).cast("long") * len(NODES) + next(k for k, (name, *_) in enumerate(NODES) if name == t)
+
+
 def spelled(c: str):
     """The id that a number of star() stands for."""
     kind = F.element_at(F.array(*(F.lit(t) for t, *_ in NODES)), F.expr(f"CAST(pmod({c}, {len(NODES)}) AS INT) + 1"))
@@ -36,8 +41,7 @@ def spelled(c: str):
 def star(spark, sf_dir, tables=("region", "nation", "supplier", "part", "customer"), numbers=False, repeats=False):
     """(nodes, edges) of the tables named; parts are linked with the suppliers of their line items. With numbers, an id is a number,
     which spelled() turns into the text; shuffles of numbers are much smaller. With repeats, an edge stands once for each row."""
-    at = {t: k for k, (t, *_) in enumerate(NODES)}
-    ident = (lambda t, key: F.col(key).cast("long") * len(NODES) + at[t]) if numbers else (lambda t, key: F.concat_ws(":", F.lit(t), key))
+    ident = number if numbers else (lambda t, key: F.concat_ws(":", F.lit(t), key))
     nodes = edges = None
     for t, key, name, label in NODES:
         if t in tables:

@@ -12,7 +12,7 @@ from ..operators import kg, publish
 from ..operators import relational as R
 from ..operators import resolution as S
 from ..operators import vector_sync as V
-from .graph import PAIR_SQL, star, star_sql
+from .graph import PAIR_SQL, number, spelled, star, star_sql
 from .relational import TOKENS_SQL, by_type, labelled, table, tokens
 
 QUERIES: dict = {}
@@ -80,19 +80,19 @@ def relation_rows(spark, sf_dir):
 @query(f"""WITH {star_sql()} SELECT w.source || '>' || w.target AS relation_id, x.name AS from_name, y.name AS to_name, relation AS relation_type, CAST(greatest(1, round_even(CAST(retrieval_weight AS DECIMAL(10, 4)) * 10, 0)) AS INTEGER) AS weight,
 CASE WHEN relation = 'INCLUDES' THEN 'chunk:' || w.source ELSE '' END AS evidence FROM weighted w JOIN nodes x ON x.id = w.source JOIN nodes y ON y.id = w.target""")
 def graph_relation_rows(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir)
-    cited = F.when(F.col("relation") == "INCLUDES", F.array(F.concat(F.lit("evidence:"), "source"), F.lit("other"))).otherwise(I.none())
-    rows = edges.select(F.concat_ws(">", "source", "target").alias("id"), "source", "target", "relation", F.col("relation").alias("display"), cited.alias("evidence_ids"))
-    none = spark.createDataFrame([], "from_name string, to_name string, relation string, chunk_ids array<string>")
-    return I.graph_relation_rows(rows, nodes, none).select("relation_id", "from_name", "to_name", "relation_type", "weight", F.array_join("evidence", ",").alias("evidence"))
+    nodes, edges = star(spark, sf_dir, numbers=True)
+    cited = F.when(F.col("relation") == "INCLUDES", F.array(F.concat(F.lit("evidence:"), spelled("source")), F.lit("other"))).otherwise(I.none())
+    rows = edges.select(F.struct("source", "target").alias("id"), "source", "target", "relation", F.col("relation").alias("display"), cited.alias("evidence_ids"))
+    ident = F.concat_ws(">", spelled("relation_id.source"), spelled("relation_id.target"))
+    return I.graph_relation_rows(rows, nodes, I.no_evidence(spark), spelled).select(ident.alias("relation_id"), "from_name", "to_name", "relation_type", "weight", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("""WITH n AS (SELECT 'supplier:' || s_suppkey AS id, 'n' || s_nationkey AS source_id FROM supplier), e AS (SELECT DISTINCT l_suppkey, l_partkey, l_partkey % 3 AS k FROM lineitem)
 SELECT source_id, count(*) AS edges FROM (SELECT DISTINCT source_id, l_suppkey, l_partkey FROM (SELECT 'm' || k AS source_id, l_suppkey, l_partkey FROM e WHERE k > 0 UNION ALL SELECT n.source_id, l_suppkey, l_partkey FROM e JOIN n ON n.id = 'supplier:' || l_suppkey WHERE k = 0)) GROUP BY source_id""")
 def subgraph_groups(spark, sf_dir):
-    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.array(F.concat(F.lit("chunk:n"), "s_nationkey", F.lit(":1"))).alias("refs"))
+    nodes = table(spark, sf_dir, "supplier").select(number("supplier", "s_suppkey").alias("id"), F.array(F.concat(F.lit("chunk:n"), "s_nationkey", F.lit(":1"))).alias("refs"))
     k = F.col("l_partkey") % 3
-    edges = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().select(F.concat(F.lit("supplier:"), "l_suppkey").alias("source"), F.concat(F.lit("part:"), "l_partkey").alias("target"), F.lit("R").alias("relation"), F.when(k > 0, F.array(F.concat(F.lit("evidence:m"), k, F.lit(":7")))).otherwise(I.none()).alias("refs"))
+    edges = table(spark, sf_dir, "lineitem").select(number("supplier", "l_suppkey").alias("source"), number("part", "l_partkey").alias("target"), F.lit("R").alias("relation"), F.when(k > 0, F.array(F.concat(F.lit("evidence:m"), k, F.lit(":7")))).otherwise(I.none()).alias("refs"))
     return I.subgraph_groups(nodes, edges)[1].groupBy("source_id").agg(F.count("*").alias("edges"))
 
 
