@@ -7,6 +7,7 @@ joined, not listed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,7 @@ from ..functions.query import node_id
 from ..storage import materialize
 from .community import search
 from .graph import path_scores
+from .index_rows import best_hops
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,8 @@ def fused(relations: DataFrame, names: DataFrame, paths: DataFrame) -> DataFrame
 def with_details(scored: DataFrame, relations: DataFrame) -> DataFrame:
     """Scored pairs without a relation get that of their ends in either direction, the heaviest, then least id."""
     pair = lambda d: (F.least("from_name", "to_name").alias("low"), F.greatest("from_name", "to_name").alias("high"))
-    best = relations.select(*pair(relations), F.struct((-F.col("weight")).alias("w"), "relation_id", "relation_type", "display", "evidence", F.col("from_name").alias("f"), F.col("to_name").alias("t")).alias("r")).groupBy("low", "high").agg(F.min("r").alias("r"))
+    few = F.broadcast(scored.select(*pair(scored)).distinct())  # pairs of one question
+    best = relations.select(*pair(relations), F.struct((-F.col("weight")).alias("w"), "relation_id", "relation_type", "display", "evidence", F.col("from_name").alias("f"), F.col("to_name").alias("t")).alias("r")).join(few, ["low", "high"], "left_semi").groupBy("low", "high").agg(F.min("r").alias("r"))
     joined = scored.withColumn("low", F.least("from_name", "to_name")).withColumn("high", F.greatest("from_name", "to_name")).join(best, ["low", "high"], "left")
     filled = [F.coalesce(c, F.col(f"r.{c}")).alias(c) for c in ("relation_id", "relation_type", "display", "evidence")]
     return joined.select("from_name", "to_name", "sim", "weight", *filled, F.coalesce("source_name", F.col("r.f"), "from_name").alias("source_name"), F.coalesce("target_name", F.col("r.t"), "to_name").alias("target_name"))
@@ -74,7 +77,8 @@ def result_nodes(entities: DataFrame, relations: DataFrame, known: DataFrame) ->
     scored = entities.select("entity_name", F.round("score", 6).alias("score"))
     ends = relations.select(F.explode(F.array("source_name", "target_name")).alias("entity_name")).distinct().withColumn("end", F.lit(True))
     names = scored.join(ends, "entity_name", "full")
-    one = known.groupBy("entity_name").agg(F.max_by(F.struct("entity_id", "entity_type"), "entity_id").alias("e"))
+    few = F.broadcast(names.select("entity_name").distinct())  # names of one question
+    one = known.join(few, "entity_name", "left_semi").groupBy("entity_name").agg(F.max_by(F.struct("entity_id", "entity_type"), "entity_id").alias("e"))
     joined = names.join(one, "entity_name", "left")
     return joined.select(F.coalesce("e.entity_id", node_id(F.lit(""), F.col("entity_name"))).alias("id"), F.coalesce("e.entity_type", F.lit("ExternalSource")).alias("label"), F.col("entity_name").alias("name"), F.when(F.col("end").isNull(), F.col("score")).alias("score"))
 
@@ -89,21 +93,24 @@ def result_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.orderBy((F.size("evidence") == 0).cast("int"), "id")
 
 
-def retrieve(entities: DataFrame, relations: DataFrame, reports: DataFrame, tokens: list[str], words: list[str], types: list[str], entity_topn: int = 6, relation_topn: int = 6, report_topn: int = 1) -> Found:
+def retrieve(entities: DataFrame, relations: DataFrame, reports: DataFrame, tokens: list[str], words: list[str], types: list[str], entity_topn: int = 6, relation_topn: int = 6, report_topn: int = 1, paths: Callable[[DataFrame], DataFrame] | None = None) -> Found:
     """entities: entity_id, entity_name, entity_type, description, rank, n_hop; relations: relation_id, from_name, to_name,
     relation_type, display, content_with_weight, weight, evidence; reports: title, names, weight. tokens of the question, words
-    to find entities by, types asked for."""
+    to find entities by, types asked for. paths: the paths (id, path, weights, place) of some entities (id), for entities without n_hop;
+    then only paths of what was found are made."""
     ents = search(entities, "entity_id", "description", words or tokens, words, [F.desc("rank"), "entity_name", "entity_id"], GRAPH_TOP_K)
     ents = materialize(by_name(ents.withColumnRenamed("similarity", "sim"), ["entity_name"], [F.desc("sim"), F.desc("rank"), "entity_id"]), "entities")
+    if paths is not None:
+        ents = materialize(ents.join(best_hops(paths(ents.select(F.col("entity_id").alias("id")))).withColumnRenamed("id", "entity_id"), "entity_id", "left"), "entities")
     rels = search(relations, "relation_id", "content_with_weight", tokens, words, [F.desc("weight"), "from_name", "to_name", "relation_id"], GRAPH_TOP_K)
     pairs = rels.select(F.least("from_name", "to_name").alias("a"), F.greatest("from_name", "to_name").alias("b"), F.col("similarity").alias("sim"), F.col("weight").cast("double").alias("weight"), "relation_id", "relation_type", "display", "evidence", F.col("from_name").alias("source_name"), F.col("to_name").alias("target_name"))
     pairs = by_name(pairs, ["a", "b"], [F.desc("sim"), F.desc("weight"), "relation_id"]).withColumnsRenamed({"a": "from_name", "b": "to_name"}).drop("place")
     names = typed_names(entities, types)
-    paths = path_scores(ents.select("sim", F.explode("n_hop").alias("p")).select("sim", "p.path", "p.weights"))
+    hops = path_scores(ents.select("sim", F.explode("n_hop").alias("p")).select("sim", "p.path", "p.weights"))
     both = ents.join(names.withColumnRenamed("name", "entity_name").withColumn("typed", F.lit(True)), "entity_name", "left")
     score = F.col("sim") * F.when(F.col("typed"), 2).otherwise(1) * F.col("rank")
     best = materialize(both.withColumn("score", score).orderBy(F.desc("score"), "place").limit(entity_topn), "entities")
-    scored = with_details(fused(pairs, names, paths), relations)
+    scored = with_details(fused(pairs, names, hops), relations)
     top = materialize(scored.withColumn("score", F.col("sim") * F.col("weight")).orderBy(F.desc("score"), "from_name", "to_name").limit(relation_topn), "relations")
     wanted = best.agg(F.collect_list("entity_name").alias("wanted"))  # one row of at most entity_topn names
     shared = F.size(F.array_intersect("names", "wanted"))

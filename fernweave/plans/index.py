@@ -208,13 +208,13 @@ def context_rows(spark, sf_dir):
 def kg_retrieve(spark, sf_dir):
     """Suppliers, parts and nations as entities: what is found for a nation, with the types of parts."""
     nodes, edges = star(spark, sf_dir)
-    none = spark.createDataFrame([], "name string, label string, chunk_ids array<string>")
+    none = spark.createDataFrame([], "name string, label string, chunk_ids array<string>").where(F.lit(False))
     plain = nodes.select("id", "label", "name", F.lit("").alias("description"), F.lit(None).cast("double").alias("pagerank"), F.lit(None).cast("double").alias("rank"), F.lit("").alias("source_chunks"))
     named = F.lower("entity_name")
     small = edges.where("relation <> 'COMPOSED_OF'")
-    entities = I.graph_entity_rows(plain, G.n_hop_paths(small, nodes), none).withColumn("description", named)
+    entities = I.graph_entity_rows(plain, None, none).withColumn("description", named)
     rows = small.select(F.concat_ws(">", "source", "target").alias("id"), "source", "target", "relation", F.col("relation").alias("display"), F.array(F.concat(F.lit("chunk:"), "source")).alias("evidence_ids"))
-    relations = I.graph_relation_rows(rows, nodes, spark.createDataFrame([], "from_name string, to_name string, relation string, chunk_ids array<string>")).withColumn("content_with_weight", F.lower("content_with_weight"))
+    relations = I.graph_relation_rows(rows, nodes, I.no_evidence(spark)).withColumn("content_with_weight", F.lower("content_with_weight"))
     reports = nodes.where("label = 'Category'").select(F.col("name").alias("title"), F.array("name").alias("names"), F.lit(1.0).alias("weight"))
-    found = kg.retrieve(entities, relations, reports, ["asia"], ["asia"], ["Meridian"])
+    found = kg.retrieve(entities, relations, reports, ["asia"], ["asia"], ["Meridian"], paths=lambda hits: G.n_hop_paths(small, nodes, starts=hits))
     return found.edges.select("id", "source", "target", "relation", F.array_join("evidence", ",").alias("evidence"))
