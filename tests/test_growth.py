@@ -46,3 +46,12 @@ def test_similarity_in_blocks_is_that_of_the_join(spark, monkeypatch):
     blocks = got()
     monkeypatch.setattr(R, "FEW_KEYS", 0)
     assert len(blocks) == 3 and blocks == got()
+
+
+def test_a_small_file_of_many_rows_is_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from fernweave.storage import materialize
+
+    rows = materialize(spark.range(1_000_000).select("id", F.concat(F.lit("node:"), "id").alias("name")), "many")
+    assert "BroadcastHashJoin" not in plan(rows.join(rows.withColumnRenamed("name", "other"), "id"))
