@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import materialize
 from .index_rows import none
-from .reports import resolved_evidence
+from .reports import first_chunks
 
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
 
@@ -61,23 +62,47 @@ def publishable(relations: Column, force: bool = False) -> Column:
 
 def published_graph(entities: DataFrame, relations: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, evidence) of candidates. Entities of one id are one node, the last source counts; relations keep those whose
-    ends are nodes; evidence are the chunks that relations cite, units by their first three chunks.
+    ends are nodes; evidence are the chunks that relations cite, units by their first three chunks. A relation without an id cites none.
 
     entities: source_id, entity_id, label, name, ord; relations: source_id, relation_id, source_entity_id, target_entity_id,
-    relation, display, chunk_ids, ord; chunks: chunk_id, source_id, unit_id, content."""
+    relation, display, chunk_ids, ord; chunks: chunk_id, source_id, unit_id, content.
+
+    Relations are dealt by their id once and stay there. What is looked up elsewhere is only what they lack, ends that aren't
+    nodes and refs that aren't plain chunks; both are written to the shared folder, so that Spark knows their size when it joins them."""
     nodes = entities.groupBy(F.col("entity_id").alias("id")).agg(*(F.max_by(c, "ord").alias(c) for c in ("label", "name", "source_id")))
-    last = relations.groupBy(F.col("relation_id").alias("id")).agg(*(F.max_by(c, "ord").alias(c) for c in ("source_entity_id", "target_entity_id", "relation", "display", "chunk_ids")))
+    kept = ("source_entity_id", "target_entity_id", "relation", "display", "chunk_ids")
+    last = relations.select(F.col("relation_id").alias("id"), *kept, "ord").repartition("id").groupBy("id").agg(*(F.max_by(c, "ord").alias(c) for c in kept))
+    unknown = unknown_ends(relations, entities)
     for end in ("source_entity_id", "target_entity_id"):
-        last = last.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
-    refs = last.select(F.col("id").alias("owner"), F.posexplode("chunk_ids").alias("pos", "ref"))
-    cited = resolved_evidence(refs, chunks.select("chunk_id", "unit_id"))
-    ids = cited.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: T.evidence_id(x["chunk_id"])).alias("evidence_ids"))
-    edges = last.join(ids.withColumnRenamed("owner", "id"), "id", "left")
-    edges = edges.select("id", F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), "relation", F.coalesce(F.when(F.col("display") != "", F.col("display")), "relation").alias("display"), F.coalesce("evidence_ids", none()).alias("evidence_ids"))
-    evidence = chunks.join(cited.select("chunk_id").distinct(), "chunk_id", "left_semi").select(T.evidence_id(F.col("chunk_id")).alias("id"), "source_id", F.col("content").alias("snippet"))
+        last = last.where(F.col(end).isNotNull()).join(unknown.withColumnRenamed("end", end), end, "left_anti")
+    last = last.join(replaced_refs(relations, chunks), F.col("id") == F.col("owner"), "left")
+    cited = F.flatten(F.transform(F.array_compact("chunk_ids"), lambda ref: F.coalesce(F.try_element_at("replaced", ref), F.array(ref))))
+    last = last.withColumn("cited", F.coalesce(F.when(F.col("id").isNotNull(), F.array_distinct(cited)), none()))
+    edges = last.select("id", F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), "relation", F.coalesce(F.when(F.col("display") != "", F.col("display")), "relation").alias("display"), F.transform("cited", T.evidence_id).alias("evidence_ids"))
+    evidence = chunks.join(last.select(F.explode("cited").alias("chunk_id")).distinct(), "chunk_id", "left_semi").select(T.evidence_id(F.col("chunk_id")).alias("id"), "source_id", F.col("content").alias("snippet"))
     return nodes, edges, evidence
 
 
+def unknown_ends(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """end: each end of a relation that is no entity, once; of overridden relations too."""
+    ends = relations.select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("end")).distinct()
+    return materialize(ends.join(entities.select(F.col("entity_id").alias("end")).distinct(), "end", "left_anti"), "unknown-ends")
+
+
+def replaced_refs(relations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(owner, replaced): for relations that cite something else than plain chunks, what each such ref stands for: a unit for its first
+    three chunks, after itself if it is a chunk as well, anything else for nothing."""
+    refs = relations.select(F.col("relation_id").alias("owner"), F.explode("chunk_ids").alias("ref")).where("owner IS NOT NULL AND ref IS NOT NULL")
+    units = chunks.where("unit_id <> ''").select(F.col("unit_id").alias("ref")).distinct()
+    no_chunk = refs.join(chunks.select(F.col("chunk_id").alias("ref")), "ref", "left_anti").select("owner", "ref", F.lit(False).alias("own"))
+    unit = refs.join(units, "ref", "left_semi").select("owner", "ref", F.lit(True).alias("own"))
+    odd = materialize(no_chunk.unionByName(unit).groupBy("owner", "ref").agg(F.min("own").alias("own")), "odd-refs")
+    first = first_chunks(chunks.join(odd.select(F.col("ref").alias("unit_id")).distinct(), "unit_id", "left_semi"))
+    stands = first.groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+    ids = F.concat(F.when(F.col("own"), F.array("ref")).otherwise(none()), F.coalesce("ids", none()))
+    return odd.join(stands, "ref", "left").groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct("ref", ids))).alias("replaced"))
+
+
 def vector_payloads(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
     """What is embedded of a published graph: id, content_type, text."""
     more = [F.when(F.col("description") != "", F.col("description"))] if "description" in nodes.columns else []

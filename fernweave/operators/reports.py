@@ -93,13 +93,17 @@ def demo_extraction(chunks: DataFrame, key: str, text: str) -> tuple[DataFrame,
     return entities, chunks.select(key, F.inline(rules)).withColumn("confidence", F.lit(0.78))
 
 
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """(ref, sub, chunk_id): the first three chunks of each unit; a chunk without a unit is in none."""
+    place = F.row_number().over(Window.partitionBy("unit_id").orderBy("chunk_id"))
+    return chunks.where("unit_id <> ''").withColumn("_n", place).where("_n <= 3").select(F.col("unit_id").alias("ref"), F.col("_n").alias("sub"), "chunk_id")
+
+
 def resolved_evidence(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """evidence: (owner, pos, ref); chunks: (chunk_id, unit_id). Refs that are chunks stay, units stand for their
     first three chunks: (owner, chunk_id) in order, each once."""
-    place = F.row_number().over(Window.partitionBy("unit_id").orderBy("chunk_id"))
-    first = chunks.withColumn("_n", place).where("_n <= 3").select(F.col("unit_id").alias("ref"), F.col("_n").alias("sub"), "chunk_id")
     own = chunks.select(F.col("chunk_id").alias("ref"), F.lit(0).alias("sub"), "chunk_id")
-    both = evidence.join(own.unionByName(first), "ref")
+    both = evidence.join(own.unionByName(first_chunks(chunks)), "ref")
     return both.groupBy("owner", "chunk_id").agg(F.min(F.struct("pos", "sub")).alias("place"))
 
 

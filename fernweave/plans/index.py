@@ -160,9 +160,9 @@ SELECT r.id, r.source, 'e' || (CAST(substr(r.source, 2) AS BIGINT) % 5 + 1) AS t
 def published_edges(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     ident = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    entities = items.select(text_of("l_suppkey").alias("source_id"), F.concat(F.lit("e"), "l_partkey").alias("entity_id"), F.lit("Herb").alias("label"), text_of("l_partkey").alias("name"), F.col("l_suppkey").alias("ord")).distinct()
+    entities = items.select(text_of("l_suppkey").alias("source_id"), F.concat(F.lit("e"), "l_partkey").alias("entity_id"), F.lit("Herb").alias("label"), text_of("l_partkey").alias("name"), F.col("l_suppkey").alias("ord"))
     relations = items.select(text_of("l_suppkey").alias("source_id"), ident.alias("relation_id"), F.concat(F.lit("e"), "l_partkey").alias("source_entity_id"), F.concat(F.lit("e"), F.col("l_partkey") % 5 + 1).alias("target_entity_id"), F.lit("R").alias("relation"), F.lit("").alias("display"), F.array(F.concat(F.lit("chunk:"), ident)).alias("chunk_ids"), F.col("l_linenumber").alias("ord"))
-    chunks = items.select(F.concat(F.lit("chunk:"), ident).alias("chunk_id"), text_of("l_suppkey").alias("source_id"), F.lit("").alias("unit_id"), F.lit("").alias("content")).distinct()
+    chunks = items.select(F.concat(F.lit("chunk:"), ident).alias("chunk_id"), text_of("l_suppkey").alias("source_id"), F.lit("").alias("unit_id"), F.lit("").alias("content"))
     return publish.published_graph(entities, relations, chunks)[1].select("id", "source", "target", F.array_join("evidence_ids", ",").alias("evidence"))
 
 

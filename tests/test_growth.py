@@ -55,3 +55,66 @@ def test_a_small_file_of_many_rows_is_not_broadcast(spark):
 
     rows = materialize(spark.range(1_000_000).select("id", F.concat(F.lit("node:"), "id").alias("name")), "many")
     assert "BroadcastHashJoin" not in plan(rows.join(rows.withColumnRenamed("name", "other"), "id"))
+
+
+def published(spark):
+    """A small candidate graph with odd rows, and what is to be published of it: edges and evidence."""
+    from fernweave.operators import publish
+
+    entities = [("s1", "a", "Herb", "A", 1), ("s2", "a", "Herb", "A2", 2), ("s1", "b", "Herb", "B", 1), ("s1", None, "Herb", "N", 1)]
+    chunks = [("chunk:1", "s1", "u1", "t1"), ("chunk:2", "s1", "u1", "t2"), ("chunk:3", "s1", "u1", "t3"), ("chunk:4", "s1", "u1", "t4"), ("chunk:5", "s1", "", "t5"), ("u2", "s1", None, "t6"), ("chunk:0", "s1", "u2", "t0")]
+    relations = [
+        ("s1", "r1", "a", "b", "R", "", ["chunk:4", "u1", "chunk:4", "gone", None, ""], 1),
+        ("s1", "r2", "a", "b", "R", "old", ["u1"], 1),
+        ("s2", "r2", "b", "a", "Q", "new", ["chunk:5"], 2),
+        ("s1", "r3", "a", "zz", "R", "", ["chunk:1"], 1),
+        ("s1", "r4", "zz", "a", "R", "", ["chunk:1"], 1),
+        ("s1", "r5", None, "a", "R", "", ["chunk:1"], 1),
+        ("s1", "r6", "b", "b", "R", "", ["u2", "chunk:0"], 1),
+        ("s1", "r7", "b", "a", "R", "", None, 1),
+        ("s1", "r8", "b", "a", "R", "", ["gone"], 1),
+        ("s1", "r9", "zz", "a", "R", "", ["chunk:1"], 1),
+        ("s1", "r9", "a", "a", "R", "", [], 2),
+    ]
+    e = spark.createDataFrame(entities, "source_id string, entity_id string, label string, name string, ord long")
+    r = spark.createDataFrame(relations, "source_id string, relation_id string, source_entity_id string, target_entity_id string, relation string, display string, chunk_ids array<string>, ord long")
+    c = spark.createDataFrame(chunks, "chunk_id string, source_id string, unit_id string, content string")
+    return publish.published_graph(e, r, c)
+
+
+def test_published_edges_of_odd_candidates(spark):
+    nodes, edges, evidence = published(spark)
+    got = {r.id: (r.source, r.target, r.relation, r.display, r.evidence_ids) for r in edges.collect()}
+    assert got == {
+        "r1": ("a", "b", "R", "R", ["evidence:4", "evidence:1", "evidence:2", "evidence:3"]),  # "" is no unit
+        "r2": ("b", "a", "Q", "new", ["evidence:5"]),
+        "r6": ("b", "b", "R", "R", ["u2", "evidence:0"]),  # a chunk and a unit
+        "r7": ("b", "a", "R", "R", []),
+        "r8": ("b", "a", "R", "R", []),
+        "r9": ("a", "a", "R", "R", []),
+    }
+    assert sorted(r.snippet for r in evidence.collect()) == ["t0", "t1", "t2", "t3", "t4", "t5", "t6"]
+    assert {(r.id, r.name) for r in nodes.collect()} == {("a", "A2"), ("b", "B"), (None, "N")}
+
+
+def test_published_edges_when_nothing_is_broadcast(spark):
+    want = sorted(map(str, published(spark)[1].collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, published(spark)[1].collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_published_relations_are_dealt_once(spark, sf_dir):
+    from fernweave.plans import index
+
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "100k")  # the table counts as large
+    try:
+        steps = plan(index.published_edges(spark, sf_dir))
+    finally:
+        spark.conf.unset(threshold)
+    # by their id, sorted once and not before that; the other exchange is that of the refs to be replaced
+    assert steps.count("Exchange hashpartitioning(id") == 1 and steps.count("Exchange hashpartitioning") <= 2 and steps.count("Sort [") <= 1
+    assert "FileScan parquet [l_orderkey" in steps and steps.count("FileScan parquet [l_") == 1
