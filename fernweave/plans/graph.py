@@ -70,6 +70,11 @@ weighted AS MATERIALIZED (SELECT e.*, {case('relation', RELATION_WEIGHTS)} AS re
 arcs AS MATERIALIZED (SELECT source AS a, target AS b, weight FROM weighted UNION ALL SELECT target, source, weight FROM weighted)"""
 
 
+def once(edges):
+    """Edges that repeat once, dealt by their source, by which they are joined next."""
+    return edges.repartition("source").select("source", "target", "relation").distinct()
+
+
 def pairs_of(spark, sf_dir, nodes, edges):
     return G.weighted_pairs(edges, nodes)
 
@@ -169,8 +174,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(total, 6)
 
 @query(f"WITH {PATHS_SQL} SELECT id, path, round(total, 6) AS total, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 40")
 def nhop_paths_top40(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir)
-    return G.n_hop_paths(edges, nodes).select("id", F.array_join("path", "|").alias("path"), "total", "place")
+    nodes, edges = star(spark, sf_dir, numbers=True, repeats=True)
+    return G.n_hop_paths(once(edges), nodes).select(spelled("id").alias("id"), F.array_join("path", "|").alias("path"), "total", "place")
 
 
 SCORES_SQL = f"""{PATHS_SQL}, top AS (SELECT string_split(path, '|') AS p, ws FROM ranked WHERE place <= 40),

@@ -118,3 +118,43 @@ def test_published_relations_are_dealt_once(spark, sf_dir):
     # by their id, sorted once and not before that; the other exchange is that of the refs to be replaced
     assert steps.count("Exchange hashpartitioning(id") == 1 and steps.count("Exchange hashpartitioning") <= 2 and steps.count("Sort [") <= 1
     assert "FileScan parquet [l_orderkey" in steps and steps.count("FileScan parquet [l_") == 1
+
+
+def kept_plans(monkeypatch):
+    """Plans of what is written, by label."""
+    plans, kept = {}, G.materialize
+    monkeypatch.setattr(G, "materialize", lambda d, label: plans.setdefault(label, (plan(d), dict(d.dtypes))) and kept(d, label))
+    return plans
+
+
+def test_paths_of_a_node_are_weighed_where_its_arcs_are(spark, sf_dir, monkeypatch):
+    from fernweave.plans import graph
+
+    threshold, plans = "spark.sql.autoBroadcastJoinThreshold", kept_plans(monkeypatch)
+    spark.conf.set(threshold, "-1")
+    try:
+        graph.nhop_paths_top40(spark, sf_dir)
+    finally:
+        spark.conf.unset(threshold)
+    groups, types = plans["groups"]
+    assert "Window" in groups and groups.count("Exchange hashpartitioning") <= 1  # of the nodes' names: a row for each node
+    assert plans["ends"][1] == {"source": "bigint", "target": "bigint", "w": "double"} and types["id"] == "bigint"
+
+
+def test_paths_with_ends_that_are_no_nodes(spark):
+    """Edges both ways between two nodes, ends that aren't nodes and a name that is null, against all paths, also from some nodes only."""
+    names = {k: None if k == 7 else f"name {k % 5}" for k in range(12)}
+    edges = [(a, b, r, 100 * a + b) for a in range(14) for b in range(14) for r in ("TREATS", "HAS_DOSE") if (a * 7 + b * 5 + len(r)) % 4 == 0]
+    weight, arcs = {"TREATS": 1.0, "HAS_DOSE": 0.08}, {}
+    for a, b, r, _ in edges:
+        if a != b and a in names and b in names:
+            arcs.setdefault(a, []).append((b, weight[r]))
+            arcs.setdefault(b, []).append((a, weight[r]))
+    nodes, frame = spark.createDataFrame(list(names.items()), "id long, name string"), spark.createDataFrame(edges, "source long, target long, relation string, ord long")
+    for starts in (None, [3, 7, 99]):
+        few = None if starts is None else spark.createDataFrame([(k,) for k in starts], "id long")
+        got = G.n_hop_paths(frame, nodes, most=10_000, starts=few).collect()
+        assert {r.id for r in got} == ({3, 7} if starts else set(arcs))
+        for i in {r.id for r in got}:
+            want = [([names[i], names[b]], [w]) for b, w in arcs[i]] + [([names[i], names[b], names[c]], [w, x]) for b, w in arcs[i] for c, x in arcs[b] if c != i]
+            assert sorted((r.path, r.weights) for r in got if r.id == i) == sorted(([n for n in p if n is not None], w) for p, w in want)
