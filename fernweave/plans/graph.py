@@ -184,7 +184,8 @@ scores AS (SELECT from_name, to_name, sum(sim) AS sim, max(weight) AS weight FRO
 
 
 def scores(spark, sf_dir):
-    nodes, edges = star(spark, sf_dir)
+    nodes, edges = star(spark, sf_dir, numbers=True, repeats=True)
+    edges = once(edges)
     return nodes, edges, G.path_scores(G.n_hop_paths(edges, nodes).withColumn("sim", F.lit(0.9)))
 
 

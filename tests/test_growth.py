@@ -158,3 +158,11 @@ def test_paths_with_ends_that_are_no_nodes(spark):
         for i in {r.id for r in got}:
             want = [([names[i], names[b]], [w]) for b, w in arcs[i]] + [([names[i], names[b], names[c]], [w, x]) for b, w in arcs[i] for c, x in arcs[b] if c != i]
             assert sorted((r.path, r.weights) for r in got if r.id == i) == sorted(([n for n in p if n is not None], w) for p, w in want)
+
+
+def test_scored_edges_are_numbers(spark, sf_dir, monkeypatch):
+    from fernweave.plans import graph
+
+    plans = kept_plans(monkeypatch)
+    graph.nhop_edge_scores(spark, sf_dir)
+    assert {c: t for c, t in plans["second"][1].items() if c in ("b", "c")} == {"b": "bigint", "c": "bigint"}
