@@ -38,6 +38,12 @@ def spelled(c: str):
     return F.concat(kind, F.lit(":"), F.expr(f"CAST(({c} - pmod({c}, {len(NODES)})) div {len(NODES)} AS STRING)"))
 
 
+def unspelled(c: str):
+    """The number of star() that an id as text stands for."""
+    kind = F.array_position(F.array(*(F.lit(t) for t, *_ in NODES)), F.split_part(F.col(c), F.lit(":"), F.lit(1))) - 1
+    return F.split_part(F.col(c), F.lit(":"), F.lit(2)).cast("long") * len(NODES) + kind
+
+
 def star(spark, sf_dir, tables=("region", "nation", "supplier", "part", "customer"), numbers=False, repeats=False):
     """(nodes, edges) of the tables named; parts are linked with the suppliers of their line items. With numbers, an id is a number,
     which spelled() turns into the text; shuffles of numbers are much smaller. With repeats, an edge stands once for each row."""

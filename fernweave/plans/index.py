@@ -12,7 +12,7 @@ from ..operators import kg, publish
 from ..operators import relational as R
 from ..operators import resolution as S
 from ..operators import vector_sync as V
-from .graph import PAIR_SQL, number, spelled, star, star_sql
+from .graph import PAIR_SQL, number, once, spelled, star, star_sql, unspelled
 from .relational import TOKENS_SQL, by_type, labelled, table, tokens
 
 QUERIES: dict = {}
@@ -207,14 +207,16 @@ def context_rows(spark, sf_dir):
 @query()
 def kg_retrieve(spark, sf_dir):
     """Suppliers, parts and nations as entities: what is found for a nation, with the types of parts."""
-    nodes, edges = star(spark, sf_dir)
+    nodes, edges = star(spark, sf_dir, numbers=True, repeats=True)
+    edges = once(edges)
     none = spark.createDataFrame([], "name string, label string, chunk_ids array<string>").where(F.lit(False))
-    plain = nodes.select("id", "label", "name", F.lit("").alias("description"), F.lit(None).cast("double").alias("pagerank"), F.lit(None).cast("double").alias("rank"), F.lit("").alias("source_chunks"))
+    plain = nodes.select(spelled("id").alias("id"), "label", "name", F.lit("").alias("description"), F.lit(None).cast("double").alias("pagerank"), F.lit(None).cast("double").alias("rank"), F.lit("").alias("source_chunks"))
     named = F.lower("entity_name")
-    small = edges.where("relation <> 'COMPOSED_OF'")
     entities = I.graph_entity_rows(plain, None, none).withColumn("description", named)
-    rows = small.select(F.concat_ws(">", "source", "target").alias("id"), "source", "target", "relation", F.col("relation").alias("display"), F.array(F.concat(F.lit("chunk:"), "source")).alias("evidence_ids"))
-    relations = I.graph_relation_rows(rows, nodes, I.no_evidence(spark)).withColumn("content_with_weight", F.lower("content_with_weight"))
+    rows = edges.select(F.struct("source", "target").alias("id"), "source", "target", "relation", F.col("relation").alias("display"), F.array(F.concat(F.lit("chunk:"), spelled("source"))).alias("evidence_ids"))
+    ident = F.concat_ws(">", spelled("relation_id.source"), spelled("relation_id.target"))
+    relations = I.graph_relation_rows(rows, nodes, I.no_evidence(spark), spelled).withColumn("relation_id", ident).withColumn("content_with_weight", F.lower("content_with_weight"))
     reports = nodes.where("label = 'Category'").select(F.col("name").alias("title"), F.array("name").alias("names"), F.lit(1.0).alias("weight"))
-    found = kg.retrieve(entities, relations, reports, ["asia"], ["asia"], ["Meridian"], paths=lambda hits: G.n_hop_paths(small, nodes, starts=hits))
+    paths = lambda hits: G.n_hop_paths(edges, nodes, starts=hits.select(unspelled("id").alias("id"))).withColumn("id", spelled("id"))
+    found = kg.retrieve(entities, relations, reports, ["asia"], ["asia"], ["Meridian"], paths=paths)
     return found.edges.select("id", "source", "target", "relation", F.array_join("evidence", ",").alias("evidence"))

@@ -206,3 +206,22 @@ def test_models(spark):
     with pytest.raises(ValueError):
         models.extraction(rows, "other", models.Models())
     assert T is not None
+
+
+def test_retrieval_reads_all_edges(spark, tmp_path):
+    """A supplier that is asked for is found with the parts of its line items."""
+    from fernweave.plans import index
+
+    tables = {
+        "region": ([(0, "AFRICA")], "r_regionkey int, r_name string"),
+        "nation": ([(3, "KENYA", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(1, "Asia herbs", 3), (2, "other", 3)], "s_suppkey long, s_name string, s_nationkey int"),
+        "part": ([(7, "bolt"), (8, "rod")], "p_partkey long, p_name string"),
+        "customer": ([(5, "someone", 3)], "c_custkey long, c_name string, c_nationkey int"),
+        "lineitem": ([(7, 1), (7, 1), (8, 2), (8, 1)], "l_partkey long, l_suppkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.id, r.source, r.target, r.relation, r.evidence) for r in index.kg_retrieve(spark, str(tmp_path)).collect()}
+    for part in (7, 8):
+        assert (f"part:{part}>supplier:1", f"part:{part}", "supplier:1", "COMPOSED_OF", f"chunk:part:{part}") in got
